@@ -38,6 +38,18 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "domain", "lang", "source", "n_tokens", "epoch", "budget")
 
 
+def op7_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evalframe.llm.rollup import maintain
+
+    return maintain(table(spark, sf_dir, "documents"))
+
+
+def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evalframe.llm.quality_model import score
+
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evalframe.llm.outliers import judge
 
@@ -49,6 +61,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
     "op3_secret_scan": op3_secret_scan,
     "op4_source_mixing": op4_source_mixing,
+    "op7_token_rollup": op7_token_rollup,
+    "op8_quality_model": op8_quality_model,
     "op9_quality_rules": op9_quality_rules,
 }
 
