@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
-from evalframe.llm import mixing, url_filter
+from evalframe.llm import knn, mixing, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,12 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "domain", "lang", "source", "n_tokens", "epoch", "budget")
 
 
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evalframe.llm.knn import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op7_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evalframe.llm.rollup import maintain
 
@@ -61,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
     "op3_secret_scan": op3_secret_scan,
     "op4_source_mixing": op4_source_mixing,
+    "op6_top_k": op6_top_k,
     "op7_token_rollup": op7_token_rollup,
     "op8_quality_model": op8_quality_model,
     "op9_quality_rules": op9_quality_rules,
@@ -69,4 +76,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op2_url_filter": url_filter.oracle_sql(),
     "op4_source_mixing": mixing.oracle_sql(),
+    "op6_top_k": knn.oracle_sql(),
 }
