@@ -38,6 +38,12 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "domain", "lang", "source", "n_tokens", "epoch", "budget")
 
 
+def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evalframe.llm.near_dup import classes
+
+    return classes(table(spark, sf_dir, "documents"))
+
+
 def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evalframe.llm.knn import top_k
 
@@ -67,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
     "op3_secret_scan": op3_secret_scan,
     "op4_source_mixing": op4_source_mixing,
+    "op5_near_dup": op5_near_dup,
     "op6_top_k": op6_top_k,
     "op7_token_rollup": op7_token_rollup,
     "op8_quality_model": op8_quality_model,
