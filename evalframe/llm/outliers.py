@@ -202,3 +202,12 @@ def judge(docs: DataFrame, cutoff: float = CUTOFF, h: float = 0.75, steps: int =
     judged = base.withColumn("_g", both).join(fit, "_g", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
     kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cutoff)
     return judged.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(carry)], *COUNTS, "base_failed", kept.alias("kept"), "distance")
+
+
+def accepted(docs: DataFrame, **options) -> DataFrame:
+    """The documents that are kept, with all their columns."""
+    keyed = docs.withColumn("_md5", F.md5(F.coalesce("text", F.lit(""))))
+    kept = judge(keyed, carry=["doc_id", "_md5", "lang", "source"], **options).where("kept")
+    kept = kept.select(F.col("doc_id").alias("_d"), F.col("_md5").alias("_m"), F.col("lang").alias("_l"), F.col("source").alias("_s"))
+    same = keyed["doc_id"].eqNullSafe(F.col("_d")) & (keyed["_md5"] == F.col("_m")) & keyed["lang"].eqNullSafe(F.col("_l")) & keyed["source"].eqNullSafe(F.col("_s"))
+    return keyed.join(kept, same, "left_semi").select(*docs.columns)
