@@ -10,9 +10,10 @@ A shingle's process ends as soon as it cannot be first anywhere.
 Texts that are equal are one node. Bands of registers put nodes into buckets;
 in a bucket every node is held against the least one, so a large group of
 copies costs as many comparisons as it has members. Pairs whose registers agree
-enough are verified exactly, from whole texts. Pairs of a bucket that are not
-yet in one component, and that no node so far has been compared for, follow in
-blocks, so no link of a bucket is lost. Classes are connected components.
+enough are verified exactly, from whole texts. Pairs of a bucket without its
+least node follow in blocks where they are not yet in one component, so no link
+of a bucket is lost; a block gives the links that connect its parts, not every
+similar pair. Classes are connected components.
 """
 
 from __future__ import annotations
@@ -32,11 +33,12 @@ from evalframe.llm.textblocks import Block, blocks, mix, span_hash, windows
 WORDS, THRESHOLD = 5, 0.8
 #: 24 bands of 5 registers: two texts with similarity 0.8 share a bucket with probability 0.99993.
 BANDS, ROWS = 24, 5
-REGISTERS = BANDS * ROWS
-#: Share of equal registers from which a pair is verified: more than 5 standard deviations below 0.8.
-AGREE = 0.6
-#: Members of a bucket that one task compares at a time.
-BLOCK = 256
+#: Registers in all; those beyond the bands sharpen the estimate.
+REGISTERS = 2 * BANDS * ROWS
+#: Share of equal registers from which a pair is verified: 4.6 standard deviations below 0.8.
+AGREE = 0.68
+#: Members of a bucket that one task compares with as many others at a time.
+BLOCK = 1024
 _STEP = np.uint64(0xD1B54A32D192ED03)
 
 
@@ -113,18 +115,20 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float((x / total).sum())
 
 
-def _verified(threshold: float):
-    def sets(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for b in blocks(column):
-            owner, item, weight = shingles(b)
-            cuts = np.searchsorted(owner, np.arange(len(b) + 1))
-            yield from ((item[cuts[i] : cuts[i + 1]], weight[cuts[i] : cuts[i + 1]]) for i in range(len(b)))
+def _sets(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Items and weights of each text."""
+    for b in blocks(column):
+        owner, item, weight = shingles(b)
+        cuts = np.searchsorted(owner, np.arange(len(b) + 1))
+        yield from ((item[cuts[i] : cuts[i + 1]], weight[cuts[i] : cuts[i + 1]]) for i in range(len(b)))
 
+
+def _verified(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, len(batch), 256):
                 part = batch.slice(lo, 256)
-                keep = pa.array([similarity(x, y) >= threshold - 1e-12 for x, y in zip(sets(part.column("text_a")), sets(part.column("text_b")))], pa.bool_())
+                keep = pa.array([similarity(x, y) >= threshold - 1e-12 for x, y in zip(_sets(part.column("text_a")), _sets(part.column("text_b")))], pa.bool_())
                 yield part.select(["a", "b"]).filter(keep)
 
     return run
@@ -137,24 +141,69 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.select(["a", "b"]).filter(pa.array((x == y).mean(1) >= AGREE))
 
 
-def _rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs of one or two blocks of a bucket that are in different components, neither being the centre."""
+def _near(m: list, centre: int, band: int, apart: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Members of one or two blocks of a bucket (``apart``: two, to be held against each other) that may be linked.
+
+    Pairs in different components whose registers agree enough, neither being the centre; a pair that shares an
+    earlier band's bucket was or is compared there.
+    """
+    node, label, block = (np.array([x[k] for x in m]) for k in ("node", "label", "block"))
+    sig = np.frombuffer(b"".join(bytes(x["sig"]) for x in m), np.uint16).reshape(len(m), -1)
+    for i in range(len(m)):
+        if node[i] == centre:
+            continue
+        at = (node > node[i]) & (label != label[i]) & (node != centre)
+        if apart:
+            at &= block != block[i]
+        at = np.flatnonzero(at)
+        same = sig[at] == sig[i]
+        share = same.mean(1)
+        at, same, share = (x[share >= AGREE] for x in (at, same, share))
+        first = same[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).all(2).argmax(1)
+        at, share = at[first == band], share[first == band]
+        if len(at):
+            yield np.full(len(at), i), at, share
+
+
+def _involved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Members with a pair to verify, once for each group; not the pairs, of which there may be very many."""
     for df in batches:
         out = []
         for r in df.itertuples(index=False):
-            m = r.members
-            node, label, block = (np.array([x[k] for x in m]) for k in ("node", "label", "block"))
-            sig = np.frombuffer(b"".join(bytes(x["sig"]) for x in m), np.uint16).reshape(len(m), -1)
-            for i in range(len(m)):
-                if node[i] == r.centre:
+            nodes = {int(k) for a, b, _ in _near(r.members, r.centre, r.i, r.lo != r.hi) for k in (*a[:1], *b)}
+            out += [(r.band, r.i, r.centre, r.lo, r.hi, r.members[k]["node"], r.members[k]["label"], r.members[k]["block"]) for k in sorted(nodes)]
+        yield pd.DataFrame(out, columns=["band", "i", "centre", "lo", "hi", "node", "label", "block"])
+
+
+def _forest(threshold: float):
+    """Links of a group that connect what its similar pairs connect: at most one less than it has members."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            out = []
+            for r in df.itertuples(index=False):
+                m = list(r.members)
+                pairs = [np.concatenate(x) for x in zip(*_near(m, r.centre, r.i, r.lo != r.hi))]
+                if not pairs:
                     continue
-                other = (node > node[i]) & (label != label[i]) & (node != r.centre)
-                if r.i != r.j:
-                    other &= block != block[i]
-                at = np.flatnonzero(other)
-                at = at[(sig[at] == sig[i]).mean(1) >= AGREE]
-                out += [(node[i], node[k]) for k in at]
-        yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+                sets = list(_sets(pa.array([x["text"] for x in m], pa.string())))
+                part = {x["label"]: x["label"] for x in m}
+
+                def root(k: int) -> int:
+                    while part[k] != k:
+                        part[k] = part[part[k]]
+                        k = part[k]
+                    return k
+
+                for k in np.argsort(-pairs[2], kind="stable"):
+                    a, b = pairs[0][k], pairs[1][k]
+                    x, y = root(m[a]["label"]), root(m[b]["label"])
+                    if x != y and similarity(sets[a], sets[b]) >= threshold - 1e-12:
+                        part[max(x, y)] = min(x, y)
+                        out.append((m[a]["node"], m[b]["node"]))
+            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return run
 
 
 def _nodes(docs: DataFrame) -> DataFrame:
@@ -165,11 +214,16 @@ def _nodes(docs: DataFrame) -> DataFrame:
     return cut(nodes).withColumn("node", F.monotonically_increasing_id())
 
 
+def _texts(needed: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text) of the needed nodes. A node's text is that of its least document."""
+    own = needed.select("node").distinct().join(nodes, "node").select("node", F.col("key").alias("k"), F.col("doc_id").alias("d"))
+    texts = docs.join(own, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k"))).select("node", "text")
+    return cut(texts.dropDuplicates(["node"]))
+
+
 def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of nodes whose texts are similar enough. A node's text is that of its least document."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", F.col("key").alias("k"), F.col("doc_id").alias("d"))
-    texts = docs.join(needed, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k"))).select("node", "text")
-    texts = cut(texts.dropDuplicates(["node"]))
+    """Pairs (a, b) of nodes whose texts are similar enough."""
+    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("node")), nodes, docs)
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     return cut(both.select("a", "b", "text_a", "text_b").mapInArrow(_verified(threshold), "a long, b long"))
 
@@ -179,7 +233,7 @@ def _classes(docs: DataFrame, threshold: float) -> DataFrame:
     nodes = _nodes(docs)
     sigs = nodes.select("node", "sig")
     band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * (2 * ROWS) + 1, F.lit(2 * ROWS)))))
-    bands = nodes.where("sig is not null").select("node", band.alias("i", "band")).drop("i")
+    bands = nodes.where("sig is not null").select("node", band.alias("i", "band"))
     centres = bands.groupBy("band").agg(F.min("node").alias("centre"), F.count("*").alias("size")).where("size > 1")
     shared = cut(bands.join(centres, "band"))
     star = shared.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
@@ -189,17 +243,20 @@ def _classes(docs: DataFrame, threshold: float) -> DataFrame:
     found = components(links)
     # what is left in buckets that span components
     labelled = shared.where("size > 2").join(found, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-    mixed = labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band")
+    mixed = labelled.groupBy("band").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("band")
     left = labelled.join(mixed, "band").join(sigs, "node")
-    count = F.ceil(F.col("size") / BLOCK).cast("int")
-    left = left.withColumn("blocks", count).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    left = left.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = left.withColumn("other", other).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    grouped = left.groupBy("band", "centre", "i", "j").agg(F.collect_list(F.struct("node", "label", "block", "sig")).alias("members"))
-    rest = grouped.where(F.size("members") > 1).mapInPandas(_rest, "a long, b long").distinct()
-    rest = cut(rest.join(pairs, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        found = components(links.unionByName(_verify(rest, nodes, docs, threshold)))
+    left = left.withColumn("other", other).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
+    group = ["band", "i", "centre", "lo", "hi"]
+    member = F.collect_list(F.struct("node", "label", "block", "sig")).alias("members")
+    grouped = left.groupBy(*group).agg(member).where(F.size("members") > 1)
+    near = cut(grouped.mapInPandas(_involved, "band long, i int, centre long, lo int, hi int, node long, label long, block int"))
+    if not near.isEmpty():
+        full = near.join(sigs, "node").join(_texts(near, nodes, docs), "node")
+        grouped = full.groupBy(*group).agg(F.collect_list(F.struct("node", "label", "block", "sig", "text")).alias("members"))
+        more = grouped.mapInPandas(_forest(threshold), "a long, b long")
+        found = components(links.unionByName(cut(more)))
     return nodes.join(found, "node", "left").select("key", "doc_id", "n", F.coalesce("component", "node").alias("class"))
 
 
