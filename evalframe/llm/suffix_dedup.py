@@ -5,10 +5,11 @@ offset in both, the least hash of its grams (winnowing), so repeated strings
 meet at anchors that occur more than once. Around each anchor lies a fragment,
 the strings whose least gram it is. Fragments that are equal are one. If an
 anchor has one fragment only, found more than once, all of it repeats; if it
-has several, these go into a shard, whose suffix array is induced: suffixes that
-share ``LENGTH`` bytes or more with their neighbours in order are one string, and
-it repeats if two fragments of one anchor have it at the same offset. What a
-fragment learns counts at all its places.
+has several, these are cut to the parts whose cores another one has too, and go
+into a shard, whose suffix array is induced: suffixes that share ``LENGTH`` bytes
+or more with their neighbours in order are one string, and it repeats if two
+fragments of one anchor have it at the same offset. What a fragment learns counts
+at all its places.
 
 Every anchor's fragments are in one shard, as many as fit a shard's size; an
 anchor with more fragments than that (a passage that very many texts share,
@@ -35,6 +36,8 @@ SPAN = LENGTH - GRAM + 1
 #: Fragments of an anchor that may go into one shard; bytes of a shard, about.
 SHARD_FRAGMENTS = 1000
 SHARD_BYTES = 1 << 20
+#: Strings whose starts lie in one class, by their distance from the anchor, have all but CLASS - 1 bytes in common places.
+CLASS = 42
 
 
 def anchors(b: Block) -> tuple[np.ndarray, ...]:
@@ -91,19 +94,41 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of the fragments that are asked for of each text."""
+    """The bytes of the fragments that are asked for of each text, and the hash of the core of each class of its strings.
+
+    The core is what all strings of a class share, whichever of them a fragment has.
+    """
+    schema = pa.schema([("anchor", pa.int64()), ("fragment", pa.int64()), ("back", pa.int16()), ("bytes", pa.binary()), ("cores", pa.list_(pa.struct([("c", pa.int16()), ("core", pa.int64())])))])
     for batch in batches:
         texts, asked = batch.column("text"), batch.column("asked").to_pylist()
-        out: dict[str, list] = {"anchor": [], "fragment": [], "back": [], "bytes": []}
+        out: dict[str, list] = {f.name: [] for f in schema}
         for b in blocks(texts):
+            prefix = b.prefix_hash()
+            _, down = powers(len(b.data))
             for i in range(len(b)):
                 for w in asked[b.rows.start + i]:
-                    lo, hi = b.start[i] + w["pos"] - w["back"], b.start[i] + w["pos"] + w["ahead"]
+                    at = int(b.start[i]) + w["pos"]
                     out["anchor"].append(w["anchor"])
                     out["fragment"].append(w["fragment"])
                     out["back"].append(w["back"])
-                    out["bytes"].append(b.data[lo:hi].tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(out["anchor"], pa.int64()), pa.array(out["fragment"], pa.int64()), pa.array(out["back"], pa.int16()), pa.array(out["bytes"], pa.binary())], ["anchor", "fragment", "back", "bytes"])
+                    out["bytes"].append(b.data[at - w["back"] : at + w["ahead"]].tobytes())
+                    c = np.arange(-w["back"] // CLASS, (w["ahead"] - LENGTH) // CLASS + 1)
+                    lo, hi = at + c * CLASS + CLASS - 1, at + c * CLASS + LENGTH
+                    core = mix((prefix[hi] - prefix[lo]) * down[lo]).view(np.int64)
+                    out["cores"].append([{"c": x, "core": y} for x, y in zip(c.tolist(), core.tolist())])
+        yield pa.RecordBatch.from_pydict(out, schema)
+
+
+def _trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fragments cut to the strings of the classes from ``first`` to ``last``."""
+    for batch in batches:
+        back, raw, first, last = (batch.column(c).to_pylist() for c in ("back", "bytes", "first", "last"))
+        new_back, new_raw = [], []
+        for k, r, f, e in zip(back, raw, first, last):
+            lo = max(0, k + f * CLASS)
+            new_back.append(k - lo)
+            new_raw.append(r[lo : min(len(r), k + e * CLASS + CLASS - 1 + LENGTH)])
+        yield pa.RecordBatch.from_arrays([batch.column("anchor"), batch.column("fragment"), pa.array(new_back, pa.int16()), pa.array(new_raw, pa.binary())], ["anchor", "fragment", "back", "bytes"])
 
 
 def repeats(fragments: list[bytes], anchor: np.ndarray, back: np.ndarray) -> list[np.ndarray]:
@@ -245,12 +270,20 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     """(key, from, to): byte spans of repeated strings in each text with a ``key``. Spans of a text may overlap."""
     seen = _stored(texts.where(F.octet_length("text") >= LENGTH).mapInArrow(_occurrences, _OCCURRENCE), "anchors")
     often = seen.groupBy("anchor").agg(F.sum("run").alias("n"), F.min("fragment").alias("lo"), F.max("fragment").alias("hi")).where("n > 1").select("anchor", (F.col("lo") != F.col("hi")).alias("mixed"))
+    often = _stored(often, "often")  # so that the join's shuffles can be split where an anchor is very common
     again = _stored(seen.join(often, "anchor"), "repeated-anchors")
     several = again.where("mixed").groupBy("anchor", "fragment").agg(F.sum("run").alias("n"), F.min(F.struct("key", "pos", "back", "ahead")).alias("at"))
-    size = several.groupBy("anchor").agg(F.count("*").alias("fragments"))
     asked = several.groupBy("at.key").agg(F.collect_list(F.struct("anchor", "fragment", F.col("at.pos").alias("pos"), F.col("at.back").alias("back"), F.col("at.ahead").alias("ahead"))).alias("asked"))
-    got = texts.join(asked, "key").select("text", "asked").mapInArrow(_pieces, "anchor long, fragment long, back smallint, bytes binary")
-    pieces = _stored(got.dropDuplicates(["anchor", "fragment"]).join(size, "anchor"), "fragments")
+    plain = "anchor long, fragment long, back smallint, bytes binary"
+    got = texts.join(asked, "key").select("text", "asked").mapInArrow(_pieces, plain + ", cores array<struct<c:smallint,core:bigint>>")
+    got = _stored(got.dropDuplicates(["anchor", "fragment"]), "fragments")
+    # strings of a class can only repeat where another fragment of the anchor has the same core
+    cores = got.select("anchor", "fragment", F.inline("cores"))
+    twice = cores.groupBy("anchor", "c", "core").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "c", "core")
+    kept = cores.join(twice, ["anchor", "c", "core"]).groupBy("anchor", "fragment").agg(F.min("c").alias("first"), F.max("c").alias("last"))
+    pieces = _stored(got.drop("cores").join(kept, ["anchor", "fragment"]).mapInArrow(_trimmed, plain), "trimmed")
+    size = pieces.groupBy("anchor").agg(F.count("*").alias("fragments"))
+    pieces = pieces.join(size, "anchor")
     small = pieces.where(F.col("fragments") <= SHARD_FRAGMENTS).repartition("anchor").sortWithinPartitions("anchor")
     schema = "anchor long, fragment long, from int, to int"
     found = small.select("anchor", "fragment", "back", "bytes").mapInArrow(_shards, schema)
