@@ -142,8 +142,17 @@ def _moments(rows: DataFrame, scale: float) -> DataFrame:
     return rows.groupBy("g").agg(*aggs).withColumn("scale", F.lit(scale)).mapInPandas(_estimates, schema)
 
 
+#: Ways in which the rows of a group are dealt where they meet its few parameters.
+SALTS = 32
+
+
+def _meet(rows: DataFrame, few: DataFrame, key: str = "g", how: str = "inner") -> DataFrame:
+    """Joins rows that have a ``_salt`` to one row for each group, which is repeated for every salt: no group is dealt to one task."""
+    return rows.join(few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [key, "_salt"], how)
+
+
 def fit_mcd(vectors: DataFrame, h: float = 0.75, steps: int = 3) -> DataFrame:
-    """MCD centre and inverse covariance per group ``g`` over all its rows.
+    """MCD centre and inverse covariance per group ``g`` over all its rows, which have a ``_salt``.
 
     It starts from quartiles (median, and interquartile range as deviation), then takes ``steps``
     concentration steps. Each keeps the rows under the distance that a share ``h`` of the group does
@@ -160,13 +169,13 @@ def fit_mcd(vectors: DataFrame, h: float = 0.75, steps: int = 3) -> DataFrame:
     fit = cut(start.select(*cols))
     cell = F.floor(64 * F.log2(_distance() + 1e-9)).cast("long")
     for _ in range(steps):
-        placed = vectors.join(fit, "g").select("g", *FEATURES, cell.alias("cell"))
+        placed = _meet(vectors, fit).select("g", "_salt", *FEATURES, cell.alias("cell"))
         cells = placed.groupBy("g", "cell").agg(F.count("*").alias("n"))
         totals = cells.groupBy("g").agg(F.sum("n").alias("all"), F.collect_list(F.struct("cell", "n")).alias("cells"))
         # a group has at most a few thousand cells, whatever its rows
         limit = totals.select("g", F.aggregate(F.array_sort("cells"), F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("cell")),
             lambda s, x: F.when(s.n >= F.ceil(F.col("all") * h), s).otherwise(F.struct((s.n + x.n).alias("n"), x.cell.alias("cell")))).cell.alias("top"))
-        fit = cut(_moments(placed.join(limit, "g").where("cell <= top"), CONSISTENCY))
+        fit = cut(_moments(_meet(placed, limit).where("cell <= top"), CONSISTENCY))
     return fit
 
 
@@ -188,18 +197,19 @@ def judge(docs: DataFrame, cutoff: float = CUTOFF, h: float = 0.75, steps: int =
     carry = ["doc_id"] if carry is None else carry
     table = docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(carry)], F.col("lang").alias("_lang"), F.col("source").alias("_source"), "text")
     base = cut(text_counts(table).withColumn("base_failed", base_failed()).select("*", *features()))
+    base = base.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))  # over written rows: the same each time
     lang = F.coalesce(F.concat(F.lit("l:"), "_lang"), F.lit("n"))
     both = F.concat(lang, F.lit("\u0001"), F.coalesce(F.concat(F.lit("s:"), "_source"), F.lit("n")))
     # texts that fail the base rules take no part in the estimates
     sizes = base.where("not base_failed").groupBy(lang.alias("_l"), both.alias("_g")).agg(F.count("*").alias("n"))
     by_lang = sizes.groupBy("_l").agg(F.sum("n").alias("n_lang"))
     group = cut(sizes.join(by_lang, "_l").select(F.col("_g"), F.when(F.col("n") >= MIN_GROUP, F.col("_g")).when(F.col("n_lang") >= MIN_GROUP, F.col("_l")).otherwise("*").alias("g"), F.col("_l")))
-    member = base.where("not base_failed").select(both.alias("_g"), lang.alias("_l"), *FEATURES)
+    member = base.where("not base_failed").select(both.alias("_g"), lang.alias("_l"), "_salt", *FEATURES)
     used = group.select("g").distinct()
-    levels = [member.select(F.col("_g").alias("g"), *FEATURES), member.select(F.col("_l").alias("g"), *FEATURES), member.select(F.lit("*").alias("g"), *FEATURES)]
-    vectors = levels[0].unionByName(levels[1]).unionByName(levels[2]).join(used, "g", "left_semi")
+    levels = [member.select(g.alias("g"), "_salt", *FEATURES) for g in (F.col("_g"), F.col("_l"), F.lit("*"))]
+    vectors = _meet(levels[0].unionByName(levels[1]).unionByName(levels[2]), used, how="left_semi")
     fit = fit_mcd(vectors, h, steps).join(group.select("_g", "g"), "g").drop("g")
-    judged = base.withColumn("_g", both).join(fit, "_g", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
+    judged = _meet(base.withColumn("_g", both), fit, "_g", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
     kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cutoff)
     return judged.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(carry)], *COUNTS, "base_failed", kept.alias("kept"), "distance")
 
