@@ -29,8 +29,3 @@ def cut(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder for a written table."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def clear_of(docs: DataFrame, *names: str) -> DataFrame:
-    """The named input columns only, so that no other column can clash with what an operator adds."""
-    return docs.select(*names)

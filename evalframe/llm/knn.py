@@ -61,7 +61,7 @@ def _pivots(vectors: DataFrame, count: int) -> dict[int, np.ndarray]:
     return out
 
 
-def _centre(pivots: dict[int, np.ndarray], dim: int, rest: bool = True) -> np.ndarray:
+def _centre(pivots: dict[int, np.ndarray], dim: int) -> np.ndarray:
     """The pivots for vectors of a dimension; those outside the sample have the origin."""
     return pivots[dim] if dim in pivots else np.zeros((1, dim))
 
