@@ -273,6 +273,7 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     often = _stored(often, "often")  # so that the join's shuffles can be split where an anchor is very common
     again = _stored(seen.join(often, "anchor"), "repeated-anchors")
     several = again.where("mixed").groupBy("anchor", "fragment").agg(F.sum("run").alias("n"), F.min(F.struct("key", "pos", "back", "ahead")).alias("at"))
+    several = _stored(several, "distinct-fragments")
     asked = several.groupBy("at.key").agg(F.collect_list(F.struct("anchor", "fragment", F.col("at.pos").alias("pos"), F.col("at.back").alias("back"), F.col("at.ahead").alias("ahead"))).alias("asked"))
     plain = "anchor long, fragment long, back smallint, bytes binary"
     got = texts.join(asked, "key").select("text", "asked").mapInArrow(_pieces, plain + ", cores array<struct<c:smallint,core:bigint>>")
