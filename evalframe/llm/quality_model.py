@@ -123,13 +123,16 @@ def remainder(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Learns from at most ``sample_rows`` labelled rows outside the held-out part, half of each class, by hash order.
 
-    Features are counted on the executors; the driver gets the bags of the sample. Without labels of both
+    A sampled id is one row to learn from, however often it is repeated. Features are counted on the executors;
+    the driver gets the bags of the sample. Without labels of both
     classes the model scores every text 0.5 (or the one class there is, by its bias of zero).
     """
     known = labels.where("doc_id is not null and quality in (0, 1)").where(remainder(F.col("doc_id")) != 1).select("doc_id", F.col("quality").alias("label")).distinct()
     order = F.xxhash64("doc_id", F.lit(5))
     sample = known.where("label = 0").orderBy(order, "doc_id").limit(sample_rows // 2).unionByName(known.where("label = 1").orderBy(order, "doc_id").limit(sample_rows // 2))
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select(F.col("label").cast("int").alias("label"), "text")  # at most sample_rows ids
+    found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most sample_rows ids
+    # an id may be repeated in any number of rows: the text with the least md5 stands for it
+    texts = found.groupBy("doc_id", "label").agg(F.min_by("text", F.md5("text")).alias("text")).select(F.col("label").cast("int").alias("label"), "text")
     rows = texts.mapInArrow(_bags, "label int, bucket array<int>, count array<int>").toArrow()
     labels_, bucket, count = rows["label"].to_pylist(), rows["bucket"].combine_chunks(), rows["count"].combine_chunks()
     bags = [(y, bucket[i].values.to_numpy(), count[i].values.to_numpy()) for i, y in enumerate(labels_)]

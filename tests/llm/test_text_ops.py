@@ -307,6 +307,19 @@ def test_classifier_on_held_out_rows(spark):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in out)
 
 
+def test_classifier_learns_once_from_a_repeated_id(spark, monkeypatch):
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1][:12]
+    rows = [(i, f"text of {i}") for i in ids] + [(ids[0], f"other text {k}") for k in range(40)] + [(ids[1], f"text of {ids[1]}")] * 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(x, n % 2, 0) for n, x in enumerate(ids)], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(quality_model, "train", lambda bags: seen.append(bags))
+    quality_model.fit(docs, labels)
+    quality_model.fit(docs.repartition(2), labels)
+    assert Counter(b[0] for b in seen[0]) == {0: 6, 1: 6}
+    assert all(a[0] == b[0] and (a[1] == b[1]).all() and (a[2] == b[2]).all() for a, b in zip(*seen))
+
+
 def test_classifier_without_labels(spark, texts):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.score for r in quality_model.score(docs_of(spark, texts), labels).collect()} == {0.5}
