@@ -16,6 +16,7 @@ from evalframe.llm.near_dup import deduplicated
 from evalframe.llm.outliers import accepted
 from evalframe.llm.packing import pack
 from evalframe.llm.secret_scan import redact
+from evalframe.llm.tokens import token_count
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -36,8 +37,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many tokens as there are, mixed by weights: small leaves come up to three times, large ones in part."""
-    return mixed_documents(docs.select(*COLUMNS))
+    """As many of the tokenizer's tokens as there are, mixed by weights: small leaves come up to three times, large ones in part."""
+    return mixed_documents(docs.select(*COLUMNS), tokens=token_count(F.col("text")))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -126,14 +126,27 @@ def mix(docs: DataFrame, total: int | None = None, epochs: int = 3, seed: int =
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents themselves, each as often as it is taken, with their own columns."""
-    taken = mix(docs, **options).groupBy("doc_id", "text_sha").agg(F.count("*").alias("_times"))
-    # rows equal in doc_id and text were counted together: each is taken its share of times
-    own = docs.withColumn("_sha", F.sha2(F.coalesce("text", F.lit("")), 256))
-    alike = own.groupBy("doc_id", "_sha").agg(F.count("*").alias("_alike"))
-    taken = taken.withColumnRenamed("doc_id", "_id").withColumnRenamed("text_sha", "_tsha")
-    counts = taken.join(alike, taken["_id"].eqNullSafe(alike["doc_id"]) & (taken["_tsha"] == alike["_sha"])).select("_id", "_tsha", F.floor(F.col("_times") / F.col("_alike")).cast("int").alias("_n"))
-    joined = own.join(counts, own["doc_id"].eqNullSafe(counts["_id"]) & (own["_sha"] == counts["_tsha"]))
-    return joined.where("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+    taken = mix(docs, **options).groupBy("doc_id", *LEVELS, "text_sha").agg(F.count("*").alias("_times"))
+    # rows equal in doc_id, leaf and text are taken together, as often each
+    leaf = docs.withColumns({"_lang": F.coalesce("lang", F.lit("")), "_source": F.coalesce("source", F.lit("")), "_sha": F.sha2(F.coalesce("text", F.lit("")), 256)})
+    domains = options.get("domains")
+    if domains is None:
+        own = leaf.withColumn("_domain", F.lit("web"))
+    else:
+        own = leaf.join(domains.select(F.col("source").alias("_source"), F.col("domain").alias("_domain")), "_source", "left").withColumn("_domain", F.coalesce("_domain", F.lit("web")))
+    keys = ["_domain", "_lang", "_source", "_sha"]
+    alike = own.groupBy("doc_id", *keys).agg(F.count("*").alias("_alike"))
+    taken = taken.select(F.col("doc_id").alias("_id"), F.col("domain").alias("_domain"), F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.col("text_sha").alias("_sha"), "_times")
+
+    def same(a: DataFrame, b: DataFrame) -> Column:
+        on = a["doc_id"].eqNullSafe(b["_id"])
+        for k in keys:
+            on = on & (a[k] == b[k])
+        return on
+
+    counts = alike.join(taken, same(alike, taken)).select("_id", *[taken[k] for k in keys], F.floor(F.col("_times") / F.col("_alike")).cast("int").alias("_n"))
+    joined = own.join(counts, same(own, counts))
+    return joined.where("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*[own[c] for c in docs.columns])
 
 
 def _share_sql(source: str, parent: str) -> str:

@@ -14,6 +14,9 @@ import unicodedata
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 #: The splitting pattern of word_bpe_49k.json with its letters and numbers below U+0300, and the
 #: strings of its special tokens.
@@ -74,3 +77,16 @@ class WordTokenizer:
 def tokenizer(path: str) -> WordTokenizer:
     """One per Python worker, so that its cache outlives a task."""
     return WordTokenizer(path)
+
+
+def token_count(text: Column, tokenizer_path: str | None = None) -> Column:
+    """Number of tokens of each whole text; 0 for null."""
+    path = tokenizer_path or default_path()
+
+    def count(texts: pa.Array) -> pa.Array:
+        encode, counts = tokenizer(path).encode, []
+        for lo in range(0, len(texts), 500):
+            counts += [len(x) // 4 for x in encode([t or "" for t in texts.slice(lo, 500).to_pylist()])]
+        return pa.array(counts, pa.int64())
+
+    return F.arrow_udf(count, "bigint")(text)

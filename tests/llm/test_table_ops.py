@@ -127,6 +127,32 @@ def test_weights_go_down_the_tree(spark):
     assert {r[0]: r[1] for r in out} == {"en": 750, "de": 250}
 
 
+def test_rows_of_two_leaves_with_equal_id_and_text_stay(spark):
+    rows = [(1, "a b", "en", "s"), (1, "a b", "en", "t"), (1, "a b", "en", "t"), (2, "c d", "en", "u")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    weights = spark.createDataFrame([("web", "en", "s", 0), ("web", "en", "t", 1), ("web", "en", "u", 0)], "domain string, lang string, source string, weight long")
+    domains = spark.createDataFrame([("t", "web"), ("s", "web"), ("u", "web")], "source string, domain string")
+    for extra in ({}, {"domains": domains}):
+        out = mixing.mixed_documents(docs, total=4, epochs=1, weights=weights, **extra)
+        assert out.columns == docs.columns
+        assert sorted(map(tuple, out.collect())) == [(1, "a b", "en", "t")] * 2
+
+
+def test_pipeline_mixes_by_the_tokenizer(spark):
+    import corpus_pipeline as P
+    from evalframe.llm.tokens import token_count, tokenizer, default_path
+
+    texts = ["x" * 4000, "one two", None, ""]
+    one = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    counts = {r.doc_id: r.n for r in one.select("doc_id", token_count(one["text"]).alias("n")).collect()}
+    assert counts == {i: len(tokenizer(default_path()).encode([t or ""])[0]) // 4 for i, t in enumerate(texts)}
+    # by words both leaves are alike, and each document comes once
+    rows = [(i, "abcdefgh" * 40, "en", "unspaced", 320) for i in range(30)] + [(100 + i, "a", "en", "short", 1) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = P.source_mixing(spark, docs, DATA).groupBy("source").count().collect()
+    assert {r["source"]: r["count"] for r in out}["short"] == 90
+
+
 def test_exact_search_equals_brute_force(spark):
     r = np.random.default_rng(1)
     rows = [(int(i), [float(x) for x in r.integers(-3, 3, 4) / 1000]) for i in r.integers(0, 400, 300)]
