@@ -18,7 +18,7 @@ of all pieces share is spread over many tasks.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -151,43 +151,95 @@ def _improvement(donor: Bins, other: Bins) -> tuple[tuple[int, ...], tuple[int,
     return best
 
 
-def local_search(bins: list[Bins], capacity: int, steps: int = 20_000) -> list[Bins]:
+def least_bins(bins: list[Bins], capacity: int) -> int:
+    """Bins that any packing needs: for each limit up to half the capacity, documents over half of it are one to a
+    bin, and those from the limit to the half fill only what these leave."""
+    n = np.zeros(capacity + 1, np.int64)
+    for b in bins:
+        for x, k in b.items.items():
+            n[x] += k * b.count
+    number, tokens = np.append(0, np.cumsum(n)), np.append(0, np.cumsum(n * np.arange(capacity + 1)))
+    half = capacity // 2
+    limit = np.arange(half + 1)
+    middle = number[capacity - limit + 1] - number[half + 1]  # over the half, and a document of the limit fits beside
+    free = middle * capacity - (tokens[capacity - limit + 1] - tokens[half + 1])
+    small = tokens[half + 1] - tokens[limit]
+    return int(number[-1] - number[half + 1] + np.maximum(0, -((free - small) // capacity)).max())
+
+
+def local_search(bins: list[Bins], capacity: int) -> list[Bins]:
     """Moves and exchanges between underfull bins until no bin more can be emptied.
 
-    The emptiest group of bins gives, fuller ones take; each step increases the sum of squared fills. It ends
-    at the least possible number of bins, when nothing improves, or after ``steps`` steps.
+    The emptiest group of bins gives, those no emptier take; each step increases the sum of squared fills. It ends
+    at the least possible number of bins, or when no two groups, whether or not tried before, allow a step. A group
+    is tried only with those that are new since it was tried last, since a pair without a step never gets one.
     """
+    least, total = least_bins(bins, capacity), sum(b.count for b in bins)
     done = [b for b in bins if not b.room]
-    under = sorted((b for b in bins if b.room), key=lambda b: b.room)
-    stuck: list[Bins] = []
-    while len(under) > 1 and steps:
-        if sum(b.room * b.count for b in under + stuck) < capacity:
-            break  # the tokens would not fit in one bin less
-        donor = under[-1]
-        for other in under[:-1] if donor.count == 1 else under:
-            if other is donor and donor.count < 2:
+    under: list[Bins] = []
+    known: dict[tuple, Bins] = {}
+    log: list[Bins] = []  # groups in the order in which they came
+    tried: dict[int, int] = {}  # how much of the log each group has been tried with
+
+    def put(b: Bins) -> None:
+        if not b.room:
+            done.append(b)
+            return
+        key = tuple(sorted(b.items.items()))
+        same = known.get(key)
+        if same is None:
+            known[key] = b
+            insort(under, b, key=lambda x: x.room)
+            tried[id(b)] = 0
+            log.append(b)
+        else:
+            if same.count == 1:
+                log.append(same)  # now it may exchange with its like
+            same.count += b.count
+
+    def take(b: Bins, n: int) -> None:
+        b.count -= n
+        if not b.count:
+            del known[tuple(sorted(b.items.items()))], tried[id(b)]
+            at = bisect_left(under, b.room, key=lambda x: x.room)
+            while under[at] is not b:
+                at += 1
+            del under[at]
+
+    for b in bins:
+        if b.room:
+            put(Bins(b.count, b.room, b.items))
+    while total > least:
+        for donor in reversed(under):
+            since = tried[id(donor)]
+            if since == len(log):
                 continue
-            found = _improvement(donor, other)
-            if found is None:
+            others = [b for b in log[since:] if b.count and b.room <= donor.room] if since else under[: bisect_right(under, donor.room, key=lambda x: x.room)]
+            for other in others:
+                if other is donor and donor.count < 2:
+                    continue
+                found = _improvement(donor, other)
+                if found is not None:
+                    break
+            else:
+                tried[id(donor)] = len(log)
                 continue
-            steps -= 1
-            out, into = found
-            n = donor.count // 2 if other is donor else min(donor.count, other.count)
-            gain = sum(out) - sum(into)
-            new = [Bins(n, donor.room + gain, _exchanged(donor.items, out, into)), Bins(n, other.room - gain, _exchanged(other.items, into, out))]
-            for b, used in ((donor, 2 * n if other is donor else n), *(() if other is donor else ((other, n),))):
-                if b.count > used:
-                    new.append(Bins(b.count - used, b.room, b.items))
-            under = [b for b in under if b is not donor and b is not other]
-            for b in new:
-                if b.room == 0:
-                    done.append(b)
-                elif b.items:
-                    insort(under, b, key=lambda x: x.room)
             break
         else:
-            stuck.append(under.pop())
-    return done + under + stuck
+            break  # a whole pass improves nothing
+        out, into = found
+        n = donor.count // 2 if other is donor else min(donor.count, other.count)
+        gain = sum(out) - sum(into)
+        given, taken = _exchanged(donor.items, out, into), _exchanged(other.items, into, out)
+        rooms = donor.room + gain, other.room - gain
+        take(donor, n)
+        take(other, n)
+        put(Bins(n, rooms[1], taken))
+        if given:
+            put(Bins(n, rooms[0], given))
+        else:
+            total -= n
+    return done + under
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> pd.DataFrame:

@@ -87,6 +87,17 @@ def test_local_search_empties_bins_and_keeps_documents():
     assert better
 
 
+def test_local_search_tries_stuck_groups_again():
+    rng = random.Random(4)
+    assert sum(b.count for b in packing.local_search(packing.best_fit({3: 23, 4: 6}, 10), 10)) == 10  # of 85 tokens; 11 by best fit
+    for _ in range(150):
+        cap = rng.choice([10, 30, 60])
+        last = packing.local_search(packing.best_fit({rng.randint(1, cap): rng.randint(1, 20) for _ in range(rng.randint(1, cap))}, cap), cap)
+        under = [b for b in last if b.room]
+        steps = [(a, b) for a in under for b in under if b.room <= a.room and (a is not b or a.count > 1) and packing._improvement(a, b)]
+        assert not steps or sum(b.count for b in last) == packing.least_bins(last, cap)
+
+
 def test_packing_of_nothing(spark, texts):
     assert packing.pack(docs_of(spark, texts).limit(0)).count() == 0
 
