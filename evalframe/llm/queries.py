@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
+from pyspark.sql import functions as F
 
 from evalframe.llm import knn, mixing, url_filter
 
@@ -71,7 +71,9 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evalframe.llm.suffix_dedup import remove_repeats
 
-    return remove_repeats(table(spark, sf_dir, "documents"))
+    out = remove_repeats(table(spark, sf_dir, "documents"), with_text=True)
+    # what is left as text; the halves of a character that a string's end cuts are replaced
+    return out.withColumn("text", F.make_valid_utf8(F.col("kept").cast("string"))).drop("kept")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -11,10 +11,15 @@ or more with their neighbours in order are one string, and it repeats if two
 fragments of one anchor have it at the same offset. What a fragment learns counts
 at all its places.
 
-Every anchor's fragments are in one shard, as many as fit a shard's size; an
-anchor with more fragments than that (a passage that very many texts share,
-with different surroundings) has its strings grouped by a hash instead, one row
-for each string, so that no task gets all of them.
+Equal texts are one before any of this. Every anchor's fragments are in one
+shard, as many as fit a shard's size; an anchor with more fragments than that (a
+passage that very many texts share, with different surroundings) has its strings
+grouped by a hash instead, one row for each string, so that no task gets all of
+them. The result is the same either way.
+
+Hashes are 64 bits; fragments count as equal if those of anchor and fragment both
+agree, strings of a hot anchor if two more do. They are fixed polynomials, good for
+any data that is not made to defeat them.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalframe.llm.common import scratch_path
+from evalframe.llm.common import discard, scratch_path
 from evalframe.llm.suffix_array import permuted_prefixes, suffix_array
 from evalframe.llm.textblocks import Block, blocks, mix, powers
 
@@ -38,6 +43,22 @@ SHARD_FRAGMENTS = 1000
 SHARD_BYTES = 1 << 20
 #: Strings whose starts lie in one class, by their distance from the anchor, have all but CLASS - 1 bytes in common places.
 CLASS = 42
+#: Bytes of one text that are worked on at a time: a longer one is cut, with an overlap, so that each string is in one part.
+PART_BYTES = 2 << 20
+
+
+def parts(b: Block, limit: int | None = None) -> Iterator[tuple[Block, int]]:
+    """The block itself, or, of one very long text, overlapping parts with their offsets.
+
+    Each string of LENGTH bytes starts in one part. A fragment that a border cuts becomes two with no string in common.
+    """
+    limit = PART_BYTES if limit is None else limit
+    if len(b) > 1 or len(b.data) <= limit + LENGTH:
+        yield b, 0
+        return
+    for lo in range(0, len(b.data) - LENGTH + 1, limit):
+        data = b.data[lo : lo + limit + LENGTH - 1]
+        yield Block(data, np.zeros(1, np.int64), np.array([len(data)]), b.rows), lo
 
 
 def anchors(b: Block) -> tuple[np.ndarray, ...]:
@@ -79,10 +100,11 @@ _OCCURRENCE = "key binary, pos int, run int, anchor long, fragment long, back sm
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys = batch.column("key")
-        for b in blocks(batch.column("text")):
+        for b, offset in (x for whole in blocks(batch.column("text")) for x in parts(whole)):
             owner, pos, anchor, fragment, back, ahead = anchors(b)
             if not len(owner):
                 continue
+            pos = pos + offset
             # a long run of one character has the same anchor and fragment at every place: one row
             new = np.append(True, (anchor[1:] != anchor[:-1]) | (fragment[1:] != fragment[:-1]) | (pos[1:] != pos[:-1] + 1) | (owner[1:] != owner[:-1]))
             at = np.flatnonzero(new)
@@ -101,22 +123,32 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("anchor", pa.int64()), ("fragment", pa.int64()), ("back", pa.int16()), ("bytes", pa.binary()), ("cores", pa.list_(pa.struct([("c", pa.int16()), ("core", pa.int64())])))])
     for batch in batches:
         texts, asked = batch.column("text"), batch.column("asked").to_pylist()
-        out: dict[str, list] = {f.name: [] for f in schema}
         for b in blocks(texts):
-            prefix = b.prefix_hash()
-            _, down = powers(len(b.data))
-            for i in range(len(b)):
-                for w in asked[b.rows.start + i]:
-                    at = int(b.start[i]) + w["pos"]
-                    out["anchor"].append(w["anchor"])
-                    out["fragment"].append(w["fragment"])
-                    out["back"].append(w["back"])
-                    out["bytes"].append(b.data[at - w["back"] : at + w["ahead"]].tobytes())
-                    c = np.arange(-w["back"] // CLASS, (w["ahead"] - LENGTH) // CLASS + 1)
-                    lo, hi = at + c * CLASS + CLASS - 1, at + c * CLASS + LENGTH
-                    core = mix((prefix[hi] - prefix[lo]) * down[lo]).view(np.int64)
-                    out["cores"].append([{"c": x, "core": y} for x, y in zip(c.tolist(), core.tolist())])
-        yield pa.RecordBatch.from_pydict(out, schema)
+            wanted = [(int(b.start[i]) + w["pos"], w) for i in range(len(b)) for w in asked[b.rows.start + i]]
+            for part in range(0, len(wanted), PART_FRAGMENTS):
+                yield pa.RecordBatch.from_pydict(_cut(b.data, wanted[part : part + PART_FRAGMENTS]), schema)
+
+
+#: Fragments, of at most 2 * LENGTH - GRAM bytes each, that are cut out at a time.
+PART_FRAGMENTS = 4000
+
+
+def _cut(data: np.ndarray, wanted: list[tuple[int, dict]]) -> dict[str, list]:
+    """Rows of ``_pieces``; hashes are taken over the fragments alone, since equal bytes have equal ones wherever they stand."""
+    raws = [data[at - w["back"] : at + w["ahead"]].tobytes() for at, w in wanted]
+    start = np.append(0, np.cumsum([len(r) for r in raws]))
+    joined = np.frombuffer(b"".join(raws), np.uint8)
+    prefix = Block(joined, start[:-1], start[1:], slice(0, 0)).prefix_hash()
+    _, down = powers(len(joined))
+    cores = []
+    for (_, w), first in zip(wanted, start.tolist()):
+        c = np.arange(-w["back"] // CLASS, (w["ahead"] - LENGTH) // CLASS + 1)
+        # what all strings of a class share lies in the fragment if one of them does
+        lo, hi = first + w["back"] + c * CLASS + CLASS - 1, first + w["back"] + c * CLASS + LENGTH
+        core = mix((prefix[hi] - prefix[lo]) * down[lo]).view(np.int64)
+        cores.append([{"c": x, "core": y} for x, y in zip(c.tolist(), core.tolist())])
+    names = ("anchor", "fragment", "back")
+    return {n: [w[n] for _, w in wanted] for n in names} | {"bytes": raws, "cores": cores}
 
 
 def _trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,33 +291,43 @@ def _removed(with_text: bool):
     return run
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    """Written as Parquet to the shared folder and read again: smaller than a checkpoint for wide tables."""
+def _stored(df: DataFrame, name: str, spent: list[str] | None = None) -> DataFrame:
+    """Written as Parquet to the shared folder and read again: smaller than a checkpoint for wide tables.
+
+    With ``spent``, the path is noted there, to be removed when what was made from it is written.
+    """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    if spent is not None:
+        spent.append(path)
     return df.sparkSession.read.parquet(path)
 
 
 def repeated_spans(texts: DataFrame) -> DataFrame:
-    """(key, from, to): byte spans of repeated strings in each text with a ``key``. Spans of a text may overlap."""
-    seen = _stored(texts.where(F.octet_length("text") >= LENGTH).mapInArrow(_occurrences, _OCCURRENCE), "anchors")
+    """(key, from, to): byte spans of repeated strings in each of different texts with a ``key``. Spans of a text may overlap."""
+    spark, spent = texts.sparkSession, []
+    seen = _stored(texts.where(F.octet_length("text") >= LENGTH).select("key", "text").mapInArrow(_occurrences, _OCCURRENCE), "anchors", spent)
     often = seen.groupBy("anchor").agg(F.sum("run").alias("n"), F.min("fragment").alias("lo"), F.max("fragment").alias("hi")).where("n > 1").select("anchor", (F.col("lo") != F.col("hi")).alias("mixed"))
-    often = _stored(often, "often")  # so that the join's shuffles can be split where an anchor is very common
+    often = _stored(often, "often", spent)  # so that the join's shuffles can be split where an anchor is very common
     again = _stored(seen.join(often, "anchor"), "repeated-anchors")
+    discard(spark, spent)
     several = again.where("mixed").groupBy("anchor", "fragment").agg(F.sum("run").alias("n"), F.min(F.struct("key", "pos", "back", "ahead")).alias("at"))
     several = _stored(several, "distinct-fragments")
     asked = several.groupBy("at.key").agg(F.collect_list(F.struct("anchor", "fragment", F.col("at.pos").alias("pos"), F.col("at.back").alias("back"), F.col("at.ahead").alias("ahead"))).alias("asked"))
     plain = "anchor long, fragment long, back smallint, bytes binary"
     got = texts.join(asked, "key").select("text", "asked").mapInArrow(_pieces, plain + ", cores array<struct<c:smallint,core:bigint>>")
-    got = _stored(got.dropDuplicates(["anchor", "fragment"]), "fragments")
+    got = _stored(got, "fragments", spent)
     # strings of a class can only repeat where another fragment of the anchor has the same core
     cores = got.select("anchor", "fragment", F.inline("cores"))
     twice = cores.groupBy("anchor", "c", "core").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "c", "core")
     kept = cores.join(twice, ["anchor", "c", "core"]).groupBy("anchor", "fragment").agg(F.min("c").alias("first"), F.max("c").alias("last"))
     pieces = _stored(got.drop("cores").join(kept, ["anchor", "fragment"]).mapInArrow(_trimmed, plain), "trimmed")
+    discard(spark, spent)
     size = pieces.groupBy("anchor").agg(F.count("*").alias("fragments"))
     pieces = pieces.join(size, "anchor")
-    small = pieces.where(F.col("fragments") <= SHARD_FRAGMENTS).repartition("anchor").sortWithinPartitions("anchor")
+    # as many tasks as the session shuffles to: the rows are few bytes, but sorting suffixes is long work
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    small = pieces.where(F.col("fragments") <= SHARD_FRAGMENTS).repartition(tasks, "anchor").sortWithinPartitions("anchor")
     schema = "anchor long, fragment long, from int, to int"
     found = small.select("anchor", "fragment", "back", "bytes").mapInArrow(_shards, schema)
     strings = pieces.where(F.col("fragments") > SHARD_FRAGMENTS).select("anchor", "fragment", "back", "bytes").mapInArrow(_strings, "anchor long, fragment long, from int, string long")
@@ -308,11 +350,10 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     An empty table gives an empty result. Columns other than doc_id and text play no part.
     """
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.unhex(F.md5("text")))
-    spans = repeated_spans(keyed.select("key", "text"))
-    copies = keyed.groupBy("key").agg(F.count("*").alias("copies"))
-    # the spans of equal texts are alike: the set of them
-    each = spans.groupBy("key").agg(F.collect_set(F.struct("from", "to")).alias("spans"))
-    known = copies.join(each, "key", "left")
+    # copies are whole repeats, and add nothing to what other texts repeat: each text is looked at once
+    texts = _stored(keyed.groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("copies")), "texts")
+    each = repeated_spans(texts).groupBy("key").agg(F.collect_set(F.struct("from", "to")).alias("spans"))
+    known = texts.select("key", "copies").join(each, "key", "left")
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = keyed.join(known, "key").select("doc_id", "text", "copies", "spans")
     return rows.mapInArrow(_removed(with_text), f"doc_id {kind}, {_REMOVED}" + ", kept binary" * with_text)

@@ -381,6 +381,40 @@ def test_repeats_equal_brute_force(spark, monkeypatch, limit):
     assert [tuple(r)[1:] for r in got] == list(without_repeats(every))
 
 
+def test_very_long_texts_are_cut_into_parts(monkeypatch):
+    """Every string lies in one fragment, wherever a part ends, and parts tell equal strings as the whole does."""
+    import pyarrow as pa
+
+    rng = random.Random(12)
+    text = prose(rng, 1500)
+    text += text[2000:4000]
+    n = len(text.encode())
+
+    def rows():
+        batch = pa.RecordBatch.from_arrays([pa.array([b"k"]), pa.array([text])], ["key", "text"])
+        return [r for out in suffix_dedup._occurrences(iter([batch])) for r in out.to_pylist()]
+
+    whole = rows()
+    monkeypatch.setattr(suffix_dedup, "PART_BYTES", 700)
+    cut = rows()
+    assert len(cut) > len(whole)
+    for found in (whole, cut):
+        starts = Counter(s for r in found for p in range(r["pos"], r["pos"] + r["run"]) for s in range(p - r["back"], p + r["ahead"] - suffix_dedup.LENGTH + 1))
+        assert starts == Counter(range(n - suffix_dedup.LENGTH + 1))
+    assert {(r["pos"], r["anchor"]) for r in whole} == {(r["pos"], r["anchor"]) for r in cut}
+
+
+def test_copies_are_looked_at_once(spark, monkeypatch):
+    rng = random.Random(2)
+    one, other = prose(rng, 120), prose(rng, 130)
+    seen = []
+    real = suffix_dedup.repeated_spans
+    monkeypatch.setattr(suffix_dedup, "repeated_spans", lambda texts: seen.append(texts.count()) or real(texts))
+    every = [one] * 50 + [other, "z " + one + " y"]
+    got = sorted(suffix_dedup.remove_repeats(docs_of(spark, every)).collect())
+    assert seen == [3] and [tuple(r)[1:] for r in got] == list(without_repeats(every))
+
+
 def test_kept_bytes_and_nothing(spark):
     docs = docs_of(spark, ["short", None, "é" * 300])
     assert [bytes(r.kept) for r in sorted(suffix_dedup.remove_repeats(docs, with_text=True).collect())][0] == b"short"
