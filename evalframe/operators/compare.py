@@ -121,8 +121,12 @@ def decide(rows: DataFrame, thresholds: dict[str, float] = THRESHOLDS) -> DataFr
 
 
 def row_digest(columns: list[str]) -> Column:
-    """A row's content as hex: its columns by name, nulls marked."""
-    parts = [F.concat(F.lit(c + "="), F.coalesce(F.col(c).cast("string"), F.lit("\\N"))) for c in sorted(columns)]
+    """A row's content as hex: its columns by name, each value behind its length, so that no two rows read alike.
+
+    A null has no length, and so differs from every value.
+    """
+    values = [(c, F.col(c).cast("string")) for c in sorted(columns)]
+    parts = [F.concat(F.lit(c + "="), F.coalesce(F.concat(F.length(v).cast("string"), F.lit(":"), v), F.lit("null"))) for c, v in values]
     return F.sha2(F.concat_ws("|", *parts), 256)
 
 

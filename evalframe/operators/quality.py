@@ -6,13 +6,16 @@ image or label, ``path``), and ``files`` has the paths that exist.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalframe.functions import exprs as X
+from evalframe.sources.inventory import read_labels, read_meta
 
+#: The names of issues.
 CATEGORIES = ("duplicate_id", "missing_file", "unsupported_type", "missing_label", "inconsistent_dimensions", "corrupted_metadata")
 
 
@@ -38,8 +41,13 @@ def size_issues(sample_files: DataFrame, meta: DataFrame) -> DataFrame:
     return broken.unionByName(differing).unionByName(label)
 
 
-def validate_samples(samples: DataFrame, sample_files: DataFrame, files: DataFrame, meta: DataFrame | None = None, bands: int | None = None) -> DataFrame:
-    """All issues of samples and their files. A sample without a label is a warning."""
+def validate_samples(samples: DataFrame, sample_files: DataFrame, files: DataFrame, meta: DataFrame | None = None, bands: int | None = None, meta_reader: Callable | None = None) -> DataFrame:
+    """All issues of samples and their files. A sample without a label is a warning.
+
+    Sizes are checked by a table ``meta``, or by ``meta_reader`` over the ``content`` of the samples' files.
+    """
+    if meta is None and meta_reader is not None:
+        meta = read_meta(files.join(sample_files.select("path").distinct(), "path", "left_semi"), meta_reader)
     present = sample_files.join(files.select("path").distinct().withColumn("_here", F.lit(True)), "path", "left")
     parts = [
         _issue(duplicate_ids(samples), "duplicate_id", F.col("n")),
@@ -79,12 +87,16 @@ def present_classes(pixels: DataFrame, required: list[int]) -> DataFrame:
     return per.withColumn("absent", F.array_except(F.array(*map(F.lit, required)), "present"))
 
 
-def dataset_status(sample_files: DataFrame, files: DataFrame, expected: DataFrame | None, labels: DataFrame | None, num_classes: int, required: list[int], bands: int | None = None, strict: bool = False) -> DataFrame:
+def dataset_status(sample_files: DataFrame, files: DataFrame, expected: DataFrame | None, labels: DataFrame | None, num_classes: int, required: list[int], bands: int | None = None, strict: bool = False, label_reader: Callable | None = None) -> DataFrame:
     """Check states of each dataset and its overall state.
 
-    ``files``: path, checksum. ``expected``: path, expected. ``labels``: dataset, label. As the rules have it, one file
-    is as good as the expected number of bands unless ``strict``; labels count only if all files exist.
+    ``files``: path, checksum. ``expected``: path, expected. ``labels``: dataset, label; without it ``label_reader``
+    reads the ``content`` of the label files. As the rules have it, one file is as good as the expected number of bands
+    unless ``strict``; labels count only if all files exist.
     """
+    if labels is None and label_reader is not None:
+        own = sample_files.where("kind = 'label'").select("path", "dataset").distinct()
+        labels = read_labels(files.join(own.select("path").distinct(), "path", "left_semi"), label_reader).join(own, "path").select("dataset", "label")
     here = sample_files.join(files.select("path", "checksum").dropDuplicates(["path"]).withColumn("_here", F.lit(True)), "path", "left")
     wrong = F.lit(None).cast("boolean")
     if expected is not None:
@@ -150,6 +162,7 @@ def verification(manifest: DataFrame, summary: DataFrame, expected: DataFrame, f
     return o.select("dataset", "download", "completeness", "checksum_status", "overall", passed.alias("passed"))
 
 
+#: The names of the gates, in order.
 GATES = (
     "validation_ok", "required_files_exist", "checksums_not_failed", "labels_valid", "dimensions_valid", "splits_disjoint", "required_classes_exist", "focus_exists",
     "normalization_stats_exist", "patch_manifest_exists", "preprocessing_version_recorded", "dataset_version_recorded", "licensing_acceptable", "provenance_complete",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalframe.functions.exprs import mask_nodata, size_label
@@ -17,30 +17,87 @@ def long_bands(pixels: DataFrame, bands: list[str], keys: list[str]) -> DataFram
     return pixels.select(*keys, pairs).select(*keys, "b.band", "b.x")
 
 
-def band_stats(pixels: DataFrame, bands: list[str], keys: list[str] | None = None, nodata: dict[str, float] | None = None, percentiles: tuple[float, float] = PERCENTILES, accuracy: int | None = None) -> DataFrame:
+#: Cells of a group's range of values, in which values are counted before those around a rank are looked at.
+CELLS = 4096
+
+
+def _with(rows: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows joined to those of a smaller table with equal keys, null keys included."""
+    named = few.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    if not keys:
+        return rows.crossJoin(F.broadcast(named))  # one row
+    on = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    return rows.join(named, on).drop(*[f"_r_{k}" for k in keys])
+
+
+def exact_percentiles(rows: DataFrame, keys: list[str], column: str, points: list[float]) -> DataFrame:
+    """(*keys, q): exact percentiles of each group's values that are not null, interpolated between neighbours.
+
+    Values are counted by cells of their group's range; only those in the few cells that hold a wanted rank are
+    then counted one by one. No task holds a group's distinct values.
+    """
+    x = F.col(column)
+    known = rows.where(x.isNotNull()).select(*keys, x.alias("_x"))
+    ends = known.groupBy(*keys).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.count("*").alias("_all"))
+    share = (F.col("_x") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2)  # halves, so that a range cannot overflow
+    cell = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor(share * CELLS), F.lit(CELLS - 1))).otherwise(0)
+    placed = _with(known, ends, keys).withColumn("_cell", cell)
+    counts = placed.groupBy(*keys, "_all", "_cell").agg(F.count("*").alias("_n"))
+    group = [F.col(k) for k in keys] or [F.lit(0)]
+    before = Window.partitionBy(*group).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)  # CELLS rows at most
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    at = [F.col("_all") - 1 if p == 1 else (F.col("_all") - 1) * F.lit(float(p)) for p in points]
+    ranks = [f(r).cast("long") for r in at for f in (F.floor, F.ceil)]
+    held = F.lit(False)
+    for r in ranks:
+        held = held | ((r >= F.col("_before")) & (r < F.col("_before") + F.col("_n")))
+    cells = counts.where(held).select(*keys, "_cell", "_before")
+    values = _with(placed.select(*keys, "_all", "_cell", "_x"), cells, [*keys, "_cell"])
+    values = values.groupBy(*keys, "_all", "_cell", "_before", "_x").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*group, "_cell").orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.col("_before") + F.coalesce(F.sum("_n").over(earlier), F.lit(0))
+    values = values.withColumn("_first", first)
+    found = [F.min(F.when((r >= F.col("_first")) & (r < F.col("_first") + F.col("_n")), F.col("_x"))).alias(f"_v{i}") for i, r in enumerate(ranks)]
+    one = values.groupBy(*keys, "_all").agg(*found)
+    q = [F.col(f"_v{2 * i}") + (r - F.floor(r)) * (F.col(f"_v{2 * i + 1}") - F.col(f"_v{2 * i}")) for i, r in enumerate(at)]
+    return one.select(*keys, F.array(*q).alias("q"))
+
+
+def band_stats(pixels: DataFrame, bands: list[str], keys: list[str] | None = None, nodata: dict[str, float] | None = None, percentiles: tuple[float, float] | None = PERCENTILES, accuracy: int | None = None) -> DataFrame:
     """Minimum, maximum, mean, population deviation and two percentiles of the finite values of each band.
 
-    A band without values has zeros. Percentiles interpolate between values; they hold a band's distinct
-    values, so very large inputs may pass ``accuracy`` for approximate ones. The bands are read in one pass.
+    A band without values has zeros. Percentiles interpolate between values and are exact; ``accuracy`` gives
+    approximate ones in the same pass, and ``percentiles`` None leaves them out.
     """
     keys, nodata = keys or [], nodata or {}
+    masked = {b: mask_nodata(F.col(b), nodata.get(b)) for b in bands}
     aggs: list[Column] = []
     for i, b in enumerate(bands):
-        x = mask_nodata(F.col(b), nodata.get(b))
-        low, high = (p / 100 for p in percentiles)
-        q = F.percentile(x, F.array(F.lit(low), F.lit(high))) if accuracy is None else F.percentile_approx(x, [low, high], accuracy)
-        aggs.append(F.struct(F.lit(i).alias("band"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), q.alias("q")).alias(f"s{i}"))
+        x = masked[b]
+        fields = [F.lit(i).alias("band"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std")]
+        if percentiles and accuracy is not None:
+            fields.append(F.percentile_approx(x, [p / 100 for p in percentiles], accuracy).alias("q"))
+        aggs.append(F.struct(*fields).alias(f"s{i}"))
     wide = pixels.groupBy(*keys).agg(*aggs)
-    rows = wide.select(*keys, F.explode(F.array(*[f"s{i}" for i in range(len(bands))])).alias("s"))
     zero = F.lit(0.0)
-    return rows.select(*keys, "s.band", *[F.coalesce(f"s.{c}", zero).alias(c) for c in STATS[:4]], F.coalesce(F.try_element_at("s.q", F.lit(1)), zero).alias("p_low"), F.coalesce(F.try_element_at("s.q", F.lit(2)), zero).alias("p_high"))
+    rows = wide.select(*keys, F.inline(F.array(*[f"s{i}" for i in range(len(bands))])))
+    if percentiles and accuracy is None:
+        own = [*keys, "band"]
+        values = long_bands(pixels.select(*keys, *[x.alias(b) for b, x in masked.items()]), bands, keys)
+        q = exact_percentiles(values, own, "x", [p / 100 for p in percentiles]).withColumnsRenamed({k: f"_q_{k}" for k in own})
+        rows = rows.join(q, [F.col(k).eqNullSafe(F.col(f"_q_{k}")) for k in own], "left")
+    out = [*keys, "band", *[F.coalesce(c, zero).alias(c) for c in STATS[:4]]]
+    if percentiles:
+        out += [F.coalesce(F.try_element_at("q", F.lit(i + 1)), zero).alias(c) for i, c in enumerate(STATS[4:])]
+    return rows.select(*out)
 
 
 def fit_on_split(pixels: DataFrame, splits: DataFrame, bands: list[str], split: str = "train", **options) -> DataFrame:
     """Band statistics over the samples of one split. The split must not be empty: an empty one fails the job."""
     own = pixels.join(splits.where(F.col("split") == split).select("sample_id").distinct(), "sample_id", "left_semi")
-    out = band_stats(own.withColumn("_n", F.lit(1)), bands, **options)
-    return out.where(F.assert_true(F.col("max").isNotNull(), F.lit("the split has no pixels")).isNull())
+    some = own.agg(F.count("*").alias("_pixels"))  # one row
+    out = band_stats(own, bands, **options).crossJoin(F.broadcast(some))
+    return out.where(F.assert_true(F.col("_pixels") > 0, F.lit("the split has no pixels")).isNull()).drop("_pixels")
 
 
 def class_distribution(pixels: DataFrame, splits: DataFrame, classes: DataFrame) -> DataFrame:

@@ -195,7 +195,7 @@ def _(t):
 
 
 def fingerprint_sql(table: str, columns: list[str], keys: str = "") -> str:
-    row = " || '|' || ".join(f"'{c}=' || coalesce(CAST({c} AS VARCHAR), '\\N')" for c in sorted(columns))
+    row = " || '|' || ".join(f"'{c}=' || coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), 'null')" for c in sorted(columns))
     k = f"{keys}, " if keys else ""
     sums = " || ':' || ".join(f"CAST(sum(CAST('0x' || substr(d, {1 + 15 * i}, 15) AS BIGINT)) AS VARCHAR)" for i in range(2))
     return f"SELECT {k}sha256(count(*) || ':' || {sums}) AS fingerprint, count(*) AS rows FROM (SELECT {k}sha256({row}) AS d FROM {table}) GROUP BY ALL"

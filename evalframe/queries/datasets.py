@@ -32,9 +32,17 @@ def paired_files(t):
 PAIRS = "SELECT CAST(doc_id AS VARCHAR) AS sample_id, concat('data/images/', CAST(doc_id AS VARCHAR), CASE doc_id % 3 WHEN 0 THEN '.tif' ELSE '.TIFF' END) AS image_path, CASE WHEN label IS NOT NULL THEN concat('data/labels/', CAST(doc_id AS VARCHAR), '.tif') END AS label_path FROM docs_labelled WHERE doc_id % 3 < 2"
 
 
+def scanned(t, name):
+    """The files of ``paired_files`` as files that are written to the shared folder and scanned there, by relative path."""
+    root = scratch(t.spark, name)
+    kind, file = F.split_part(F.col("path"), F.lit("/"), F.lit(2)), F.split_part(F.col("path"), F.lit("/"), F.lit(3))
+    K.write_files(paired_files(t).select(kind.alias("folder"), file.alias("name"), F.col("length").cast("string").alias("value")), f"{root}/data")
+    return I.scan_folders(t.spark, root)
+
+
 @query("s01_discover_paired_files", PAIRS)
 def _(t):
-    return I.discover_pairs(paired_files(t))
+    return I.discover_pairs(scanned(t, "s01"))
 
 
 @query("j01_image_label_pair", f"SELECT label_path IS NOT NULL AS has_label, count(*) AS samples FROM ({PAIRS}) GROUP BY ALL")
@@ -52,22 +60,31 @@ def _(t):
 
 @query("s03_discover_missing_root", f"SELECT 'data/' AS root, count(*) AS files, 'ok' AS message FROM ({IMAGE_FILES}) UNION ALL SELECT 'other', count(*), 'dataset root has no files' FROM ({IMAGE_FILES}) WHERE path LIKE 'other/%'")
 def _(t):
-    files = paired_files(t)
+    files = scanned(t, "s03")
     return I.discover(files, "data/")[1].unionByName(I.discover(files, "other")[1])
 
 
 HOST = "regexp_extract(path, '://([^/]+)', 1)"
 
 
-@query("s04_file_inventory", f"SELECT {HOST} AS dataset, count(*) AS file_count, CAST(sum(n_chars) AS BIGINT) AS total_bytes FROM file_inventory WHERE NOT ends_with(path, '/README.md') GROUP BY ALL")
+def scanned_pages(t, name, content=False):
+    """The pages as files, by host, that are written to the shared folder and scanned there; a file ends with a line's end."""
+    root = scratch(t.spark, name)
+    page = F.concat(F.col("page_id").cast("string"), F.lit(".html"))
+    K.write_files(t.file_inventory.select(F.regexp_extract("path", "://([^/]+)", 1).alias("folder"), page.alias("name"), F.col("content").alias("value")), root)
+    return I.scan_folders(t.spark, root, content)
+
+
+@query("s04_file_inventory", f"SELECT {HOST} AS dataset, count(*) AS file_count, CAST(sum(strlen(content) + 1) AS BIGINT) AS total_bytes FROM file_inventory GROUP BY ALL")
 def _(t):
-    files = t.file_inventory.select(F.regexp_extract("path", "://([^/]+)", 1).alias("dataset"), "path", F.col("n_chars").cast("long").alias("length"))
-    return I.directory_summary(files, ["dataset"])
+    files = scanned_pages(t, "s04")
+    return I.directory_summary(files.withColumn("dataset", F.split_part(F.col("path"), F.lit("/"), F.lit(1))), ["dataset"])
 
 
-@query("s05_checksum_scan", "SELECT page_id, sha256(content) AS checksum FROM file_inventory")
+@query("s05_checksum_scan", "SELECT page_id, sha256(content || chr(10)) AS checksum FROM file_inventory")
 def _(t):
-    return I.checksums(t.file_inventory).select("page_id", "checksum")
+    files = I.checksums(scanned_pages(t, "s05", content=True))
+    return files.select(F.regexp_extract("path", r"([0-9]+)\.html$", 1).cast(t.pages.schema["page_id"].dataType).alias("page_id"), "checksum")
 
 
 MANIFEST_FIELDS = ("p_partkey", "p_name", "p_brand", "source", "license")
@@ -210,17 +227,16 @@ def _(t):
 
 
 STATUS = f"""SELECT s.dataset, CASE WHEN missing > 0 THEN 'FAIL' ELSE 'PASS' END AS file_status, CASE WHEN mismatches > 0 THEN 'FAIL' ELSE 'PASS' END AS checksum_status, CASE WHEN missing > 0 THEN 'NOT_VERIFIED' WHEN absent THEN 'FAIL' ELSE 'PASS' END AS label_status,
- CASE WHEN missing > 0 THEN 'NOT_VERIFIED' ELSE 'PASS' END AS dimension_status FROM (SELECT s.dataset, count(CASE WHEN f.path IS NULL THEN 1 END) AS missing, count(CASE WHEN f.path IS NOT NULL AND e.expected <> '' AND lower(e.expected) <> f.checksum THEN 1 END) AS mismatches
- FROM sample_files s LEFT JOIN files_here f ON f.path = s.path LEFT JOIN files_expected e ON e.path = s.path WHERE s.doc_id % 97 > 1 AND s.doc_id % 17 <> 0 AND (s.doc_id % 19 <> 0 OR s.dataset = 'de') AND (s.doc_id % 41 <> 0 OR s.dataset = 'fr') GROUP BY ALL) s
+ CASE WHEN odd > 0 THEN 'FAIL' WHEN missing > 0 THEN 'NOT_VERIFIED' ELSE 'PASS' END AS dimension_status FROM (SELECT s.dataset, count(CASE WHEN f.path IS NULL THEN 1 END) AS missing, count(CASE WHEN f.path IS NOT NULL AND e.expected <> '' AND lower(e.expected) <> f.checksum THEN 1 END) AS mismatches
+ FROM sample_files s LEFT JOIN files_here f ON f.path = s.path LEFT JOIN files_expected e ON e.path = s.path GROUP BY ALL) s
+ JOIN (SELECT dataset, count(CASE WHEN n NOT IN (1, 2) THEN 1 END) AS odd FROM (SELECT dataset, sample_id, count(*) AS n FROM sample_files WHERE kind = 'image' GROUP BY ALL) GROUP BY ALL) o ON o.dataset = s.dataset
  JOIN (SELECT dataset, count(CASE WHEN label = 1 THEN 1 END) = 0 AS absent FROM docs_labelled WHERE label IS NOT NULL GROUP BY ALL) l ON l.dataset = s.dataset"""
 STATUS_SQL = f"SELECT *, CASE WHEN 'FAIL' IN (checksum_status, label_status, dimension_status) THEN 'INVALID' WHEN file_status = 'FAIL' THEN 'INCOMPLETE' WHEN label_status = 'NOT_VERIFIED' THEN 'READY_WITH_WARNINGS' ELSE 'READY' END AS overall FROM ({STATUS})"
 
 
 def status(t):
-    d = F.col("doc_id")
-    own = t.sample_files.where((d % 97 > 1) & (d % 17 != 0) & ((d % 19 != 0) | (F.col("dataset") == "de")) & ((d % 41 != 0) | (F.col("dataset") == "fr")))
     labels = t.docs_labelled.where("label is not null").select("dataset", "label")
-    return Q.dataset_status(own, t.files_here, t.files_expected, labels, 2, [1], 2)
+    return Q.dataset_status(t.sample_files, t.files_here, t.files_expected, labels, 2, [1], 2)
 
 
 @query("c02_validate_dataset", STATUS_SQL)
@@ -239,13 +255,13 @@ def manifest(t):
 
 def observed(t):
     summary = I.directory_summary(t.files_here, ["dataset"])
-    expected = t.files_expected.where("dataset <> 'es'").select("dataset", "path", F.col("path").alias("position"))
+    expected = t.files_expected.select("dataset", "path", F.col("path").alias("position"))
     return manifest(t), summary, expected, t.files_here
 
 
 OBSERVED = f"""SELECT m.*, coalesce(file_count, 0) AS file_count, coalesce(total_bytes, 0) AS total_bytes, coalesce(expected, 0) AS expected, coalesce(missing, 0) AS missing, first_path FROM ({MANIFEST_ROWS}) m
  LEFT JOIN (SELECT dataset, count(*) AS file_count, CAST(sum(length) AS BIGINT) AS total_bytes FROM files_here GROUP BY ALL) s ON s.dataset = m.dataset
- LEFT JOIN (SELECT e.dataset, count(*) AS expected, count(CASE WHEN f.path IS NULL THEN 1 END) AS missing, min(e.path) AS first_path FROM files_expected e LEFT JOIN files_here f ON f.path = e.path WHERE e.dataset <> 'es' GROUP BY ALL) x ON x.dataset = m.dataset"""
+ LEFT JOIN (SELECT e.dataset, count(*) AS expected, count(CASE WHEN f.path IS NULL THEN 1 END) AS missing, min(e.path) AS first_path FROM files_expected e LEFT JOIN files_here f ON f.path = e.path GROUP BY ALL) x ON x.dataset = m.dataset"""
 RECORDED = "coalesce(checksum, '') NOT IN ('', 'TBD')"
 
 
@@ -286,11 +302,11 @@ def _(t):
     return n("samples", I.discover_pairs(paired_files(t))).unionByName(n("issues", issues(t))).unionByName(splits).unionByName(n("patches", P.manifest(t)))
 
 
-@query("c06_split_manifest", f"SELECT doc_id, group_id, split, true AS leakage_ok FROM ({GROUP_SPLIT}) WHERE dataset = 'en'")
+@query("c06_split_manifest", f"SELECT doc_id, group_id, split, true AS leakage_ok FROM ({GROUP_SPLIT})")
 def _(t):
     m = grouped(t)
     leaks = R.leakage(m, "group_id").agg((F.count("*") == 0).alias("leakage_ok"))  # one row
-    return m.where("dataset = 'en'").select("doc_id", "group_id", "split").crossJoin(F.broadcast(leaks))
+    return m.select("doc_id", "group_id", "split").crossJoin(F.broadcast(leaks))
 
 
 GATE_SQL = f"""SELECT s.*, '1.0' AS version, 'p1' AS preprocessing_version, m.license, m.source, pixels FROM ({STATUS_SQL}) s JOIN ({MANIFEST_ROWS}) m ON m.dataset = s.dataset JOIN (SELECT dataset, count(CASE WHEN label = 1 THEN 1 END) AS pixels FROM docs_labelled GROUP BY ALL) f ON f.dataset = s.dataset"""
@@ -355,18 +371,20 @@ def _(t):
     return K.read_records(t.spark, path, m.schema, "csv")
 
 
-@query("s10_write_splits", f"SELECT doc_id, group_id FROM ({GROUP_SPLIT}) WHERE split = 'val'")
+@query("s10_write_splits", f"SELECT doc_id, group_id, split FROM ({GROUP_SPLIT})")
 def _(t):
     path = scratch(t.spark, "s10")
     K.write_splits(grouped(t).select("doc_id", "group_id", "split"), path)
-    return t.spark.read.parquet(f"{path}/parquet").where("split = 'val'").select("doc_id", "group_id")
+    return t.spark.read.parquet(f"{path}/parquet").select("doc_id", "group_id", "split")
 
 
-@query("s11_write_report", "SELECT label, count(*) AS n FROM pixels GROUP BY ALL")
+@query("s11_write_report", "SELECT 'labels' AS section, CAST(label AS VARCHAR) AS item, count(*) AS n FROM pixels GROUP BY ALL UNION ALL SELECT 'scenes', scene, count(*) FROM pixels GROUP BY ALL")
 def _(t):
-    path, table = scratch(t.spark, "s11"), t.pixels.groupBy("label").agg(F.count("*").alias("n"))
-    K.write_report({"labels": table, "scenes": t.pixels.groupBy("scene").agg(F.count("*").alias("n"))}, path)
-    return K.read_records(t.spark, f"{path}/labels", table.schema)
+    path = scratch(t.spark, "s11")
+    tables = {name: t.pixels.groupBy(F.col(c).cast("string").alias("item")).agg(F.count("*").alias("n")) for name, c in (("labels", "label"), ("scenes", "scene"))}
+    K.write_report(tables, path)
+    parts = [K.read_records(t.spark, f"{path}/{name}", df.schema).select(F.lit(name).alias("section"), "item", "n") for name, df in tables.items()]
+    return parts[0].unionByName(parts[1])
 
 
 @query("s12_append_metric_log", "SELECT run_id, epoch, value, CAST(NULL AS VARCHAR) AS note FROM metric_log")

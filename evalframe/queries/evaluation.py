@@ -130,11 +130,10 @@ def _(t):
 
 
 @query("j10_class_scaffold", f"""SELECT g.group_id, t.class_index AS true_class, p.class_index AS pred_class, CAST(coalesce(n, 0) AS BIGINT) AS n
-FROM (SELECT DISTINCT group_id FROM preds WHERE true_class = 2) g CROSS JOIN {CLASS_TABLE} t CROSS JOIN {CLASS_TABLE} p
-LEFT JOIN (SELECT group_id, true_class, pred_class, count(*) AS n FROM preds WHERE true_class = 2 GROUP BY ALL) c ON c.group_id = g.group_id AND c.true_class = t.class_index AND c.pred_class = p.class_index""")
+FROM (SELECT DISTINCT group_id FROM preds) g CROSS JOIN {CLASS_TABLE} t CROSS JOIN {CLASS_TABLE} p
+LEFT JOIN (SELECT group_id, true_class, pred_class, count(*) AS n FROM preds GROUP BY ALL) c ON c.group_id = g.group_id AND c.true_class = t.class_index AND c.pred_class = p.class_index""")
 def _(t):
-    table = C.confusion(t.preds.where("true_class = 2"), ["group_id"])
-    return C.scaffold(table, ["group_id"], classes(t.spark))
+    return C.scaffold(C.confusion(t.preds, ["group_id"]), ["group_id"], classes(t.spark))
 
 
 @query("c09_evaluate", f"SELECT model_id, class_name, support, {ROUNDED} FROM ({COUNTS})")

@@ -31,14 +31,14 @@ SQL = {
        FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
     "image_sizes": "SELECT CAST(doc_id AS VARCHAR(20)) AS sample_id, CAST(100 + n_chars % 900 AS INT) AS height, CAST(100 + doc_id % 900 AS INT) AS width FROM documents",
     "file_inventory": "SELECT page_id, url AS path, length(html) AS n_chars, html AS content FROM pages",
-    "docs_labelled": "SELECT d.doc_id, d.lang AS dataset, d.source AS group_id, d.n_chars, CAST(d.doc_id - CASE WHEN d.doc_id % 97 = 1 THEN 1 ELSE 0 END AS VARCHAR(20)) AS sample_id, l.quality AS label FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
+    "docs_labelled": "SELECT d.doc_id, d.lang AS dataset, d.source AS group_id, d.n_chars, CAST(d.doc_id - CASE WHEN d.doc_id % 31 = 1 AND d.lang IN ('es', 'fr') THEN 1 ELSE 0 END AS VARCHAR(20)) AS sample_id, l.quality AS label FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
     "sample_files": """SELECT sample_id, dataset, 'image' AS kind, concat('images/', CAST(doc_id AS VARCHAR(20)), '_b0.tif') AS path, doc_id, n_chars FROM docs_labelled
        UNION ALL SELECT sample_id, dataset, 'image', concat('images/', CAST(doc_id AS VARCHAR(20)), CASE WHEN doc_id % 13 = 0 THEN '_b1.png' ELSE '_b1.TIFF' END), doc_id, n_chars FROM docs_labelled WHERE n_chars % 11 <> 0
        UNION ALL SELECT sample_id, dataset, 'label', concat('labels/', CAST(doc_id AS VARCHAR(20)), '.tif'), doc_id, n_chars FROM docs_labelled WHERE label IS NOT NULL""",
-    "files_here": "SELECT dataset, path, doc_id, n_chars AS length, md5(path) AS checksum FROM sample_files WHERE NOT (kind = 'image' AND doc_id % 17 = 0 AND path LIKE '%b0%') AND NOT (kind = 'label' AND doc_id % 19 = 0)",
+    "files_here": "SELECT dataset, path, doc_id, n_chars AS length, md5(path) AS checksum FROM sample_files WHERE NOT (dataset = 'de' AND (kind = 'image' AND doc_id % 17 = 0 AND path LIKE '%b0%' OR kind = 'label' AND doc_id % 19 = 0))",
     "files_meta": """SELECT path, CAST(100 + n_chars % 900 + CASE WHEN doc_id % 23 = 0 AND path LIKE '%b1%' THEN 1 WHEN doc_id % 31 = 0 AND kind = 'label' THEN 2 ELSE 0 END AS INT) AS height, CAST(100 + doc_id % 900 AS INT) AS width
        FROM sample_files WHERE NOT (doc_id % 29 = 0 AND path LIKE '%b0%')""",
-    "files_expected": "SELECT dataset, path, doc_id AS position, CASE WHEN doc_id % 41 = 0 THEN upper(md5(concat(path, 'x'))) WHEN doc_id % 3 = 0 THEN '' ELSE upper(md5(path)) END AS expected FROM sample_files",
+    "files_expected": "SELECT dataset, path, doc_id AS position, CASE WHEN doc_id % 11 = 0 AND dataset = 'fr' THEN upper(md5(concat(path, 'x'))) WHEN doc_id % 3 = 0 THEN '' ELSE upper(md5(path)) END AS expected FROM sample_files",
     "metric_log": "SELECT user_id AS run_id, CAST(ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INT) AS epoch, ts, value FROM events",
 }
 DUCK = {"logits": "SELECT vec_id, label, embedding[1:10] AS logits FROM embeddings"}

@@ -29,8 +29,8 @@ STATS_ROUNDED = ", ".join(f'round("{c}", 6) AS "{c}"' for c in S.STATS)
 NODATA = {"b0": 50.0}
 
 
-def band_stats(t, keys=("scene",), pixels=None):
-    return S.band_stats(t.pixels if pixels is None else pixels, BANDS, list(keys), NODATA)
+def band_stats(t, keys=("scene",), **options):
+    return S.band_stats(t.pixels, BANDS, list(keys), NODATA, **options)
 
 
 def r(df, cols=S.STATS):
@@ -102,9 +102,11 @@ def _(t):
 
 
 def normalized(t, mode):
-    stats = band_stats(t).where("band = 1").drop("band")  # one row for each scene
+    """Band 1, as its column says; other bands go the same way."""
+    options = {} if mode == "percentile" else {"percentiles": None}
+    stats = S.band_stats(t.pixels, ["b1"], ["scene"], **options).drop("band")  # one row for each scene
     rows = t.pixels.join(stats, "scene")
-    return rows.select("sample_id", "row_px", "col_px", X.r6(X.normalize(F.col("b1"), mode, {s: F.col(s) for s in S.STATS})).alias("b1"))
+    return rows.select("sample_id", "row_px", "col_px", X.r6(X.normalize(F.col("b1"), mode, {s: F.col(s) for s in stats.columns if s != "scene"})).alias("b1"))
 
 
 def normalized_sql(expr: str) -> str:
@@ -130,7 +132,7 @@ def _(t):
 SELECT p.sample_id, p.row_px, p.col_px, round(CASE WHEN hi - lo < 1e-9 THEN least(greatest(b1, 0), 1) ELSE least(greatest((b1 - lo) / (hi - lo), 0), 1) END, 6) AS red FROM pixels p JOIN q ON q.scene = p.scene""")
 def _(t):
     rgb = S.long_bands(t.pixels, ["b1", "b2", "b3"], ["scene"])
-    q = rgb.groupBy("scene").agg(F.percentile(X.finite(F.col("x")), F.array(F.lit(0.02), F.lit(0.98))).alias("q")).select("scene", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
+    q = S.exact_percentiles(rgb.withColumn("x", X.finite(F.col("x"))), ["scene"], "x", [0.02, 0.98]).select("scene", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
     flat = F.col("hi") - F.col("lo") < 1e-9
     red = F.when(flat, X.clip(F.col("b1"), 0.0, 1.0)).otherwise(X.clip(F.try_divide(F.col("b1") - F.col("lo"), F.col("hi") - F.col("lo")), 0.0, 1.0))
     return t.pixels.join(q, "scene").select("sample_id", "row_px", "col_px", X.r6(red).alias("red"))
@@ -178,12 +180,12 @@ def _(t):
     return t.image_sizes.select("sample_id", F.explode(X.patch_grid(F.col("height"), F.col("width"), PATCH, OVER)).alias("w")).select("sample_id", "w.*")
 
 
-SAMPLE_SPLITS = "SELECT sample_id, CASE WHEN n_bytes % 10 < 7 THEN 'train' WHEN n_bytes % 10 = 7 THEN 'val' ELSE 'test' END AS split FROM samples WHERE n_bytes % 10 <> 9"
+SAMPLE_SPLITS = "SELECT sample_id, CASE WHEN n_bytes % 10 < 7 THEN 'train' WHEN n_bytes % 10 = 7 THEN 'val' ELSE 'test' END AS split FROM samples"
 
 
 def sample_splits(t):
     k = F.pmod("n_bytes", F.lit(10))
-    return t.samples.where(k != 9).select("sample_id", F.when(k < 7, "train").when(k == 7, "val").otherwise("test").alias("split"))
+    return t.samples.select("sample_id", F.when(k < 7, "train").when(k == 7, "val").otherwise("test").alias("split"))
 
 
 def manifest(t):
@@ -252,9 +254,9 @@ def _(t):
     return T.split_lookup(t.samples.select("sample_id", "dataset"), sample_splits(t))
 
 
-@query("j03_image_size_join", "SELECT s.sample_id, s.dataset, height, width FROM samples s JOIN image_sizes i ON s.sample_id = i.sample_id WHERE height > 300")
+@query("j03_image_size_join", "SELECT s.sample_id, s.dataset, height, width FROM samples s JOIN image_sizes i ON s.sample_id = i.sample_id")
 def _(t):
-    return t.samples.select("sample_id", "dataset").join(t.image_sizes.where("height > 300"), "sample_id")
+    return t.samples.select("sample_id", "dataset").join(t.image_sizes, "sample_id")
 
 
 def coin_sql(op: str) -> str:

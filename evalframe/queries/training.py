@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from evalframe.functions.exprs import r6
@@ -97,11 +96,10 @@ def stored_log(t, name: str):
 def _(t):
     log, path = stored_log(t, "st03")
     out = ST.drain(ST.stream_early_stopping(log, PATIENCE, DELTA), path)
-    w = Window.partitionBy("run_id").orderBy(F.col("last_epoch").desc())
-    return out.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("run_id", "best", "stop_epoch")
+    return ST.latest_stops(out).select("run_id", "best", "stop_epoch")
 
 
 @query("st04_stream_best_checkpoint", "SELECT run_id, epoch, value FROM (SELECT *, min(value) OVER (PARTITION BY run_id ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM metric_log) WHERE value < b OR b IS NULL")
 def _(t):
     log, path = stored_log(t, "st04")
-    return ST.drain(ST.stream_best_checkpoints(log), path)
+    return ST.standing_checkpoints(ST.drain(ST.stream_best_checkpoints(log), path))

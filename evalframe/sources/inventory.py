@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +23,70 @@ def scan_files(spark: SparkSession, root: str, content: bool = False) -> DataFra
     return files.select("path", "length", *(["content"] if content else []))
 
 
+def scan_folders(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
+    """Like ``scan_files`` for files that Spark wrote as folders of parts (``write_files``): a row for each folder.
+
+    Paths are relative to the root, and ``name=value`` in them becomes the value. Content is that of all parts, by name.
+    """
+    files = scan_files(spark, root, content).where(F.col("path").rlike("/part-[^/]*$"))
+    mark = root.rstrip("/").rsplit("/", 1)[-1]
+    inside = F.substring_index("path", f"/{mark}/", -1)
+    own = files.withColumns({"part": F.regexp_extract("path", r"([^/]*)$", 1), "path": F.regexp_replace(F.regexp_replace(inside, r"/[^/]*$", ""), r"(^|/)[^/=]+=", "$1")})
+    if not content:
+        return own.groupBy("path").agg(F.sum("length").alias("length"))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("part", "content"))), lambda p: p["content"])
+    return own.groupBy("path").agg(F.sum("length").alias("length"), parts.alias("parts")).select("path", "length", F.aggregate("parts", F.lit(b""), lambda a, b: F.concat(a, b)).alias("content"))
+
+
+META = "path string, height int, width int, count int, dtype string, crs string, transform array<double>, nodata double"
+_META = [part.split()[0] for part in META.split(", ")]
+
+
+def read_meta(files: DataFrame, reader: Callable[[str, bytes], dict]) -> DataFrame:
+    """Raster metadata of files with ``content`` by the user's reader, which gets a path and bytes and gives a dict.
+
+    A file at which the reader fails has nulls besides its path, which validation reports as corrupted.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            rows = []
+            for path, raw in zip(df["path"], df["content"]):
+                try:
+                    got = dict(reader(path, bytes(raw)))
+                except Exception:  # noqa: BLE001 - whatever the reader cannot read
+                    got = {}
+                rows.append([path, *(got.get(c) for c in _META[1:])])
+            yield pd.DataFrame(rows, columns=_META).astype({"height": "Int32", "width": "Int32", "count": "Int32", "nodata": "Float64"})
+
+    return files.select("path", "content").mapInPandas(run, META)
+
+
+def read_labels(files: DataFrame, reader: Callable[[str, bytes], np.ndarray]) -> DataFrame:
+    """(path, label, pixels): the classes of each label file and how often they occur, by the user's reader of class arrays."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            for path, raw in zip(df["path"], df["content"]):
+                label, n = np.unique(np.asarray(reader(path, bytes(raw))), return_counts=True)
+                yield pd.DataFrame({"path": path, "label": label.astype("int32"), "pixels": n.astype("int64")})
+
+    return files.select("path", "content").mapInPandas(run, "path string, label int, pixels long")
+
+
+def read_bands(files: DataFrame, reader: Callable[[str, bytes], np.ndarray]) -> DataFrame:
+    """(path, row_px, col_px, bands): every pixel of image files, by the user's reader of arrays (band, row, column)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            for path, raw in zip(df["path"], df["content"]):
+                x = np.asarray(reader(path, bytes(raw)), float)
+                row, col = np.divmod(np.arange(x.shape[1] * x.shape[2]), x.shape[2])
+                yield pd.DataFrame({"path": path, "row_px": row, "col_px": col, "bands": list(x.reshape(len(x), -1).T)})
+
+    return files.select("path", "content").mapInPandas(run, "path string, row_px long, col_px long, bands array<double>")
+
+
 def file_stem(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+?)(\.[^./]*)?$", 1)
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder of ``spark.checkpoint.dir``; in a temporary one only where that is unset."""
+    """A fresh path in the folder of ``spark.checkpoint.dir``, which the session must name."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return f"{at or tempfile.mkdtemp(prefix='evalframe-')}/{name}-{uuid.uuid4().hex}"
+    if not at:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{at}/{name}-{uuid.uuid4().hex}"

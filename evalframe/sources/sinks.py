@@ -16,6 +16,11 @@ def write_csv(df: DataFrame, path: str, columns: tuple[str, ...] | None = None,
     df.select(*(columns or df.columns)).write.mode(mode).option("header", True).csv(path)
 
 
+def write_files(df: DataFrame, path: str) -> None:
+    """A text file for each row: ``value`` and a line's end, in ``folder``, under ``name`` (a folder of one part each)."""
+    df.select("folder", "name", "value").write.partitionBy("folder", "name").text(path)
+
+
 def write_splits(splits: DataFrame, path: str) -> None:
     """Parquet by split, so that a reader of one split reads only its files, and JSON."""
     splits.write.partitionBy("split").parquet(f"{path}/parquet")

@@ -14,8 +14,11 @@ from evalframe.operators import compare as M
 from evalframe.operators import confusion as C
 from evalframe.operators import quality as Q
 from evalframe.operators import ranking as R
+from evalframe.operators import stats as S
 from evalframe.operators import training_log as L
 from evalframe.sources import inventory as I
+from evalframe.sources import sinks as K
+from evalframe.sources.shared import scratch
 from evalframe.streaming import metrics as ST
 
 
@@ -127,6 +130,113 @@ def test_fingerprint_ignores_order_but_not_repeats(spark):
     assert M.fingerprint(spark.createDataFrame(rows + rows[:1] * 2, "a int, b string")).first().fingerprint != one.fingerprint
 
 
+def test_fingerprint_tells_alike_rows_apart(spark):
+    def of(*rows):
+        return M.fingerprint(spark.createDataFrame(list(rows), "a string, b string")).first().fingerprint
+
+    seen = [of(("1|b=2", "3")), of(("1", "2|b=3")), of(("1", None)), of(("1", "\\N")), of(("1", "null")), of(("1", "")), of(("1|b=1:2", None)), of((None, None))]
+    assert len(set(seen)) == len(seen)
+
+
+def test_ranks_of_alike_samples_go_by_id(spark):
+    ids = [f"{i:05d}" for i in range(0, 4000, 7)] + ["a", "", "é1", "00000x"]
+    df = spark.createDataFrame([(i, 1.0, 1) for i in ids], "sample_id string, error_rate double, error_count long").withColumn("severity", X.severity(F.col("error_rate")))
+    got = R.rank_samples(df).orderBy("rank").collect()
+    assert [r.sample_id for r in got] == sorted(ids) and [r["rank"] for r in got] == list(range(1, len(ids) + 1))
+
+
+@pytest.mark.parametrize("cells", [4096, 3])
+def test_exact_percentiles(spark, monkeypatch, cells):
+    import numpy as np
+
+    monkeypatch.setattr(S, "CELLS", cells)
+    rng = random.Random(7)
+    groups = {"a": [rng.gauss(0, 1e3) for _ in range(501)], "b": [2.0] * 40, None: [float(rng.randint(0, 4)) for _ in range(77)], "c": [-1e308, 1e308, 3.0], "d": [5.0]}
+    rows = [(g, x) for g, xs in groups.items() for x in xs] + [("a", None), ("e", None)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(3)
+    points = [0.0, 0.02, 0.5, 0.98, 1.0]
+    got = {r.g: r.q for r in S.exact_percentiles(df, ["g"], "x", points).collect()}
+    assert set(got) == set(groups)
+    for g in ("a", "b", None, "d"):
+        assert got[g] == pytest.approx(np.quantile(groups[g], points).tolist(), rel=1e-12)
+    assert got["c"][0] == -1e308 and got["c"][2] == 3.0 and got["c"][4] == 1e308
+    assert S.exact_percentiles(df.drop("g"), [], "x", [0.5]).count() == 1
+    assert S.exact_percentiles(df.limit(0), ["g"], "x", [0.5]).count() == 0
+
+
+def test_band_stats_of_ramps_and_nothing(spark):
+    df = spark.createDataFrame([(float(i), -9999.0 if i % 2 else 1.0) for i in range(25)], "b0 double, b1 double")
+    low, high = sorted(S.band_stats(df, ["b0", "b1"], nodata={"b1": -9999.0}).collect(), key=lambda r: r.band)
+    assert (low.min, low.max, low.mean, round(low.p_low, 6), round(low.p_high, 6)) == (0.0, 24.0, 12.0, 0.48, 23.52)
+    assert (high.min, high.max, high.p_low, high.p_high) == (1.0, 1.0, 1.0, 1.0)
+    assert "p_low" not in S.band_stats(df, ["b0"], percentiles=None).columns
+    assert S.band_stats(df.limit(0), ["b0"]).first()[1:] == (0.0,) * 6
+    splits = spark.createDataFrame([(1, "val")], "sample_id int, split string")
+    with pytest.raises(Exception, match="the split has no pixels"):
+        S.fit_on_split(df.withColumn("sample_id", F.lit(1)), splits, ["b0"]).collect()
+
+
+def test_readers_of_files(spark, tmp_path):
+    """Reader hooks: metadata with a file that cannot be read, labels out of range, bands of an image."""
+    import numpy as np
+
+    for name, shape in (("images/a", (1, 2, 3)), ("images/b", (1, 4, 4)), ("labels/a", (2, 3)), ("labels/b", (4, 4))):
+        p = tmp_path / f"{name}.tif"
+        p.parent.mkdir(exist_ok=True)
+        p.write_bytes(repr(shape).encode())
+    (tmp_path / "images/b.tif").write_bytes(b"broken")
+    files = I.checksums(I.scan_files(spark, str(tmp_path), content=True))
+    path = F.col("path")
+    own = files.select(I.file_stem(path).alias("sample_id"), F.lit("d").alias("dataset"), F.when(path.contains("/images/"), "image").otherwise("label").alias("kind"), "path")
+
+    def meta(path, raw):
+        return dict(zip(("height", "width"), eval(raw)[-2:]))
+
+    def labels(path, raw):
+        return np.arange(np.prod(eval(raw))).reshape(eval(raw)) % 10
+
+    samples = own.select("sample_id").distinct()
+    found = {(r.sample_id, r.category) for r in Q.validate_samples(samples, own, files, meta_reader=meta).collect()}
+    assert found == {("b", "corrupted_metadata")}
+    counts = {(I_.path[-5:], I_.label): I_.pixels for I_ in I.read_labels(files.where(path.contains("/labels/")), labels).collect()}
+    assert counts["a.tif", 5] == 1 and counts["b.tif", 3] == 2
+    assert Q.dataset_status(own, files, None, None, 10, [9], label_reader=labels).first().label_status == "PASS"
+    assert Q.dataset_status(own, files, None, None, 9, [1], label_reader=labels).first().label_status == "FAIL"
+    bands = I.read_bands(files.where(path.endswith("images/a.tif")), lambda p, raw: np.arange(6).reshape(eval(raw))).collect()
+    assert [(r.row_px, r.col_px, r.bands) for r in bands] == [(i // 3, i % 3, [float(i)]) for i in range(6)]
+
+
+def test_files_of_parts_are_scanned_as_files(spark, tmp_path):
+    rows = spark.createDataFrame([("images", "a.tif", "é"), ("images", "b=1.tif", "xy"), ("labels", "a.tif", "z")], "folder string, name string, value string")
+    K.write_files(rows, str(tmp_path / "root/data"))
+    got = {r.path: (r.length, bytes(r.content)) for r in I.scan_folders(spark, str(tmp_path / "root"), content=True).collect()}
+    assert got["data/images/a.tif"] == (3, "é\n".encode()) and got["data/labels/a.tif"] == (2, b"z\n") and len(got) == 3
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_late_epochs_count_as_if_in_time(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    rows = [(r, e, float(rng.randint(0, 50))) for r in range(6) for e in range(15)]
+    log = spark.createDataFrame(rows, "run_id long, epoch int, value double")
+    rng.shuffle(rows)
+    for i in range(3):  # three micro-batches, in no order of epochs
+        spark.createDataFrame(rows[i::3], log.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log"))
+    stops = ST.latest_stops(ST.drain(ST.stream_early_stopping(stream, 3, 1.0), str(tmp_path / "s")))
+    assert {(r.run_id, r.best, r.stop_epoch) for r in stops.collect()} == {(r.run_id, r.best, -1 if r.stop_epoch is None else r.stop_epoch) for r in L.early_stopping(log, 3, 1.0).collect()}
+    best = ST.standing_checkpoints(ST.drain(ST.stream_best_checkpoints(stream), str(tmp_path / "b")))
+    assert {tuple(r) for r in best.collect()} == {(r.run_id, r.epoch, r.value) for r in L.best_so_far(log).where("improved").collect()}
+
+
+def test_writing_needs_a_shared_folder():
+    class Unset:
+        conf = type("C", (), {"get": staticmethod(lambda k, d=None: d)})
+        sparkContext = type("X", (), {"getConf": staticmethod(lambda: Unset.conf)})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch(Unset, "x")
+
+
 def test_augmentation_registry(spark):
     df = spark.createDataFrame([(1, 0, 0, 2, 3, 5.0)], "sample_id int, row_px int, col_px int, height int, width int, b0 double")
     turned = A.pipeline(df, [("rotate", {"quarters": 4, "p": 1.1})]).first()
@@ -144,7 +254,7 @@ def test_stream_equals_batch(spark, tmp_path):
     log.write.parquet(str(tmp_path / "log"))
     stream = spark.readStream.schema(log.schema).parquet(str(tmp_path / "log"))
     out = ST.drain(ST.stream_early_stopping(stream, 3, 1.0), str(tmp_path / "s"))
-    got = {r.run_id: (r.best, r.stop_epoch) for r in out.collect()}
+    got = {r.run_id: (r.best, r.stop_epoch) for r in ST.latest_stops(out).collect()}
     want = {r.run_id: (r.best, -1 if r.stop_epoch is None else r.stop_epoch) for r in L.early_stopping(log, 3, 1.0).collect()}
     assert got == want
 
