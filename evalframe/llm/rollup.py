@@ -5,11 +5,14 @@ them away, a revision adds the difference of two counts. A batch of events is
 pre-aggregated and committed under its id as one small delta of the additive
 totals by source, language and tokenizer version. A batch that was committed
 before changes nothing, so a job that is run again after a failure counts
-nothing twice; a half-written delta has no success mark and is written anew.
+nothing twice. A delta is written to a folder of its attempt and renamed when it
+is whole, which only one of several writers of an id can do; totals read marked
+folders only, so what a lost writer left counts nowhere.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,18 +25,63 @@ from evalframe.llm.tokens import default_path, tokenizer
 KEYS = ("source", "lang", "version")
 
 
+_SCHEMA = "source string, lang string, version string, n_docs long, n_tokens long, n_events long"
+_COUNTS = ("n_docs", "n_tokens", "n_events")
+
+
 class TokenRollup:
-    """A rollup table at a path that driver and executors share."""
+    """A rollup table at a path that driver and executors share.
+
+    ``batch=<id>`` has the delta of a batch; ``base=<n>`` the totals of all batches whose ids it lists, which
+    ``compact`` makes so that totals need not read every delta there ever was.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
-    def _mark(self, batch: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/batch={batch}/_SUCCESS")
+    def _at(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+
+    def _files(self):
+        return self._at("x").getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _marked(self, kind: str) -> list[str]:
+        """Ids of the whole folders of a kind."""
+        fs, top = self._files(), self._at("x").getParent()
+        names = [f.getPath().getName() for f in fs.listStatus(top)] if fs.exists(top) else []
+        return [n.removeprefix(kind + "=") for n in names if n.startswith(kind + "=") and fs.exists(self._at(f"{n}/_SUCCESS"))]
+
+    def _base(self) -> int | None:
+        return max(map(int, self._marked("base")), default=None)
+
+    def _put(self, attempt: str, name: str) -> bool:
+        """Renames an attempt's folder; False if another writer's whole folder is there."""
+        fs, target = self._files(), self._at(name)
+        if fs.exists(target) and not fs.exists(self._at(f"{name}/_SUCCESS")):
+            fs.delete(target, True)  # renamed folders are whole: this one lost its mark or was put here by other means
+        jvm = self.spark._jvm
+        kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = self.spark.sparkContext._gateway.new_array(kind, 1)
+        how[0] = kind.NONE
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), self.spark._jsc.hadoopConfiguration())
+        try:
+            context.rename(self._at(attempt), target, how)  # fails if the target exists
+        except Exception:
+            fs.delete(self._at(attempt), True)
+            if not fs.exists(self._at(f"{name}/_SUCCESS")):
+                raise
+            return False
+        return True
+
+    def _ids(self) -> DataFrame | None:
+        base = self._base()
+        return None if base is None else self.spark.read.schema("batch string").json(f"{self.path}/base={base}/ids")
 
     def committed(self, batch: str) -> bool:
-        mark = self._mark(batch)
-        return mark.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(mark)
+        if self._files().exists(self._at(f"batch={batch}/_SUCCESS")):
+            return True
+        ids = self._ids()
+        return ids is not None and not ids.where(F.col("batch") == batch).isEmpty()
 
     def commit(self, batch: str, events: DataFrame) -> bool:
         """Adds a batch of events once: False, and no change, if its id was committed before.
@@ -44,13 +92,43 @@ class TokenRollup:
         if self.committed(batch):
             return False
         delta = events.groupBy(*KEYS).agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("n_docs", "n_tokens")], F.count("*").alias("n_events"))
-        delta.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
-        return True
+        attempt = f"_attempt-{uuid.uuid4().hex}"
+        delta.write.parquet(f"{self.path}/{attempt}")
+        return self._put(attempt, f"batch={batch}")
+
+    def _open(self) -> list[str]:
+        """Ids of marked deltas that the base does not have."""
+        marked, ids = self._marked("batch"), self._ids()
+        held = set() if ids is None or not marked else {r.batch for r in ids.where(F.col("batch").isin(marked)).collect()}  # of the folders there are
+        return sorted(set(marked) - held)
 
     def totals(self) -> DataFrame:
-        """Totals over all committed batches. Keys whose documents are all gone stay, with zeros."""
-        schema = "source string, lang string, version string, n_docs long, n_tokens long, n_events long, batch string"
-        return self.spark.read.schema(schema).parquet(self.path).groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_events").alias("n_events"))
+        """Totals over all committed batches. Keys whose documents are all gone stay, with zeros; no batch gives no rows."""
+        base, read = self._base(), self.spark.read.schema(_SCHEMA)
+        paths = [f"{self.path}/batch={b}" for b in self._open()] + ([] if base is None else [f"{self.path}/base={base}/totals"])
+        rows = read.parquet(*paths) if paths else self.spark.createDataFrame([], _SCHEMA)
+        return rows.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in _COUNTS])
+
+    def compact(self) -> int:
+        """Folds all committed batches into a new base and gives the number of those folded.
+
+        Folders that the base before this one held are removed; those folded now stay until the next time, for
+        readers that have their paths. A batch stays committed, whether or not its folder does.
+        """
+        fresh, old, ids = self._open(), self._base(), self._ids()
+        if not fresh:
+            return 0
+        gone = [b for b in self._marked("batch") if b not in fresh]
+        attempt = f"_attempt-{uuid.uuid4().hex}"
+        self.totals().write.parquet(f"{self.path}/{attempt}/totals")
+        listed = self.spark.createDataFrame([(b,) for b in fresh], "batch string")
+        (listed if ids is None else ids.unionByName(listed)).write.json(f"{self.path}/{attempt}/ids")
+        self._files().create(self._at(f"{attempt}/_SUCCESS")).close()
+        if not self._put(attempt, f"base={0 if old is None else old + 1}"):
+            return 0  # another compaction was first
+        for folder in [f"batch={b}" for b in gone] + ([] if old is None or old < 1 else [f"base={old - 1}"]):
+            self._files().delete(self._at(folder), True)
+        return len(fresh)
 
 
 def inserts(rows: DataFrame, tokens: Column, docs: Column | None = None) -> DataFrame:
@@ -120,4 +198,5 @@ def maintain(docs: DataFrame, path: str | None = None, tokenizer_path: str | Non
     own = F.col("source").eqNullSafe(F.col("stay.source")) & F.col("lang").eqNullSafe(F.col("stay.lang"))
     gone = alike.join(stays, "text_md5").withColumn("gone", F.col("n") - F.when(own, 1).otherwise(0)).where("gone > 0")
     rollup.commit("deletes", deletes(gone, F.col("n_clean"), F.col("gone")))
+    rollup.compact()
     return rollup.totals()

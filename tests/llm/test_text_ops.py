@@ -295,10 +295,42 @@ def test_commits_are_idempotent(spark, tmp_path):
     e = spark.createDataFrame([("a", "en", "v1", 1, 10), ("a", None, "v1", 1, None)], "source string, lang string, version string, n_docs long, n_tokens long")
     assert t.commit("one", e) and not t.commit("one", e)
     (tmp_path / "r/batch=one/_SUCCESS").unlink()  # as if the writer had been lost
+    assert t.totals().count() == 0 and not t.committed("one")
     assert t.commit("one", e)
     assert sorted((r.lang or "", r.n_docs, r.n_tokens) for r in t.totals().collect()) == [("", 1, 0), ("en", 1, 10)]
 
 
+def test_uncommitted_batches_count_nowhere(spark, tmp_path):
+    t = rollup.TokenRollup(spark, str(tmp_path / "r"))
+    e = spark.createDataFrame([("a", "en", "v1", 1, 10)], "source string, lang string, version string, n_docs long, n_tokens long")
+    assert t.totals().count() == 0
+    assert t.commit("a", e) and t.commit("b", e)
+    (tmp_path / "r/batch=b/_SUCCESS").unlink()
+    e.write.parquet(str(tmp_path / "r/_attempt-of-a-lost-writer"))
+    assert [(r.n_docs, r.n_tokens) for r in t.totals().collect()] == [(1, 10)]
+
+
+def test_one_of_two_writers_of_a_batch_wins(spark, tmp_path, monkeypatch):
+    t = rollup.TokenRollup(spark, str(tmp_path / "r"))
+    e = spark.createDataFrame([("a", "en", "v1", 1, 10)], "source string, lang string, version string, n_docs long, n_tokens long")
+    monkeypatch.setattr(rollup.TokenRollup, "committed", lambda self, batch: False)  # both look before either has renamed
+    assert t.commit("a", e) and not t.commit("a", e.unionByName(e))
+    assert t.totals().first().n_tokens == 10 and not list((tmp_path / "r").glob("_attempt*"))
+
+
+def test_compaction_keeps_totals_and_ids(spark, tmp_path):
+    t = rollup.TokenRollup(spark, str(tmp_path / "r"))
+    e = spark.createDataFrame([("a", "en", "v1", 1, 10), ("b", None, "v1", 1, 3)], "source string, lang string, version string, n_docs long, n_tokens long")
+    assert t.compact() == 0
+    for k in range(3):
+        assert t.commit(f"x{k}", e)
+        assert t.compact() == 1 and t.compact() == 0
+        assert not t.commit(f"x{k}", e)
+    assert t.commit("late", e)
+    assert sorted((r.source, r.n_docs, r.n_tokens) for r in t.totals().collect()) == [("a", 4, 40), ("b", 4, 12)]
+    assert not (tmp_path / "r/batch=x0").exists() and all(not t.commit(f"x{k}", e) for k in range(3))
+
+
 def test_rollup_of_nothing(spark, texts, tmp_path):
     assert rollup.maintain(docs_of(spark, texts).limit(0), str(tmp_path)).count() == 0
 
