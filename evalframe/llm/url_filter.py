@@ -5,6 +5,13 @@ decision of its aliases: the connected component over redirect and
 canonical-link edges. If a url of the component is allowed by a rule, allow
 takes precedence; else, if one is blocked by a rule, it is blocked; else it is
 allowed. Everything is DataFrame expressions; see ``components`` for the graph.
+
+Edges are what pages say (canonical links and refresh redirects in their html),
+what servers redirect (spellings of one address: scheme, default port, ``www.``
+or ``m.``, a slash, ``index.html`` or ``.html`` at the end, tracking parameters,
+fragment), and what a canonical link would say of mirrors: pages that carry the
+same whole article. The last two go through a node for the address or article,
+so many aliases are a star, never all pairs.
 """
 
 from __future__ import annotations
@@ -76,14 +83,38 @@ def link_edges(pages: DataFrame) -> DataFrame:
     return found.where("href <> ''").select(_node(F.col("url")).alias("a"), _node(_absolute(F.col("href"), F.col("url"))).alias("b"))
 
 
+_HTTP = "(?s)^https?://.*"
+_PORT, _PREFIX, _END, _TRACKING = ":(80|443)?$", r"^(www|m)\.", r"(/index\.html?|\.html?|/)$", "^(utm_|ref=|fbclid=|gclid=)"
+
+
+def canonical(url: Column) -> Column:
+    """The address of which a url is a spelling; null without ``://``."""
+    host = F.regexp_replace(F.regexp_replace(host_of(url), _PORT, ""), _PREFIX, "")
+    path = F.regexp_replace(path_of(url), _END, "")
+    query = F.regexp_extract(url, r"(?s)^.*?://[^?#]*\?([^#]*)", 1)
+    query = F.array_join(F.filter(F.split(query, "&"), lambda x: (x != "") & ~x.rlike(_TRACKING)), "&")
+    scheme = F.when(url.rlike(_HTTP), F.lit("https://")).otherwise(F.regexp_extract(url, r"(?s)^(.*?://)", 1))
+    return F.when(url.contains("://"), F.concat(scheme, host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")))
+
+
+def alias_edges(pages: DataFrame) -> DataFrame:
+    """(a, b) of each page's url and the node of its address, and that of its article, where another url has the same."""
+    article = F.regexp_extract("html", r"(?is)<article\b[^>]*>(.*?)</article>", 1)
+    mirror = F.when(F.trim(article) != "", F.concat(F.lit("article "), F.sha2(article, 256)))
+    keys = pages.where(F.col("url").contains("://")).select(_node(F.col("url")).alias("a"), F.explode(F.array(canonical(F.col("url")), mirror)).alias("b"))
+    keys = keys.where("b is not null")
+    shared = keys.groupBy("b").agg(F.min("a").alias("least"), F.max("a").alias("most")).where("least <> most").select("b")
+    return keys.join(shared, "b").select("a", "b").where("a <> b")
+
+
 def judge_urls(pages: DataFrame, redirects: DataFrame | None = None, rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
     """Host, path, fitting rule and verdict of every page.
 
-    ``redirects`` (``from_url``, ``to_url``), if given, adds edges to those found in the pages' html. A null
+    ``redirects`` (``from_url``, ``to_url``), if given, adds edges to those of the pages. A null
     url, or one without ``://``, has an empty host and path, fits no rule, has no aliases and is allowed.
-    Repeated rows are judged alike; extra columns are not returned.
+    Repeated rows are judged alike; an empty table gives an empty result; extra columns are not returned.
     """
-    edges = link_edges(pages)
+    edges = link_edges(pages).unionByName(alias_edges(pages))
     if redirects is not None:
         edges = edges.unionByName(redirects.select(_node(F.col("from_url")).alias("a"), _node(F.col("to_url")).alias("b")))
     host, path = host_of(F.col("url")), path_of(F.col("url"))
@@ -114,9 +145,15 @@ def oracle_sql() -> str:
     path = "regexp_extract({u}, '^.*?://[^/?#]*([^?#]*)', 1, 's')"
     link = """regexp_extract(regexp_extract(html, '<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*>', 0, 'is'), '\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1, 'is')"""
     meta = """regexp_extract(regexp_extract(html, '<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^>]*>', 0, 'is'), '\\burl\\s*=\\s*["'']?([^"''\\s>;]+)', 1, 'is')"""
+    query = "list_filter(string_split(regexp_extract({u}, '^.*?://[^?#]*\\?([^#]*)', 1, 's'), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '" + _TRACKING + "'))"
+    plain = f"regexp_replace(regexp_replace({host('{u}')}, '{_PORT}', ''), '{_PREFIX}', '') || regexp_replace({path}, '{_END}', '')"
+    address = f"CASE WHEN {{u}} LIKE '%://%' THEN CASE WHEN {{u}} LIKE 'http://%' OR {{u}} LIKE 'https://%' THEN 'https://' ELSE regexp_extract({{u}}, '^(.*?://)', 1, 's') END || {plain} || CASE WHEN len({query}) > 0 THEN '?' || array_to_string({query}, '&') ELSE '' END END"
+    article = "regexp_extract(html, '<article\\b[^>]*>(.*?)</article>', 1, 'is')"
     return f"""
 WITH RECURSIVE found AS (SELECT url, unnest([{link}, {meta}]) AS href FROM pages WHERE url IS NOT NULL AND html IS NOT NULL),
-edges AS (SELECT {node('url')} AS a, {node("replace(href, '&amp;', '&')")} AS b FROM found WHERE href LIKE '%://%'),
+keys AS (SELECT {node('url')} AS a, unnest([{address.replace('{u}', 'url')}, CASE WHEN trim({article}, ' ') <> '' THEN 'article ' || sha256({article}) END]) AS b FROM pages WHERE url LIKE '%://%'),
+edges AS (SELECT {node('url')} AS a, {node("replace(href, '&amp;', '&')")} AS b FROM found WHERE href LIKE '%://%'
+          UNION SELECT a, b FROM keys WHERE b IN (SELECT b FROM keys GROUP BY b HAVING min(a) <> max(a)) AND a <> b),
 sides AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
 reach(a, b) AS (SELECT a, a FROM sides UNION SELECT reach.a, sides.b FROM reach JOIN sides ON reach.b = sides.a),
 parts AS (SELECT a AS node, {host('b')} AS host, {path.format(u='b')} AS path FROM reach),

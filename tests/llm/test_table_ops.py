@@ -73,6 +73,35 @@ def test_redirect_equivalence(spark):
     assert url_filter.judge_urls(rows.limit(0)).count() == 0
 
 
+MIRRORED = [
+    (1, "http://www.a.net:80/x/index.html?utm_source=feed#top", "<article>one</article>", "block"),
+    (2, "https://a.net/x/", "", "block"),
+    (3, "https://m.a.net/x?ref=q", None, "block"),
+    (4, "https://a.net/x?page=2", "", "allow"),  # another page
+    (5, "https://b.com/de/7", "<p><ARTICLE class=x>one</ARTICLE>", "block"),
+    (6, "https://c.net/y", "<article>two</article>", "allow"),
+    (7, "https://d.com/de/7", "<article>two</article>", "block"),  # its own rule
+    (8, "https://d.com/fr/7", "<article>two</article>", "allow"),  # takes precedence for 6
+    (9, "https://e.net/z", "<article> </article>", "allow"),
+    (10, "https://f.com/de/8", "<article> </article>", "block"),
+    (11, "https://example.org:443/es/1", "", "block"),  # no host of a rule, but an address of one
+    (12, "https://www.example.org/es/1", "", "block"),
+    (13, "ftp://a.net/x", "", "allow"),
+]
+
+
+def test_aliases_decide(spark, monkeypatch):
+    rows = spark.createDataFrame([p[:3] for p in MIRRORED], "page_id long, url string, html string")
+    assert sorted((r.page_id, r.verdict) for r in url_filter.judge_urls(rows).collect()) == [(p[0], p[3]) for p in MIRRORED]
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    with_graph = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge_urls(pages).collect()}
+    nothing = spark.createDataFrame([], "a string, b string")
+    monkeypatch.setattr(url_filter, "alias_edges", lambda pages: nothing)
+    without = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge_urls(pages).collect()}
+    changed = [k for k in with_graph if with_graph[k] != without[k]]
+    assert changed and all(with_graph[k] == (None, "block") for k in changed)
+
+
 def brute_mix(docs, epochs=3):
     """Capacities and budgets by repeated water-filling over a dict tree."""
     leaves = {}
