@@ -1,13 +1,18 @@
 """Secret scans (operator 3): all rules as one minimal deterministic automaton.
 
-Each rule has a pattern that bounds its spans and a trigger, a part that every
-kept span holds (with few counted repeats: counts that run side by side multiply
-the automaton's states). The triggers of all rules become one automaton for
-"anything, then a trigger": positions of the parsed patterns, then subset
-construction over byte classes, then minimisation by partition refinement.
-The result is one transition array, and each byte of a text is looked up once
-for all rules. Only texts in which a rule's accepting state is reached have
-that rule's pattern matched to find the exact spans.
+Each rule has a pattern; how long a match must be is a check of its own, since
+counted repeats that run side by side multiply an automaton's states. The
+patterns of all rules become one automaton for "anything, then a match":
+positions of the parsed patterns, then subset construction over byte classes,
+then minimisation by partition refinement. The result is one transition array,
+and each byte of a text is looked up once for all rules.
+
+The states that a text goes through give the spans: a rule's accepting states
+in a row are the last part of its matches, and enough of them in a row make a
+match long enough. The first state means that no match is under way, so between
+two of these lies all that decides where the match began; there the rule's
+pattern finds its exact bounds, leftmost and without overlap. No other part of a
+text is looked at again.
 
 The array is applied to many pieces of text in step. Pieces begin at the start
 of a text or behind a byte that leads from every state to the first one, so
@@ -33,29 +38,31 @@ from evalframe.llm.textblocks import Block, blocks
 
 @dataclass(frozen=True)
 class Rule:
-    """A kind of secret. ``least``: of a match's group (or all of it, 0), so many characters at least."""
+    """A kind of secret, whose ``pattern`` ends with a repeated class.
+
+    ``least``: of a match's group (or all of it, 0), so many characters at least; ``tail``: of its last class, so many.
+    """
 
     kind: str
     pattern: bytes
-    trigger: bytes
     group: int = 0
     least: int = 0
+    tail: int = 1
     fold: bool = False
 
 
 #: The first three are the contract's, the others are public formats of credentials.
 _ASSIGN = rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
-_VALUE = rb"[A-Za-z0-9+/_.=-]"
 RULES = (
-    Rule("assign", _ASSIGN + b"(" + _VALUE + b"+)", _ASSIGN + _VALUE + b"{8}", 2, 8, True),
-    Rule("access", rb"AKIA[A-Z0-9]+", rb"AKIA[A-Z0-9]{12}", 0, 16),
-    Rule("hex", rb"[0-9a-f]+", rb"[0-9a-f]{32}", 0, 32),
-    Rule("github", rb"gh[pousr]_[A-Za-z0-9]{36,}", rb"gh[pousr]_"),
-    Rule("slack", rb"xox[abprs]-[A-Za-z0-9-]{10,}", rb"xox[abprs]-"),
-    Rule("google", rb"AIza[0-9A-Za-z_-]{35}", rb"AIza"),
-    Rule("stripe", rb"sk_live_[0-9A-Za-z]{16,}", rb"sk_live_"),
-    Rule("jwt", rb"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", rb"\.eyJ"),
-    Rule("private_key", rb"-----BEGIN [A-Z ]*PRIVATE KEY-----", rb"PRIVATE KEY-----"),
+    Rule("assign", _ASSIGN + rb"([A-Za-z0-9+/_.=-]+)", 2, 8, 8, True),
+    Rule("access", rb"AKIA[A-Z0-9]+", 0, 16, 12),
+    Rule("hex", rb"[0-9a-f]+", 0, 32, 32),
+    Rule("github", rb"gh[pousr]_[A-Za-z0-9]+", 0, 40, 36),
+    Rule("slack", rb"xox[abprs]-[A-Za-z0-9-]+", 0, 15, 10),
+    Rule("google", rb"AIza[0-9A-Za-z_-]+", 0, 39, 35),
+    Rule("stripe", rb"sk_live_[0-9A-Za-z]+", 0, 24, 16),
+    Rule("jwt", rb"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 32, 8),
+    Rule("private_key", rb"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 27),
 )
 BASE = ("assign", "access", "hex")
 
@@ -132,8 +139,8 @@ class _Positions:
 class Automaton:
     """``step[state + code]`` is the next state, states being multiples of the number of byte classes.
 
-    States from ``accepting`` on have ended a trigger; ``found`` has their rules as bits. A byte with
-    ``resets`` leads from every state to state 0.
+    States from ``accepting`` on have ended a match; ``found`` has their rules as bits. A byte with
+    ``resets`` leads from every state to state 0, in which no match is under way.
     """
 
     code: np.ndarray
@@ -150,12 +157,12 @@ class Automaton:
 
 @lru_cache(maxsize=4)
 def compile_rules(rules: tuple[Rule, ...] = RULES) -> Automaton:
-    """The minimal automaton of all triggers."""
+    """The minimal automaton of all patterns."""
     nfa, starts, ends = _Positions(), set(), {}
     for i, rule in enumerate(rules):
-        first, last, empty = nfa.add(_parser.parse(rule.trigger), rule.fold)
+        first, last, empty = nfa.add(_parser.parse(rule.pattern), rule.fold)
         if empty:
-            raise ValueError(f"the trigger of {rule.kind} matches nothing")
+            raise ValueError(f"the pattern of {rule.kind} matches nothing")
         starts |= first
         for p in last:
             ends[p] = ends.get(p, 0) | 1 << i
@@ -201,8 +208,8 @@ PIECE = 512
 
 
 def scan_block(b: Block, dfa: Automaton) -> np.ndarray:
-    """Bits of the rules whose trigger ends in each text of a block."""
-    out = np.zeros(len(b), np.int64)
+    """The automaton's state after each byte of a block, texts beginning in the first one."""
+    out = np.zeros(len(b.data), np.int32)
     if not len(b.data):
         return out
     code = dfa.code[b.data]
@@ -215,17 +222,12 @@ def scan_block(b: Block, dfa: Automaton) -> np.ndarray:
     start, length = start[order], length[order]
     going = np.searchsorted(-length, -np.arange(length[0]), side="left")
     state = np.zeros(len(start), np.int32)
-    found = np.zeros(len(start), np.int64)
     at = start.copy()
     for n in going.tolist():
         s = dfa.step[state[:n] + code[at[:n]]]
         state[:n] = s
+        out[at[:n]] = s
         at[:n] += 1
-        hit = np.flatnonzero(s >= dfa.accepting)
-        if len(hit):
-            found[hit] |= dfa.found[s[hit] // dfa.width]
-    some = np.flatnonzero(found)
-    np.bitwise_or.at(out, np.searchsorted(b.end, start[some], side="right"), found[some])
     return out
 
 
@@ -234,22 +236,49 @@ def _patterns(rules: tuple[Rule, ...]) -> list[re.Pattern]:
     return [re.compile(r.pattern, re.IGNORECASE if r.fold else 0) for r in rules]
 
 
-def spans_of(raw: bytes, bits: int, rules: tuple[Rule, ...]) -> list[tuple[int, int, int]]:
-    """(start, end, rule) in bytes of the rules named by bits, leftmost and without overlap for each, by start and rule."""
-    found = []
-    for i, p in enumerate(_patterns(rules)):
-        if bits >> i & 1:
-            g, least = rules[i].group, rules[i].least
-            found += [(*m.span(), i) for m in p.finditer(raw) if m.end(g) - m.start(g) >= least]
-    return sorted(found, key=lambda x: (x[0], x[2]))
+def matches(b: Block, dfa: Automaton, rules: tuple[Rule, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rule and range of the block around each run of a rule's accepting states that is long enough.
+
+    A range goes from one first state to the next, within one text, so it holds whole matches and all of a match.
+    """
+    state = scan_block(b, dfa)
+    accepts = np.zeros(len(dfa.step), np.int64)
+    accepts[:: dfa.width] = dfa.found
+    bits = accepts[state]
+    edge = np.zeros(len(state) + 1, bool)
+    edge[b.start] = edge[b.end] = True
+    idle = np.flatnonzero((state == 0) | edge[1:])  # after these bytes no match is under way
+    which, first, last = [], [], []
+    for i, rule in enumerate(rules):
+        on = (bits >> i & 1).astype(bool)
+        change = np.flatnonzero(np.append(True, (on[1:] != on[:-1]) | edge[1:-1])) if len(on) else np.zeros(0, np.int64)
+        size = np.diff(np.append(change, len(on)))
+        kept = on[change] & (size >= rule.tail) if len(on) else np.zeros(0, bool)
+        lo, hi = change[kept], change[kept] + size[kept]
+        before = np.searchsorted(idle, lo) - 1
+        lo = np.where(before >= 0, idle[before] + 1, 0) if len(idle) else lo
+        hi = idle[np.searchsorted(idle, hi - 1)] + 1
+        ranges = np.unique(np.column_stack([lo, hi]), axis=0)
+        which.append(np.full(len(ranges), i))
+        first.append(ranges[:, 0])
+        last.append(ranges[:, 1])
+    return np.concatenate(which), np.concatenate(first), np.concatenate(last)
 
 
 def _each(column: pa.Array, rules: tuple[Rule, ...]) -> Iterator[tuple[Block, int, list[tuple[int, int, int]]]]:
-    dfa = compile_rules(rules)
+    """Each text of a column with its (start, end, rule) in bytes, by start and rule."""
+    dfa, patterns = compile_rules(rules), _patterns(rules)
     for b in blocks(column):
-        bits = scan_block(b, dfa)
+        found: dict[int, list[tuple[int, int, int]]] = {}
+        which, first, last = matches(b, dfa, rules)
+        owner = np.searchsorted(b.end, first, side="right")
+        for k, lo, hi, i in zip(which.tolist(), first.tolist(), last.tolist(), owner.tolist()):
+            g, least, base = rules[k].group, rules[k].least, lo - int(b.start[i])
+            for m in patterns[k].finditer(b.data[lo:hi].tobytes()):
+                if m.end(g) - m.start(g) >= least:
+                    found.setdefault(i, []).append((base + m.start(), base + m.end(), k))
         for i in range(len(b)):
-            yield b, i, spans_of(b.data[b.start[i] : b.end[i]].tobytes(), int(bits[i]), rules) if bits[i] else []
+            yield b, i, sorted(found[i], key=lambda x: (x[0], x[2])) if i in found else []
 
 
 def _points(raw: bytes, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -286,7 +315,8 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Spans of secrets in every whole text: counts and digest of the base kinds, and all spans.
 
     A null text is an empty one and has no spans. Repeated rows are scanned alike; extra columns are not
-    returned. Spans are ``kind:start:end`` in code points, by start, then by the order of the rules.
+    returned; an empty table gives an empty result. Spans are ``kind:start:end`` in code points, by start, then by
+    the order of the rules.
     """
     kinds = "".join(f", n_{r.kind} bigint" for r in rules if r.kind in BASE)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -318,6 +348,7 @@ def _redacted(rules: tuple[Rule, ...]):
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The same rows and columns with every span of ``text`` replaced by its kind in angle brackets.
 
-    Overlapping spans become one mark, of the span that starts first. Null texts stay null.
+    Overlapping spans become one mark, of the span that starts first. Null texts stay null; repeated rows stay; an
+    empty table gives an empty result. Other columns, whatever their names, are returned as they are.
     """
     return docs.mapInArrow(_redacted(rules), docs.schema)
