@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,3 +39,16 @@ def discard(spark: SparkSession, paths: list[str]) -> None:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
     paths.clear()
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns to be added, which no column of the DataFrame has."""
+    mark = "_"
+    while any(c.startswith(mark) for c in df.columns):
+        mark += "_"
+    return [mark + n for n in names]
+
+
+def with_few(rows: DataFrame, few: DataFrame, key: str, how: str = "inner", limit: int = 20_000) -> DataFrame:
+    """Joins rows to a written table of one row for each key: broadcast if it has at most ``limit`` rows, else as Spark sees fit."""
+    return rows.join(F.broadcast(few) if few.limit(limit + 1).count() <= limit else few, key, how)

@@ -7,9 +7,11 @@ vector is held against a minimum-covariance-determinant (MCD) estimate of its
 The MCD is fitted over all documents of a group by concentration steps that
 are Spark aggregations: distances, the distance under which a share ``h`` of
 the group lies (an exact histogram of log-distances), then mean and covariance
-of that part. A hot group costs no more than its rows, since every aggregation
-combines on the map side. Groups too small for five dimensions take their
-language's estimate, then that of all documents.
+of that part. Several starts, one from quartiles and others from small parts of
+the group by hash, take two steps each; that with the least determinant goes on
+until its determinant falls no more. A hot group costs no more than its rows,
+since every aggregation combines on the map side. Groups too small for five
+dimensions take their language's estimate, then that of all documents.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalframe.llm.common import cut
+from evalframe.llm.common import cut, unused, with_few
 from evalframe.llm.textblocks import Block, blocks, repeated, span_hash, windows
 
 #: Fixed values of the contract.
@@ -107,22 +109,32 @@ def features() -> list[Column]:
     ]
 
 
-def _estimates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Moments of each group to its centre and the inverse of its covariance, with the floors of FEATURES."""
+_C, _V = [f"c{i}" for i in range(DIM)], [f"v{i}_{j}" for i in range(DIM) for j in range(DIM)]
+_FIT = "g string, start int, " + ", ".join(f"{c} double" for c in [*_C, *_V]) + ", logdet double"
+
+
+def _estimates(scale: float):
+    """Moments of each group's part to its centre, the inverse of its covariance and the logarithm of its determinant.
+
+    The covariance has the floors of FEATURES, so a statistic that hardly varies neither makes it singular nor decides.
+    """
     floor = np.array(list(FEATURES.values())) ** 2
     up = [(i, j) for i in range(DIM) for j in range(i, DIM)]
-    for df in batches:
-        out = []
-        for r in df.itertuples(index=False):
-            mean = np.array([getattr(r, f"m{i}") for i in range(DIM)], float)
-            cov = np.zeros((DIM, DIM))
-            for i, j in up:
-                cov[i, j] = cov[j, i] = getattr(r, f"s{i}_{j}") - mean[i] * mean[j]
-            cov = np.nan_to_num(cov) * r.scale
-            low = np.maximum(floor - np.diag(cov), 0)
-            inverse = np.linalg.inv(cov + np.diag(low + 1e-9))
-            out.append([r.g, *mean, *inverse.ravel()])
-        yield pd.DataFrame(out, columns=["g", *[f"c{i}" for i in range(DIM)], *[f"v{i}_{j}" for i in range(DIM) for j in range(DIM)]])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            out = []
+            for r in df.itertuples(index=False):
+                mean = np.array([getattr(r, f"m{i}") for i in range(DIM)], float)
+                cov = np.zeros((DIM, DIM))
+                for i, j in up:
+                    cov[i, j] = cov[j, i] = getattr(r, f"s{i}_{j}") - mean[i] * mean[j]
+                cov = np.nan_to_num(cov) * scale
+                cov += np.diag(np.maximum(floor - np.diag(cov), 0) + 1e-9)
+                out.append([r.g, r.start, *mean, *np.linalg.inv(cov).ravel(), np.linalg.slogdet(cov)[1]])
+            yield pd.DataFrame(out, columns=["g", "start", *_C, *_V, "logdet"])
+
+    return run
 
 
 def _distance() -> Column:
@@ -134,49 +146,77 @@ def _distance() -> Column:
     return F.greatest(total, F.lit(0.0))
 
 
-def _moments(rows: DataFrame, scale: float) -> DataFrame:
+def _moments(rows: DataFrame) -> DataFrame:
+    """The fit of the rows of each group and start."""
     names = list(FEATURES)
     aggs = [F.avg(n).alias(f"m{i}") for i, n in enumerate(names)]
     aggs += [F.avg(F.col(names[i]) * F.col(names[j])).alias(f"s{i}_{j}") for i in range(DIM) for j in range(i, DIM)]
-    schema = "g string, " + ", ".join([f"c{i} double" for i in range(DIM)] + [f"v{i}_{j} double" for i in range(DIM) for j in range(DIM)])
-    return rows.groupBy("g").agg(*aggs).withColumn("scale", F.lit(scale)).mapInPandas(_estimates, schema)
+    return rows.groupBy("g", "start").agg(*aggs).mapInPandas(_estimates(CONSISTENCY), _FIT)
 
 
-#: Ways in which the rows of a group are dealt where they meet its few parameters.
-SALTS = 32
+def _concentrated(vectors: DataFrame, fit: DataFrame, h: float) -> DataFrame:
+    """One concentration step from each fit of each group.
 
+    The rows kept are those under the distance that a share ``h`` of the group does not exceed, by cells of 64 for
+    each doubling of squared distances; of a cell all rows or none.
+    """
+    cell = F.floor(64 * F.log2(_distance() + 1e-9)).cast("long")
+    placed = with_few(vectors, fit, "g").select("g", "start", *FEATURES, cell.alias("cell"))
+    cells = placed.groupBy("g", "start", "cell").agg(F.count("*").alias("n"))
+    # a group has at most a few thousand cells, whatever its rows
+    totals = cells.groupBy("g", "start").agg(F.sum("n").alias("all"), F.array_sort(F.collect_list(F.struct("cell", "n"))).alias("cells"))
+    first = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("cell"))
+    reached = F.aggregate("cells", first, lambda s, x: F.when(s.n >= F.ceil(F.col("all") * h), s).otherwise(F.struct((s.n + x.n).alias("n"), x.cell.alias("cell"))))
+    limit = cut(totals.select(F.concat_ws("\u0002", "start", "g").alias("at"), reached.cell.alias("top")))
+    kept = with_few(placed.withColumn("at", F.concat_ws("\u0002", "start", "g")), limit, "at").where("cell <= top")
+    return cut(_moments(kept))
 
-def _meet(rows: DataFrame, few: DataFrame, key: str = "g", how: str = "inner") -> DataFrame:
-    """Joins rows that have a ``_salt`` to one row for each group, which is repeated for every salt: no group is dealt to one task."""
-    return rows.join(few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [key, "_salt"], how)
 
+#: Starts of each group from a part of its rows, besides that from quartiles, and rows of such a part, about.
+STARTS, START_ROWS = 3, 12
+#: A determinant that falls by no more than this, as a share, has stopped falling.
+SETTLED = 1e-4
 
-def fit_mcd(vectors: DataFrame, h: float = 0.75, steps: int = 3) -> DataFrame:
-    """MCD centre and inverse covariance per group ``g`` over all its rows, which have a ``_salt``.
 
-    It starts from quartiles (median, and interquartile range as deviation), then takes ``steps``
-    concentration steps. Each keeps the rows under the distance that a share ``h`` of the group does
-    not exceed, read from an exact histogram of 64 cells per doubling. The covariance of the kept part
-    is scaled to be consistent for normal data (a factor for h = 0.75 in five dimensions).
-    """
+def _starts(vectors: DataFrame) -> DataFrame:
+    """First fits: median and interquartile ranges (start 0), and moments of small parts by hash (the others)."""
     q = [F.percentile_approx(f, [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i, f in enumerate(FEATURES)]
-    start = vectors.groupBy("g").agg(*q)
-    cols = ["g", *[F.element_at(f"q{i}", 2).alias(f"c{i}") for i in range(DIM)]]
+    whole = cut(vectors.groupBy("g").agg(F.count("*").alias("n"), *q))
+    cols = ["g", F.lit(0).alias("start"), *[F.element_at(f"q{i}", 2).alias(f"c{i}") for i in range(DIM)]]
     for i in range(DIM):
         for j in range(DIM):
             sd = F.greatest((F.element_at(f"q{i}", 3) - F.element_at(f"q{i}", 1)) / 1.349, F.lit(list(FEATURES.values())[i]))
             cols.append((1 / (sd * sd) if i == j else F.lit(0.0)).alias(f"v{i}_{j}"))
-    fit = cut(start.select(*cols))
-    cell = F.floor(64 * F.log2(_distance() + 1e-9)).cast("long")
-    for _ in range(steps):
-        placed = _meet(vectors, fit).select("g", "_salt", *FEATURES, cell.alias("cell"))
-        cells = placed.groupBy("g", "cell").agg(F.count("*").alias("n"))
-        totals = cells.groupBy("g").agg(F.sum("n").alias("all"), F.collect_list(F.struct("cell", "n")).alias("cells"))
-        # a group has at most a few thousand cells, whatever its rows
-        limit = totals.select("g", F.aggregate(F.array_sort("cells"), F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("cell")),
-            lambda s, x: F.when(s.n >= F.ceil(F.col("all") * h), s).otherwise(F.struct((s.n + x.n).alias("n"), x.cell.alias("cell")))).cell.alias("top"))
-        fit = cut(_moments(_meet(placed, limit).where("cell <= top"), CONSISTENCY))
-    return fit
+    plain = whole.select(*cols, F.lit(None).cast("double").alias("logdet"))
+    rows = with_few(vectors, whole.select("g", "n"), "g").withColumn("start", F.explode(F.sequence(F.lit(1), F.lit(STARTS))))
+    part = rows.where(F.pmod(F.xxhash64("start", *FEATURES), F.lit(1 << 40)) * F.col("n") < START_ROWS * (1 << 40))
+    return cut(plain.unionByName(_moments(part)))
+
+
+def fit_mcd(vectors: DataFrame, h: float = 0.75) -> DataFrame:
+    """MCD centre (``c``), inverse covariance (``v``) and log-determinant of each group ``g`` over all its rows.
+
+    The covariance of the kept part is scaled to be consistent for normal data (a factor for h = 0.75 in five
+    dimensions). Every step after the first two lowers a group's determinant or is that group's last.
+    """
+    fit = _starts(vectors)
+    for _ in range(2):
+        fit = _concentrated(vectors, fit, h)
+    names = [c for c in fit.columns if c != "g"]
+    best = cut(fit.groupBy("g").agg(F.min_by(F.struct(*names), F.struct("logdet", "start")).alias("f")).select("g", "f.*"))
+    done = None
+    going = best
+    while True:
+        own = vectors if done is None else with_few(vectors, going.select("g"), "g", "left_semi")
+        new = _concentrated(own, going, h).withColumnRenamed("logdet", "new")
+        both = going.select("g", F.col("logdet").alias("old")).join(new, "g")
+        both = cut(both.withColumn("fell", F.col("new") < F.col("old") - SETTLED))
+        ended = both.where("not fell").select("g")
+        settled = going.join(ended, "g", "left_semi")
+        done = settled if done is None else done.unionByName(settled)
+        going = both.where("fell").withColumnRenamed("new", "logdet").select(*best.columns)
+        if going.isEmpty():
+            return cut(done).drop("start")
 
 
 #: Covariance of the central 75 % of a normal distribution in five dimensions, as a factor to undo it.
@@ -187,37 +227,43 @@ CUTOFF = 64.0
 MIN_GROUP = 60
 
 
-def judge(docs: DataFrame, cutoff: float = CUTOFF, h: float = 0.75, steps: int = 3, carry: list[str] | None = None) -> DataFrame:
-    """Counts, ``base_failed``, ``distance`` and ``kept`` of every document.
+def judge(docs: DataFrame, cutoff: float = CUTOFF, h: float = 0.75, carry: list[str] | None = None) -> DataFrame:
+    """Counts, ``base_failed``, ``kept``, ``distance`` and ``estimate`` of every document.
 
-    ``carry`` names columns to return besides (``doc_id`` unless told otherwise). A null ``lang`` or
-    ``source`` is a group of its own; a null or empty text has zero words and fails the base rules;
-    repeated rows are judged alike and each returned; an empty table gives an empty result.
+    ``estimate`` tells whose estimate the distance is to: that of the document's ``language and source``, its
+    ``language`` or ``all`` (groups under MIN_GROUP documents take the next one). ``carry`` names columns to return
+    besides (``doc_id`` unless told otherwise). A null ``lang`` or ``source`` is a group of its own; a null or empty
+    text has zero words and fails the base rules; repeated rows are judged alike and each returned; an empty table
+    gives an empty result; other columns, whatever their names, play no part.
     """
     carry = ["doc_id"] if carry is None else carry
     table = docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(carry)], F.col("lang").alias("_lang"), F.col("source").alias("_source"), "text")
     base = cut(text_counts(table).withColumn("base_failed", base_failed()).select("*", *features()))
-    base = base.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))  # over written rows: the same each time
     lang = F.coalesce(F.concat(F.lit("l:"), "_lang"), F.lit("n"))
     both = F.concat(lang, F.lit("\u0001"), F.coalesce(F.concat(F.lit("s:"), "_source"), F.lit("n")))
     # texts that fail the base rules take no part in the estimates
     sizes = base.where("not base_failed").groupBy(lang.alias("_l"), both.alias("_g")).agg(F.count("*").alias("n"))
     by_lang = sizes.groupBy("_l").agg(F.sum("n").alias("n_lang"))
-    group = cut(sizes.join(by_lang, "_l").select(F.col("_g"), F.when(F.col("n") >= MIN_GROUP, F.col("_g")).when(F.col("n_lang") >= MIN_GROUP, F.col("_l")).otherwise("*").alias("g"), F.col("_l")))
-    member = base.where("not base_failed").select(both.alias("_g"), lang.alias("_l"), "_salt", *FEATURES)
-    used = group.select("g").distinct()
-    levels = [member.select(g.alias("g"), "_salt", *FEATURES) for g in (F.col("_g"), F.col("_l"), F.lit("*"))]
-    vectors = _meet(levels[0].unionByName(levels[1]).unionByName(levels[2]), used, how="left_semi")
-    fit = fit_mcd(vectors, h, steps).join(group.select("_g", "g"), "g").drop("g")
-    judged = _meet(base.withColumn("_g", both), fit, "_g", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
+    own, wider = F.col("n") >= MIN_GROUP, F.col("n_lang") >= MIN_GROUP
+    group = cut(sizes.join(by_lang, "_l").select("_g", "_l", F.when(own, F.col("_g")).when(wider, F.col("_l")).otherwise("*").alias("g"), F.when(own, "language and source").when(wider, "language").otherwise("all").alias("estimate")))
+    member = base.where("not base_failed").select(both.alias("_g"), lang.alias("_l"), *FEATURES)
+    used = cut(group.select("g").distinct())
+    levels = [member.select(g.alias("g"), *FEATURES) for g in (F.col("_g"), F.col("_l"), F.lit("*"))]
+    vectors = cut(with_few(levels[0].unionByName(levels[1]).unionByName(levels[2]), used, "g", "left_semi"))
+    fit = cut(group.join(fit_mcd(vectors, h), "g").drop("g", "_l"))
+    judged = with_few(base.withColumn("_g", both), fit, "_g", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
     kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cutoff)
-    return judged.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(carry)], *COUNTS, "base_failed", kept.alias("kept"), "distance")
+    return judged.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(carry)], *COUNTS, "base_failed", kept.alias("kept"), "distance", F.when(~F.col("base_failed"), F.col("estimate")).alias("estimate"))
 
 
 def accepted(docs: DataFrame, **options) -> DataFrame:
-    """The documents that are kept, with all their columns."""
-    keyed = docs.withColumn("_md5", F.md5(F.coalesce("text", F.lit(""))))
-    kept = judge(keyed, carry=["doc_id", "_md5", "lang", "source"], **options).where("kept")
-    kept = kept.select(F.col("doc_id").alias("_d"), F.col("_md5").alias("_m"), F.col("lang").alias("_l"), F.col("source").alias("_s"))
-    same = keyed["doc_id"].eqNullSafe(F.col("_d")) & (keyed["_md5"] == F.col("_m")) & keyed["lang"].eqNullSafe(F.col("_l")) & keyed["source"].eqNullSafe(F.col("_s"))
+    """The documents that are kept, with all their columns, whatever their names.
+
+    Null and empty texts go (they have no words); of repeated rows all stay or all go; an empty table stays empty.
+    """
+    md5, d, m, g, s = unused(docs, "md5", "doc_id", "text", "lang", "source")
+    keyed = docs.withColumn(md5, F.md5(F.coalesce("text", F.lit(""))))
+    kept = judge(keyed, carry=["doc_id", md5, "lang", "source"], **options).where("kept")
+    kept = kept.select(F.col("doc_id").alias(d), F.col(md5).alias(m), F.col("lang").alias(g), F.col("source").alias(s))
+    same = keyed["doc_id"].eqNullSafe(F.col(d)) & (keyed[md5] == F.col(m)) & keyed["lang"].eqNullSafe(F.col(g)) & keyed["source"].eqNullSafe(F.col(s))
     return keyed.join(kept, same, "left_semi").select(*docs.columns)
