@@ -3,16 +3,19 @@
 Documents become token ids plus an end id; only longer ones are cut into
 pieces of ``capacity``. What matters for packing is how many pieces there are
 of each length, at most ``capacity`` numbers. From that histogram the driver
-makes a plan by best fit, longest first, over groups of equal bins, then
-improves it by local search: a document of an underfull bin moves to a fuller
-one, or is exchanged for a shorter one, or two for a shorter one; each step
-takes tokens from a less full bin to a fuller one, which increases the sum of
-squared fills, until a bin is empty. Steps apply to whole groups of equal bins,
-so the plan's size depends on the number of lengths, not on that of documents.
+makes a plan by best fit over groups of equal bins, lengths in a seeded order,
+then improves it by local search: a document of an underfull bin moves to a
+fuller one, or is exchanged for a shorter one, or two for a shorter one, or one
+for two that are shorter; each step takes tokens from a less full bin to a fuller
+one, which increases the sum of squared fills, until a bin is empty. If more bins
+are left than any packing needs, it searches from best fit with the longest first
+as well, and the plan with fewer bins stands. Steps apply to whole groups of equal
+bins, so the plan's size depends on the number of lengths, not on that of documents.
 
 Spark then gives the pieces of each length their places: it ranks them within
-(length, bucket) and offsets buckets by counts, so that a length that a third
-of all pieces share is spread over many tasks.
+(length, bucket), buckets being as many as the length's pieces need, and offsets
+buckets by counts, so that a length that a third of all pieces share is spread
+over many tasks.
 """
 
 from __future__ import annotations
@@ -33,8 +36,9 @@ from evalframe.llm.tokens import default_path, tokenizer
 
 CAPACITY = 4096
 END_ID = 1
-#: Rows of one rank window at most, about.
-BUCKET_ROWS = 4000
+#: Rows of one rank window at most, about, and buckets whose counts are summed in one task.
+BUCKET_ROWS, BUCKETS = 4000, 1000
+SEED = 2654435761
 
 
 def _pieces(path: str, capacity: int, with_ids: bool):
@@ -84,8 +88,8 @@ class Bins:
     items: dict[int, int]
 
 
-def best_fit(histogram: dict[int, int], capacity: int) -> list[Bins]:
-    """Best fit, longest first, on counts of lengths: each document goes to the fullest bin that can take it."""
+def best_fit(histogram: dict[int, int], capacity: int, seed: int | None = None) -> list[Bins]:
+    """Best fit on counts of lengths, longest first or in a seeded order: each document goes to the fullest bin that can take it."""
     by_room: dict[int, list[Bins]] = {}
     rooms: list[int] = []
 
@@ -95,7 +99,7 @@ def best_fit(histogram: dict[int, int], capacity: int) -> list[Bins]:
             insort(rooms, b.room)
         by_room[b.room].append(b)
 
-    for length in sorted(histogram, reverse=True):
+    for length in sorted(histogram, key=(lambda x: -x) if seed is None else (lambda x: x * seed % (1 << 32))):
         left = histogram[length]
         while left:
             at = bisect_left(rooms, length)
@@ -148,6 +152,15 @@ def _improvement(donor: Bins, other: Bins) -> tuple[tuple[int, ...], tuple[int,
             at = bisect_left(theirs, x + y - room)
             if at < len(theirs) and 0 < x + y - theirs[at] <= room and x + y - theirs[at] > gain:
                 best, gain = ((x, y), (theirs[at],)), x + y - theirs[at]
+    for x in mine:  # one for two
+        for y in theirs:
+            if 2 * y >= x or gain >= room:
+                break
+            at = bisect_left(theirs, max(x - room - y, y))
+            if at < len(theirs) and theirs[at] == y and other.items[y] < 2:
+                at += 1
+            if at < len(theirs) and 0 < x - y - theirs[at] <= room and x - y - theirs[at] > gain:
+                best, gain = ((x,), (y, theirs[at])), x - y - theirs[at]
     return best
 
 
@@ -242,10 +255,19 @@ def local_search(bins: list[Bins], capacity: int) -> list[Bins]:
     return done + under
 
 
+def packed(histogram: dict[int, int], capacity: int) -> list[Bins]:
+    """The fewest bins that the search finds, from a seeded start or, if that ends above the least number, from longest first."""
+    bins = local_search(best_fit(histogram, capacity, SEED), capacity)
+    if sum(b.count for b in bins) > least_bins(bins, capacity):
+        other = local_search(best_fit(histogram, capacity), capacity)
+        bins = min(bins, other, key=lambda x: sum(b.count for b in x))
+    return bins
+
+
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> pd.DataFrame:
     """Places for the pieces of each length: rank ``first`` and on go to bins from ``bin`` on, ``each`` to a bin, from ``offset`` on."""
     rows, taken, base = [], dict.fromkeys(histogram, 0), 0
-    for b in local_search(best_fit(histogram, capacity), capacity):
+    for b in packed(histogram, capacity):
         at = 0
         for length, each in sorted(b.items.items(), reverse=True):
             rows.append((length, taken[length], each, base, at))
@@ -264,12 +286,15 @@ def place(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     histogram = {r.length: r.n for r in items.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``capacity`` rows
     table = plan(histogram, capacity)
     first = table["length"].to_numpy() << 44 | table["first"].to_numpy()
-    parts = max(1, -(-sum(histogram.values()) // BUCKET_ROWS))
-    bucket = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts))
-    rows = items.withColumn("bucket", bucket)
-    counts = rows.groupBy("length", "bucket").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select("length", "bucket", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"))
+    few = items.sparkSession.createDataFrame([(n, -(-k // BUCKET_ROWS)) for n, k in histogram.items()], "length bigint, parts bigint")  # at most ``capacity`` rows
+    bucket = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("parts"))
+    rows = items.join(F.broadcast(few), "length").withColumn("bucket", bucket).drop("parts")
+    counts = rows.groupBy("length", "bucket").agg(F.count("*").alias("n")).withColumn("many", F.floor(F.col("bucket") / BUCKETS))
+    earlier = (Window.unboundedPreceding, -1)
+    inner = Window.partitionBy("length", "many").orderBy("bucket").rowsBetween(*earlier)
+    outer = Window.partitionBy("length").orderBy("many").rowsBetween(*earlier)
+    bases = counts.groupBy("length", "many").agg(F.sum("n").alias("n")).select("length", "many", F.coalesce(F.sum("n").over(outer), F.lit(0)).alias("base"))
+    before = counts.withColumn("own", F.coalesce(F.sum("n").over(inner), F.lit(0))).join(bases, ["length", "many"]).select("length", "bucket", (F.col("base") + F.col("own")).alias("before"))
     own = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
     ranked = rows.withColumn("rank", F.row_number().over(own) - 1).join(before, ["length", "bucket"])
     ranked = ranked.withColumn("rank", F.col("rank") + F.col("before")).drop("bucket", "before")
