@@ -10,10 +10,12 @@ A shingle's process ends as soon as it cannot be first anywhere.
 Texts that are equal are one node. Bands of registers put nodes into buckets;
 in a bucket every node is held against the least one, so a large group of
 copies costs as many comparisons as it has members. Pairs whose registers agree
-enough are verified exactly, from whole texts. Pairs of a bucket without its
-least node follow in blocks where they are not yet in one component, so no link
-of a bucket is lost; a block gives the links that connect its parts, not every
-similar pair. Classes are connected components.
+enough are verified exactly, from whole texts. What is left are pairs of a bucket
+in different components: those of its outsiders, the members outside the component
+that most of its members are in. Outsiders meet all members in blocks, in which
+only outsiders are repeated, so no link of a bucket is lost; a block gives the
+links that connect its parts, not every similar pair. Classes are connected
+components.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalframe.llm.common import cut
+from evalframe.llm.common import cut, unused
 from evalframe.llm.components import components
 from evalframe.llm.textblocks import Block, blocks, mix, span_hash, windows
 
@@ -37,8 +39,8 @@ BANDS, ROWS = 24, 5
 REGISTERS = 2 * BANDS * ROWS
 #: Share of equal registers from which a pair is verified: 4.6 standard deviations below 0.8.
 AGREE = 0.68
-#: Members of a bucket that one task compares with as many others at a time.
-BLOCK = 1024
+#: Members of a bucket, or bytes of their texts, that one task holds against as many outsiders at a time, about.
+BLOCK, BLOCK_BYTES = 1024, 16 << 20
 _STEP = np.uint64(0xD1B54A32D192ED03)
 
 
@@ -92,7 +94,8 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             owner, item, weight = shingles(b)
             kept = signatures(len(b), owner, item, weight)
             some = np.isin(np.arange(len(b)), owner)
-            yield pa.RecordBatch.from_arrays([ids[b.rows], keys[b.rows], pa.array([kept[i].tobytes() if some[i] else None for i in range(len(b))], pa.binary())], ["doc_id", "key", "sig"])
+            size = pa.array(b.end - b.start, pa.int64())
+            yield pa.RecordBatch.from_arrays([ids[b.rows], keys[b.rows], pa.array([kept[i].tobytes() if some[i] else None for i in range(len(b))], pa.binary()), size], ["doc_id", "key", "sig", "bytes"])
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -134,48 +137,54 @@ def _verified(threshold: float):
     return run
 
 
-def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if len(batch):
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(len(batch), -1) for c in ("sig_a", "sig_b"))
-            yield batch.select(["a", "b"]).filter(pa.array((x == y).mean(1) >= AGREE))
+def _agreeing(agree: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(len(batch), -1) for c in ("sig_a", "sig_b"))
+                yield batch.select(["a", "b"]).filter(pa.array((x == y).mean(1) >= agree))
+
+    return run
 
 
-def _near(m: list, centre: int, band: int, apart: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Members of one or two blocks of a bucket (``apart``: two, to be held against each other) that may be linked.
+def _near(m: list, centre: int, band: int, agree: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of a group that may be linked: a repeated outsider (``probe``) and a member, as places in ``m``, and their agreement.
 
-    Pairs in different components whose registers agree enough, neither being the centre; a pair that shares an
-    earlier band's bucket was or is compared there.
+    They are in different components, neither is the centre, and their registers agree enough; a pair that shares an
+    earlier band's bucket was or is compared there. Two outsiders meet twice and are compared once.
     """
-    node, label, block = (np.array([x[k] for x in m]) for k in ("node", "label", "block"))
+    node, label, probe, out = (np.array([x[k] for x in m]) for k in ("node", "label", "probe", "outsider"))
     sig = np.frombuffer(b"".join(bytes(x["sig"]) for x in m), np.uint16).reshape(len(m), -1)
-    for i in range(len(m)):
-        if node[i] == centre:
-            continue
-        at = (node > node[i]) & (label != label[i]) & (node != centre)
-        if apart:
-            at &= block != block[i]
-        at = np.flatnonzero(at)
+    for i in np.flatnonzero(probe & (node != centre)).tolist():
+        at = np.flatnonzero(~probe & (label != label[i]) & (node != centre) & (~out | (node > node[i])))
         same = sig[at] == sig[i]
         share = same.mean(1)
-        at, same, share = (x[share >= AGREE] for x in (at, same, share))
+        at, same, share = (x[share >= agree] for x in (at, same, share))
         first = same[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).all(2).argmax(1)
         at, share = at[first == band], share[first == band]
         if len(at):
             yield np.full(len(at), i), at, share
 
 
-def _involved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+_GROUP = ["band", "i", "centre", "block", "against"]
+_MEMBER = ["node", "label", "probe", "outsider"]
+
+
+def _involved(agree: float):
     """Members with a pair to verify, once for each group; not the pairs, of which there may be very many."""
-    for df in batches:
-        out = []
-        for r in df.itertuples(index=False):
-            nodes = {int(k) for a, b, _ in _near(r.members, r.centre, r.i, r.lo != r.hi) for k in (*a[:1], *b)}
-            out += [(r.band, r.i, r.centre, r.lo, r.hi, r.members[k]["node"], r.members[k]["label"], r.members[k]["block"]) for k in sorted(nodes)]
-        yield pd.DataFrame(out, columns=["band", "i", "centre", "lo", "hi", "node", "label", "block"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            out = []
+            for r in df.itertuples(index=False):
+                at = {int(k) for a, b, _ in _near(r.members, r.centre, r.i, agree) for k in (*a[:1], *b)}
+                out += [(*(getattr(r, c) for c in _GROUP), *(r.members[k][c] for c in _MEMBER)) for k in sorted(at)]
+            yield pd.DataFrame(out, columns=[*_GROUP, *_MEMBER])
+
+    return run
 
 
-def _forest(threshold: float):
+def _forest(threshold: float, agree: float):
     """Links of a group that connect what its similar pairs connect: at most one less than it has members."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -183,7 +192,7 @@ def _forest(threshold: float):
             out = []
             for r in df.itertuples(index=False):
                 m = list(r.members)
-                pairs = [np.concatenate(x) for x in zip(*_near(m, r.centre, r.i, r.lo != r.hi))]
+                pairs = [np.concatenate(x) for x in zip(*_near(m, r.centre, r.i, agree))]
                 if not pairs:
                     continue
                 sets = list(_sets(pa.array([x["text"] for x in m], pa.string())))
@@ -206,10 +215,33 @@ def _forest(threshold: float):
     return run
 
 
+def _groups(labelled: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Members of buckets that span components, dealt to groups: (band, block of members, block of outsiders).
+
+    ``labelled``: node, band, i, centre, label. A member is repeated for each block of its bucket's outsiders, mostly
+    one; an outsider besides for each block of members.
+    """
+    own = labelled.groupBy("band", "label").agg(F.count("*").alias("k"))
+    main = own.groupBy("band").agg(F.max_by("label", F.struct("k", -F.col("label"))).alias("main"), F.count("*").alias("labels")).where("labels > 1").select("band", "main")
+    rows = labelled.join(main, "band").join(sigs, "node").withColumn("outsider", F.col("label") != F.col("main"))
+    out = F.col("outsider")
+    sizes = rows.groupBy("band").agg(F.count("*").alias("m"), F.sum("bytes").alias("mb"), F.count_if(out).alias("o"), F.sum(F.when(out, F.col("bytes"))).alias("ob"))
+
+    def parts(n: str, b: str):
+        return F.greatest(F.ceil(F.col(n) / BLOCK), F.ceil(F.col(b) / BLOCK_BYTES), F.lit(1)).cast("int")
+
+    rows = rows.join(sizes.select("band", parts("m", "mb").alias("blocks"), parts("o", "ob").alias("others")), "band")
+    place = F.xxhash64("node")
+    columns = ["band", "i", "centre", "node", "label", "outsider", "sig"]
+    member = rows.withColumns({"block": F.pmod(place, F.col("blocks")).cast("int"), "against": F.explode(F.sequence(F.lit(0), F.col("others") - 1)), "probe": F.lit(False)})
+    probe = rows.where(out).withColumns({"block": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "against": F.pmod(place, F.col("others")).cast("int"), "probe": F.lit(True)})
+    return member.unionByName(probe).select(*columns, "block", "against", "probe")
+
+
 def _nodes(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.mapInArrow(_signed, f"doc_id {kind}, key string, sig binary")
-    nodes = rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.max("sig").alias("sig"))
+    rows = docs.mapInArrow(_signed, f"doc_id {kind}, key string, sig binary, bytes long")
+    nodes = rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.max("sig").alias("sig"), F.max("bytes").alias("bytes"))
     # ids over written rows, so they are the same whenever they are read
     return cut(nodes).withColumn("node", F.monotonically_increasing_id())
 
@@ -228,34 +260,28 @@ def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: floa
     return cut(both.select("a", "b", "text_a", "text_b").mapInArrow(_verified(threshold), "a long, b long"))
 
 
-def _classes(docs: DataFrame, threshold: float) -> DataFrame:
+def _classes(docs: DataFrame, threshold: float, agree: float) -> DataFrame:
     """(key, doc_id, n, class): each distinct text, its least document, its number, and its class's node."""
     nodes = _nodes(docs)
-    sigs = nodes.select("node", "sig")
+    sigs = nodes.select("node", "sig", "bytes")
     band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * (2 * ROWS) + 1, F.lit(2 * ROWS)))))
     bands = nodes.where("sig is not null").select("node", band.alias("i", "band"))
     centres = bands.groupBy("band").agg(F.min("node").alias("centre"), F.count("*").alias("size")).where("size > 1")
     shared = cut(bands.join(centres, "band"))
     star = shared.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     with_sigs = star.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
-    pairs = cut(with_sigs.select("a", "b", "sig_a", "sig_b").mapInArrow(_agreeing, "a long, b long"))
+    pairs = cut(with_sigs.select("a", "b", "sig_a", "sig_b").mapInArrow(_agreeing(agree), "a long, b long"))
     links = _verify(pairs, nodes, docs, threshold)
     found = components(links)
     # what is left in buckets that span components
     labelled = shared.where("size > 2").join(found, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-    mixed = labelled.groupBy("band").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("band")
-    left = labelled.join(mixed, "band").join(sigs, "node")
-    left = left.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = left.withColumn("other", other).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-    group = ["band", "i", "centre", "lo", "hi"]
-    member = F.collect_list(F.struct("node", "label", "block", "sig")).alias("members")
-    grouped = left.groupBy(*group).agg(member).where(F.size("members") > 1)
-    near = cut(grouped.mapInPandas(_involved, "band long, i int, centre long, lo int, hi int, node long, label long, block int"))
+    groups = _groups(labelled, sigs)
+    grouped = groups.groupBy(*_GROUP).agg(F.collect_list(F.struct(*_MEMBER, "sig")).alias("members")).where(F.exists("members", lambda x: x["probe"]))
+    near = cut(grouped.mapInPandas(_involved(agree), "band long, i int, centre long, block int, against int, node long, label long, probe boolean, outsider boolean"))
     if not near.isEmpty():
         full = near.join(sigs, "node").join(_texts(near, nodes, docs), "node")
-        grouped = full.groupBy(*group).agg(F.collect_list(F.struct("node", "label", "block", "sig", "text")).alias("members"))
-        more = grouped.mapInPandas(_forest(threshold), "a long, b long")
+        grouped = full.groupBy(*_GROUP).agg(F.collect_list(F.struct(*_MEMBER, "sig", "text")).alias("members"))
+        more = grouped.mapInPandas(_forest(threshold, agree), "a long, b long")
         found = components(links.unionByName(cut(more)))
     return nodes.join(found, "node", "left").select("key", "doc_id", "n", F.coalesce("component", "node").alias("class"))
 
@@ -264,28 +290,34 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.md5(F.coalesce("text", F.lit(""))).alias("key"))
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def classes(docs: DataFrame, threshold: float = THRESHOLD, agree: float = AGREE) -> DataFrame:
     """(doc_id, class_id, class_size, kept) for every document.
 
     A class holds the documents linked by probability Jaccard similarity of ``threshold`` or more, directly or
-    through others, and equal texts; ``class_id`` is its least doc_id, and the document with it is ``kept``.
+    through others, and equal texts; ``class_id`` is its least doc_id, and the document with it is ``kept``. Pairs
+    of a bucket whose share of equal registers is under ``agree`` are not verified; 0 verifies all of them.
     A null text is an empty one; texts without words are alike only if equal. Repeated rows are copies, and
     all carry ``kept`` (``deduplicated`` keeps one). A null doc_id never stands for a class unless all are
     null. An empty table gives an empty result; columns other than doc_id and text play no part.
     """
     keyed = _keyed(docs)
-    texts = cut(_classes(keyed, threshold))
+    texts = cut(_classes(keyed, threshold, agree))
     size = texts.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("class_size"))
     by_key = texts.select("key", "class").join(size, "class").select("key", "class_id", "class_size")
     out = keyed.select("doc_id", "key").join(by_key, "key")
     return out.select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
-def deduplicated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One document of each class, that with the least doc_id, with all columns."""
-    texts = cut(_classes(_keyed(docs), threshold))
-    stay = texts.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("s")).select(F.col("s.doc_id").alias("_d"), F.col("s.key").alias("_k"))
-    own = docs.withColumn("_key", F.md5(F.coalesce("text", F.lit(""))))
+def deduplicated(docs: DataFrame, threshold: float = THRESHOLD, agree: float = AGREE) -> DataFrame:
+    """One document of each class, that with the least doc_id, with all columns, whatever their names.
+
+    A null text is an empty one, so one of all empty documents stays; of repeated rows one stays; an empty table
+    stays empty.
+    """
+    key, d, k = unused(docs, "key", "doc_id", "text")
+    texts = cut(_classes(_keyed(docs), threshold, agree))
+    stay = texts.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("s")).select(F.col("s.doc_id").alias(d), F.col("s.key").alias(k))
+    own = docs.withColumn(key, F.md5(F.coalesce("text", F.lit(""))))
     # by document and text, so the copies of a text do not meet in one task
-    rows = own.join(stay, own["doc_id"].eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")))
-    return rows.dropDuplicates(["_d", "_k"]).select(*docs.columns)
+    rows = own.join(stay, own["doc_id"].eqNullSafe(F.col(d)) & (F.col(key) == F.col(k)))
+    return rows.dropDuplicates([d, k]).select(*docs.columns)
