@@ -6,9 +6,11 @@ of its vectors can score with a query q: q.p + |q| * radius. Queries are first
 answered in their own group, which gives each a threshold, its k-th score so
 far. Only then a query is sent to other groups, to those whose bound reaches
 its threshold, and there only vectors far enough from the pivot are scored:
-q.p + |q| * |x - p| must reach it too. Groups are cut into blocks by hash, so
-that one that a third of all vectors share is spread over many tasks. Each
-block answers with its own best k, and the best k of these are the result.
+q.p + |q| * |x - p| must reach it too. Groups are cut into blocks by hash, and the
+queries of a group into chunks, so that one that a third of all vectors share is
+spread over many tasks. Each block answers with its own best k for each query, and
+the best k of these are the result: a limit in groups, which Spark applies before
+it shuffles answers.
 """
 
 from __future__ import annotations
@@ -18,15 +20,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalframe.llm.common import cut
 
 #: Pivots at most; the sample they come from is this many distinct vectors, by hash order.
 PIVOTS = 64
-#: Vectors of a block, about.
-BLOCK_ROWS = 4096
+#: Vectors of a block, and queries of a chunk, about.
+BLOCK_ROWS, CHUNK_ROWS = 4096, 2048
 SCALE = 1024
 
 
@@ -133,48 +135,51 @@ def _search(k: int, pivots: dict[int, np.ndarray]):
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
-    """The best k of each query's answers as one sorted array."""
-    f = found.groupBy("q_key").agg(F.first("q_id").alias("q_id"), F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))).alias("all"))
-    return f.select("q_key", "q_id", F.slice("all", 1, k).alias("best"))
+    """The best k answers of each query with their ranks."""
+    w = Window.partitionBy("q_key").orderBy(F.col("score").desc(), "vec_id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def top_k(table: DataFrame, k: int = 10, every: int = 100, pivots: int = PIVOTS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def top_k(table: DataFrame, k: int = 10, every: int = 100, pivots: int = PIVOTS, block_rows: int = BLOCK_ROWS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best inner products of each query with all other rows.
 
     Queries are the rows whose vec_id is divisible by ``every``. Ties go to the smaller vec_id. Vectors with
     different numbers of components are not compared. Vectors that are null, empty or hold null or non-finite
     components take no part, nor do rows with a null id. A repeated row is a row of its own: it is a candidate for
-    its copies and, as a query, is answered as often as it occurs.
+    its copies and, as a query, is answered as often as it occurs. An empty table gives an empty result; other
+    columns play no part.
     """
     vectors = cut(integer_vectors(table.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")))
     centres = _pivots(vectors, pivots)
     data = cut(vectors.mapInPandas(_grouped(centres), "vec_id long, v array<long>, copy long, dim long, cell long, far double"))
-    summary = data.groupBy("dim", "cell").agg(F.max("far").alias("radius"), F.count("*").alias("n"))
     # at most ``pivots`` groups for each number of dimensions in the sample, and one for each other
-    summary = summary.withColumn("blocks", F.ceil(F.col("n") / block_rows).cast("long"))
-    summary = cut(summary)
+    summary = data.groupBy("dim", "cell").agg(F.max("far").alias("radius"), F.count("*").alias("n"))
+    summary = cut(summary.withColumn("blocks", F.ceil(F.col("n") / block_rows).cast("long")))
     blocked = data.join(summary.select("dim", "cell", "blocks"), ["dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("vec_id", "v", "copy"), F.col("blocks"))).drop("blocks")
-    queries = data.where(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("q_id"), "v", F.col("copy").alias("q_copy"), "dim", F.col("cell").alias("home"))
-    queries = queries.withColumn("q_key", F.concat_ws("/", "q_id", "q_copy", F.sha2(F.to_json("v"), 256)))
+    queries = data.where(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("q_id"), F.col("v").alias("q"), F.col("copy").alias("q_copy"), "dim", F.col("cell").alias("home"))
+    queries = queries.withColumn("q_key", F.concat_ws("/", "q_id", "q_copy", F.sha2(F.to_json("q"), 256)))
+    # queries of one group go together, in chunks
+    chunks = queries.groupBy("dim", "home").agg(F.ceil(F.count("*") / chunk_rows).cast("long").alias("chunks"))
+    queries = cut(queries.join(chunks, ["dim", "home"]).withColumn("chunk", F.concat_ws("/", "home", F.pmod(F.xxhash64("q_key"), F.col("chunks")))).drop("chunks"))
     answer = _search(k, centres)
     schema = "q_id long, q_key string, vec_id long, score long"
 
     def search(sent: DataFrame) -> DataFrame:
-        """Queries with their cell go to all blocks of it."""
+        """Queries with their cell go to all blocks of it, and a block to all chunks with a query for it."""
         to = sent.join(summary.select("dim", "cell", "blocks"), ["dim", "cell"]).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        left = to.select(*[F.col(c).alias(f"to_{c}") for c in ("dim", "cell", "block")], "q_id", "q_copy", "q_key", F.col("v").alias("q"), "least")
-        right = blocked.select("dim", "cell", "block", "vec_id", "copy", "v", "far")
-        return left.groupBy("to_dim", "to_cell", "to_block").cogroup(right.groupBy("dim", "cell", "block")).applyInArrow(answer, schema)
+        keys = ["dim", "cell", "block", "chunk"]
+        left = to.select(*[F.col(c).alias(f"to_{c}") for c in keys], "q_id", "q_copy", "q_key", "q", "least")
+        right = blocked.join(sent.select("dim", "cell", "chunk").distinct(), ["dim", "cell"]).select(*keys, "vec_id", "copy", "v", "far")
+        return left.groupBy(*[f"to_{c}" for c in keys]).cogroup(right.groupBy(*keys)).applyInArrow(answer, schema)
 
     home = cut(_best(search(queries.withColumn("cell", F.col("home")).withColumn("least", F.lit(float("-inf")))), k))
-    least = F.when(F.size("best") >= k, -F.element_at("best", k)["s"].cast("double")).otherwise(F.lit(float("-inf")))
-    known = queries.join(home.select("q_key", least.alias("least")), "q_key", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
-    # the query's product with each centre and its length, against the groups' radii
-    away = known.mapInPandas(_sent(centres, summary.select("dim", "cell", "radius").collect()), "dim long, cell long, q_id long, q_copy long, q_key string, v array<long>, least double")
-    others = search(away)
-    both = home.select("q_key", "q_id", F.explode("best").alias("b")).select("q_id", "q_key", F.col("b.vec_id").alias("vec_id"), (-F.col("b.s")).alias("score")).unionByName(others)
-    final = _best(both, k)
-    return final.select(F.col("q_id").alias("query_id"), F.posexplode("best").alias("rank", "b")).select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.s")).alias("score"))
+    known = queries.join(home.where(F.col("rank") == k).select("q_key", F.col("score").cast("double").alias("least")), "q_key", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
+    # the query's product with each centre and its length, against the groups' radii; dimensions outside the sample have one group
+    radii = summary.where(F.col("dim").isin(list(centres))).select("dim", "cell", "radius").collect()
+    away = cut(known.where(F.col("dim").isin(list(centres))).mapInPandas(_sent(centres, radii), "dim long, cell long, q_key string"))
+    others = search(away.join(known.drop("dim"), "q_key"))
+    final = _best(home.select("q_id", "q_key", "vec_id", "score").unionByName(others), k)
+    return final.select(F.col("q_id").alias("query_id"), F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def _sent(pivots: dict[int, np.ndarray], summary: list):
@@ -185,7 +190,7 @@ def _sent(pivots: dict[int, np.ndarray], summary: list):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
-            dims, v = df["dim"].to_numpy(), df["v"].to_numpy()
+            dims, v = df["dim"].to_numpy(), df["q"].to_numpy()
             for dim in np.unique(dims):
                 at = np.flatnonzero(dims == dim)
                 q = np.stack(v[at]).astype(float)
@@ -195,7 +200,7 @@ def _sent(pivots: dict[int, np.ndarray], summary: list):
                 least, home = df["least"].to_numpy()[at], df["home"].to_numpy()[at]
                 reach = (bound * (1 + 1e-9) + 1 >= least[:, None]) & (cells[None] != home[:, None])
                 i, c = np.nonzero(reach)
-                yield pd.DataFrame({"dim": int(dim), "cell": cells[c], **{n: df[n].to_numpy()[at][i] for n in ("q_id", "q_copy", "q_key", "v", "least")}})
+                yield pd.DataFrame({"dim": int(dim), "cell": cells[c], "q_key": df["q_key"].to_numpy()[at][i]})
 
     return run
 
