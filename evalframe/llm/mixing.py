@@ -10,21 +10,39 @@ each of which has its documents in another seeded order.
 
 Every level is a few rows per node; budgets are window expressions over a
 node's children. Prefixes are sums over (leaf, epoch, bucket of the seeded
-hash), then inside the one bucket that holds the end, so no leaf's documents
-are sorted in one task.
+hash): buckets before the end are taken whole, the one that holds the end is
+summed by smaller buckets in turn, and only what is left of that is put in order,
+so no leaf's documents are sorted in one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evalframe.llm.common import cut
+from evalframe.llm.common import cut, unused
 
-#: Hex digits of the seeded hash that name a bucket: 4,096 buckets per leaf and epoch.
-DIGITS = 3
+#: Hex digits of the seeded hash that name a bucket, 4,096 to a leaf and epoch, and how often the last one is cut again.
+DIGITS, CUTS = 3, 2
 LEVELS = ("domain", "lang", "source")
 
+#: The registered query's targets: weights of domains, and of languages in each; sources by their sizes.
+TARGETS = (("web", None, 3), ("forum", None, 2), ("reference", None, 5), *((d, lang, w) for d in ("web", "forum", "reference") for lang, w in (("en", 4), ("de", 5), ("fr", 2), ("es", 1))))
+
+
+def target_weights(spark: SparkSession) -> DataFrame:
+    """TARGETS as a table of weights."""
+    return spark.createDataFrame([(d, lang, None, w) for d, lang, w in TARGETS], "domain string, lang string, source string, weight long")
+
+
+def hashed_domains(docs: DataFrame) -> DataFrame:
+    """(source, domain) of every source: documents say nothing of domains, so sources are dealt to three by a digit of their hash."""
+    digit = F.substring(F.md5("source"), 1, 1)
+    domain = F.when(digit <= "8", "web").when(digit <= "c", "forum").otherwise("reference")
+    return docs.where("source <> ''").select("source").distinct().withColumn("domain", domain)
+
 
 def words(text: Column) -> Column:
     """Tokens as runs of characters other than white space (x20, x09 to x0D); 0 for null."""
@@ -101,7 +119,8 @@ def mix(docs: DataFrame, total: int | None = None, epochs: int = 3, seed: int =
     """The selection: a row per document and epoch in which it is taken.
 
     Columns: doc_id, domain, lang, source, n_tokens, epoch (from 0), before (its leaf's tokens before it in
-    the epoch's order), budget (its leaf's), text_sha. A document is taken if it begins before the end of its
+    the epoch's order; null where epoch or bucket is taken whole), budget (its leaf's), text_sha. ``domains`` has
+    (source, domain), ``weights`` what ``leaf_budgets`` takes. A document is taken if it begins before the end of its
     leaf's budget, so a leaf may exceed it by one document. Documents without tokens come with the epoch's
     order like others. Rows equal in doc_id and text share a place. An empty table gives an empty result.
     """
@@ -115,38 +134,48 @@ def mix(docs: DataFrame, total: int | None = None, epochs: int = 3, seed: int =
     out = ["doc_id", *LEVELS, "n_tokens", "epoch", "before", "budget", "text_sha"]
     whole = placed.where("whole > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole") - 1))).withColumn("before", F.lit(None).cast("long")).select(*out)
     order = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col("whole").cast("string"), F.col("doc_id").cast("string"), F.col("text_sha")), 256)
-    partial = placed.where("rest > 0").withColumn("epoch", F.col("whole")).withColumn("h", order).withColumn("bucket", F.substring("h", 1, DIGITS))
-    sums = partial.groupBy(*LEVELS, "bucket").agg(F.sum("n_tokens").alias("n"))
-    w = Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("base", F.coalesce(F.sum("n").over(w), F.lit(0))).drop("n")
-    inside = Window.partitionBy(*LEVELS, "bucket").orderBy("h").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    ended = partial.join(sums, [*LEVELS, "bucket"]).where("base < rest").withColumn("before", F.col("base") + F.sum("n_tokens").over(inside) - F.col("n_tokens"))
-    return whole.unionByName(ended.where("before < rest").select(*out))
+    left = placed.where("rest > 0").withColumn("epoch", F.col("whole")).withColumn("h", order).select(*LEVELS, "doc_id", "n_tokens", "epoch", "budget", "text_sha", "rest", "h", F.lit(0).cast("long").alias("gone"))
+    taken = [whole]
+    for depth in range(CUTS):
+        dealt = left.withColumn("bucket", F.substring("h", 1 + depth * DIGITS, DIGITS))
+        sums = dealt.groupBy(*LEVELS, "bucket").agg(F.sum("n_tokens").alias("n"))
+        w = Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+        dealt = dealt.join(sums.withColumn("base", F.coalesce(F.sum("n").over(w), F.lit(0))), [*LEVELS, "bucket"])
+        taken.append(dealt.where("base + n < rest").withColumn("before", F.lit(None).cast("long")).select(*out))
+        left = dealt.where("base < rest and rest <= base + n").withColumns({"rest": F.col("rest") - F.col("base"), "gone": F.col("gone") + F.col("base")}).drop("bucket", "base", "n")
+    inside = Window.partitionBy(*LEVELS).orderBy("h").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    ended = left.withColumn("inside", F.sum("n_tokens").over(inside) - F.col("n_tokens")).where("inside < rest")
+    taken.append(ended.withColumn("before", F.col("gone") + F.col("inside")).select(*out))
+    return reduce(DataFrame.unionByName, taken)
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents themselves, each as often as it is taken, with their own columns."""
-    taken = mix(docs, **options).groupBy("doc_id", *LEVELS, "text_sha").agg(F.count("*").alias("_times"))
-    # rows equal in doc_id, leaf and text are taken together, as often each
-    leaf = docs.withColumns({"_lang": F.coalesce("lang", F.lit("")), "_source": F.coalesce("source", F.lit("")), "_sha": F.sha2(F.coalesce("text", F.lit("")), 256)})
+    """The documents themselves, each as often as it is taken, with their own columns, whatever their names.
+
+    Options are those of ``mix``. Null and empty texts come with their leaf's epochs; rows equal in doc_id, leaf and
+    text are taken together, as often each; an empty table gives an empty result.
+    """
+    d, lang, source, sha, domain, alike, times, n, copy, doc_id = unused(docs, "d", "lang", "source", "sha", "domain", "alike", "times", "n", "copy", "doc_id")
+    taken = mix(docs, **options).groupBy("doc_id", *LEVELS, "text_sha").agg(F.count("*").alias(times))
+    own = docs.withColumns({lang: F.coalesce("lang", F.lit("")), source: F.coalesce("source", F.lit("")), sha: F.sha2(F.coalesce("text", F.lit("")), 256)})
     domains = options.get("domains")
     if domains is None:
-        own = leaf.withColumn("_domain", F.lit("web"))
+        own = own.withColumn(domain, F.lit("web"))
     else:
-        own = leaf.join(domains.select(F.col("source").alias("_source"), F.col("domain").alias("_domain")), "_source", "left").withColumn("_domain", F.coalesce("_domain", F.lit("web")))
-    keys = ["_domain", "_lang", "_source", "_sha"]
-    alike = own.groupBy("doc_id", *keys).agg(F.count("*").alias("_alike"))
-    taken = taken.select(F.col("doc_id").alias("_id"), F.col("domain").alias("_domain"), F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.col("text_sha").alias("_sha"), "_times")
+        own = own.join(domains.select(F.col("source").alias(source), F.col("domain").alias(d)), source, "left").withColumn(domain, F.coalesce(d, F.lit("web"))).drop(d)
+    keys = [domain, lang, source, sha]
+    counted = own.groupBy("doc_id", *keys).agg(F.count("*").alias(alike))
+    taken = taken.select(F.col("doc_id").alias(doc_id), F.col("domain").alias(domain), F.col("lang").alias(lang), F.col("source").alias(source), F.col("text_sha").alias(sha), times)
 
     def same(a: DataFrame, b: DataFrame) -> Column:
-        on = a["doc_id"].eqNullSafe(b["_id"])
+        on = a["doc_id"].eqNullSafe(b[doc_id])
         for k in keys:
             on = on & (a[k] == b[k])
         return on
 
-    counts = alike.join(taken, same(alike, taken)).select("_id", *[taken[k] for k in keys], F.floor(F.col("_times") / F.col("_alike")).cast("int").alias("_n"))
+    counts = counted.join(taken, same(counted, taken)).select(doc_id, *[taken[k] for k in keys], F.floor(F.col(times) / F.col(alike)).cast("int").alias(n))
     joined = own.join(counts, same(own, counts))
-    return joined.where("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*[own[c] for c in docs.columns])
+    return joined.where(F.col(n) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*[own[c] for c in docs.columns])
 
 
 def _share_sql(source: str, parent: str) -> str:
@@ -165,13 +194,19 @@ SELECT *, CAST(CASE WHEN is_full THEN capacity
 
 
 def oracle_sql(epochs: int = 3, seed: int = 7) -> str:
-    """The defaults of ``mix`` (one domain) in DuckDB SQL."""
+    """``mix`` with ``hashed_domains`` and ``TARGETS`` in DuckDB SQL."""
+    rows = ", ".join(f"('{d}', {f"'{lang}'" if lang else 'NULL'}, {w})" for d, lang, w in TARGETS)
+    digit = "substr(md5(source), 1, 1)"
     return rf"""
-WITH d AS (SELECT doc_id, 'web' AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+WITH d AS (SELECT doc_id, CASE WHEN coalesce(source, '') = '' OR {digit} <= '8' THEN 'web' WHEN {digit} <= 'c' THEN 'forum' ELSE 'reference' END AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
                   len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n_tokens, sha256(coalesce(text, '')) AS sha FROM documents),
+t(domain, lang, weight) AS (VALUES {rows}),
 l3 AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM d GROUP BY ALL),
 l2 AS (SELECT domain, lang, '' AS source, CAST(sum(tokens) AS BIGINT) AS tokens FROM l3 GROUP BY ALL),
-c2 AS (SELECT *, tokens * {epochs} AS capacity, CAST(floor(sqrt(tokens)) AS BIGINT) AS weight, (SELECT sum(tokens) FROM l3) AS given FROM l2),
+l1 AS (SELECT domain, '' AS lang, '' AS source, CAST(sum(tokens) AS BIGINT) AS tokens FROM l3 GROUP BY ALL),
+c1 AS (SELECT l1.*, tokens * {epochs} AS capacity, coalesce(t.weight, CAST(floor(sqrt(tokens)) AS BIGINT)) AS weight, (SELECT sum(tokens) FROM l3) AS given, 0 AS root FROM l1 LEFT JOIN t ON t.domain = l1.domain AND t.lang IS NULL),
+b1 AS ({_share_sql("c1", "root")}),
+c2 AS (SELECT l2.*, l2.tokens * {epochs} AS capacity, coalesce(t.weight, CAST(floor(sqrt(l2.tokens)) AS BIGINT)) AS weight, b1.budget AS given FROM l2 JOIN b1 ON b1.domain = l2.domain LEFT JOIN t ON t.domain = l2.domain AND t.lang = l2.lang),
 b2 AS ({_share_sql("c2", "domain")}),
 c3 AS (SELECT l3.*, l3.tokens * {epochs} AS capacity, CAST(floor(sqrt(l3.tokens)) AS BIGINT) AS weight, b2.budget AS given FROM l3 JOIN b2 USING (domain, lang)),
 b3 AS ({_share_sql("c3", "domain, lang")}),

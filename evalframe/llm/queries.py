@@ -33,9 +33,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from evalframe.llm.mixing import mix
+    from evalframe.llm.mixing import hashed_domains, mix, target_weights
 
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "domain", "lang", "source", "n_tokens", "epoch", "budget")
+    docs = table(spark, sf_dir, "documents")  # counted in words, which SQL can check; the pipeline counts in tokens
+    return mix(docs, weights=target_weights(spark), domains=hashed_domains(docs)).select("doc_id", "domain", "lang", "source", "n_tokens", "epoch", "budget")
 
 
 def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -167,6 +167,105 @@ def test_rows_of_two_leaves_with_equal_id_and_text_stay(spark):
         assert sorted(map(tuple, out.collect())) == [(1, "a b", "en", "t")] * 2
 
 
+def test_shortages_go_to_siblings_before_ancestors(spark):
+    """Three domains: one cannot take its share, and in another a language cannot; each shortage stays as low as it can."""
+    size = {("a", "en", "s1"): 100, ("b", "en", "s2"): 600, ("b", "de", "s3"): 20, ("c", "en", "s4"): 1000}
+    rows = [(1000 * n + i, "w", lang, source) for n, ((_, lang, source), k) in enumerate(size.items()) for i in range(k)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    domains = spark.createDataFrame([(s, d) for d, _, s in size], "source string, domain string")
+    weights = spark.createDataFrame([("a", None, None, 2), ("b", None, None, 1), ("c", None, None, 1), ("b", "de", None, 1), ("b", "en", None, 1)], "domain string, lang string, source string, weight long")
+    out = {(r.domain, r.lang): r.budget for r in mixing.mix(docs, total=1000, epochs=1, weights=weights, domains=domains).groupBy("domain", "lang").agg({"budget": "max"}).withColumnRenamed("max(budget)", "budget").collect()}
+    # a takes its 100 of 500; b and c share the rest, 450 each; in b, German takes its 20 of 225
+    assert out == {("a", "en"): 100, ("b", "de"): 20, ("b", "en"): 430, ("c", "en"): 450}
+
+
+@pytest.mark.parametrize("digits", [3, 1])
+def test_prefixes_equal_a_sorted_leaf(spark, monkeypatch, digits):
+    """Buckets taken whole and in part give what sorting the leaf's documents gives."""
+    import hashlib
+
+    monkeypatch.setattr(mixing, "DIGITS", digits)
+    rng = random.Random(8)
+    rows = [(i, " ".join(["w"] * rng.randint(0, 9)), "en", "s") for i in range(700)] + [(5, "w w", "en", "s")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4)
+    for total in (0, 1, 137, 1500, 2900):
+        got = sorted(r.doc_id for r in mixing.mix(docs, total=total).collect())
+        keyed = sorted((hashlib.sha256(f"7|0|{i}|{hashlib.sha256(t.encode()).hexdigest()}".encode()).hexdigest(), i, len(t.split())) for i, t, *_ in rows)
+        want, seen, k = [], 0, 0
+        while k < len(keyed):
+            same = [x for x in keyed if x[0] == keyed[k][0]]
+            seen += sum(x[2] for x in same)
+            want += [x[1] for x in same if seen - x[2] < total]
+            k += len(same)
+        assert got == sorted(want)
+
+
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, _d long, _n int, _k string, _key string, _md5 string, _l string, _s string, _sha string, _domain string, _copy int, __d int, rank int, label string, probe boolean, base long, rest long, gone long, h string"
+
+
+def test_columns_with_names_that_operators_use(spark):
+    from evalframe.llm import near_dup, outliers, packing, quality_model, secret_scan, suffix_dedup
+
+    texts = [" ".join(f"word{(7 * i + j) % 90}" for j in range(40)) for i in range(8)] * 2 + [None, ""]
+    rows = [(i % 9, t, "en", "s", 1, 1, 2, "k", "key", "m", "l", "s", "h", "d", 3, 4, 5, "x", True, 6, 7, 8, "y") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, CLASHING)
+    for out in (near_dup.deduplicated(docs), outliers.accepted(docs), mixing.mixed_documents(docs), secret_scan.redact(docs)):
+        assert out.schema == docs.schema and out.count() >= 0
+    for out in (near_dup.deduplicated(docs.limit(0)), outliers.accepted(docs.limit(0)), mixing.mixed_documents(docs.limit(0)), secret_scan.redact(docs.limit(0))):
+        assert out.schema == docs.schema and out.count() == 0
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for out in (packing.pack(docs), near_dup.classes(docs), outliers.judge(docs), secret_scan.scan(docs), suffix_dedup.remove_repeats(docs), quality_model.score(docs, labels)):
+        assert out.count() == len(rows)
+
+
+def test_pipeline_of_odd_documents(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows and extra columns pass each stage; so does a table without rows."""
+    import corpus_pipeline as P
+
+    rng = random.Random(4)
+    long = " ".join(f"w{rng.randint(0, 99999)}" for _ in range(30_000))
+    texts = [" ".join(f"v{rng.randint(0, 9999)}" for _ in range(60)) for _ in range(20)]
+    every = [None, "", " ", long, *texts, texts[0], texts[0] + " more", "password = abcdefgh12 " + texts[1]]
+    rows = [(i, t, None if i % 7 == 0 else "en", None if i % 5 == 0 else "s", len(t or ""), i) for i, t in enumerate(every)]
+    for name, some in (("odd", [*rows, rows[4]]), ("none", [])):
+        top = tmp_path / name
+        docs = spark.createDataFrame(some, "doc_id long, text string, lang string, source string, n_chars long, _d long").coalesce(2)
+        docs.write.parquet(str(top / "documents.parquet"))
+        out = P.run(spark, str(top))
+        ids = {r.doc_id for r in out.collect()}
+        if not some:
+            assert not ids
+            continue
+        assert ids <= set(range(3, len(every))) and 3 in ids  # without words nothing stays; the long text does
+        assert len({i for i, t in enumerate(every) if t == texts[0]} & ids) <= 1
+        assert out.groupBy("doc_id", "piece").count().where("piece > 0").count() > 0
+
+
+def test_pipeline_stages_equal_brute_force(spark):
+    """What each stage keeps, by plain Python over the smallest tables, where its operator's own tests define the rest."""
+    import corpus_pipeline as P
+    from tests.llm.test_text_ops import base_spans, classes_of, counts_of
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    rows = {r.doc_id: r for r in docs.collect()}
+    ids = {r.doc_id for r in P.quality_rules(spark, docs, DATA).select("doc_id").collect()}
+    fine = set()
+    for i, r in rows.items():
+        n = counts_of(r.text)
+        if n[0] >= 10 and 100 * n[4] <= 20 * n[0]:
+            fine.add(i)
+    assert ids <= fine and len(ids) > 0.85 * len(fine)
+    own = sorted(ids)
+    found = classes_of([rows[i].text for i in own])
+    one = P.near_duplicates(spark, docs.where(docs["doc_id"].isin(own)), DATA)
+    assert {r.doc_id for r in one.select("doc_id").collect()} == {own[k] for k in set(found.values())}
+    marked = {r.doc_id: r.text for r in P.secrets(spark, docs, DATA).collect()}
+    for i, r in rows.items():
+        assert (marked[i] == r.text) or "<" in marked[i]
+        assert not base_spans(marked[i] or "")
+        assert bool(base_spans(r.text or "")) <= (marked[i] != r.text)
+
+
 def test_pipeline_mixes_by_the_tokenizer(spark):
     import corpus_pipeline as P
     from evalframe.llm.tokens import token_count, tokenizer, default_path
@@ -198,6 +297,17 @@ def test_exact_search_equals_brute_force(spark):
     assert knn.top_k(table.limit(0)).count() == 0
 
 
+def test_exact_search_of_a_group_of_many_queries(spark):
+    """Half of all vectors are alike, so one group has many blocks and many chunks of queries."""
+    r = np.random.default_rng(3)
+    rows = [(int(i), [float(x) for x in (r.integers(-3, 3, 4) if i % 2 else [2, 2, 2, i % 3])]) for i in range(240)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(x) for x in knn.top_k(table, k=4, every=2, pivots=5, block_rows=16, chunk_rows=8).collect())
+    known = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows]
+    want = [(i, n + 1, j, -s) for i, q in known if i % 2 == 0 for n, (s, j) in enumerate(sorted((-sum(x * y for x, y in zip(q, v)), j) for j, v in known if j != i)[:4])]
+    assert got == sorted(want)
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as P
 

@@ -98,6 +98,34 @@ def test_local_search_tries_stuck_groups_again():
         assert not steps or sum(b.count for b in last) == packing.least_bins(last, cap)
 
 
+def test_search_repairs_the_seeded_start(monkeypatch):
+    """Lengths as documents have them: the search, not the start, gives the number of bins."""
+    rng = np.random.default_rng(5)
+    lengths, n = np.unique(np.minimum(4096, rng.lognormal(6, 1.2, 3000).astype(int) + 1), return_counts=True)
+    hist = dict(zip(lengths.tolist(), n.tolist()))
+    first = packing.best_fit(hist, 4096, packing.SEED)
+    last = packing.packed(hist, 4096)
+    count = lambda bins: sum(b.count for b in bins)
+    assert count(last) == packing.least_bins(last, 4096) < count(first)
+    total = Counter()
+    for b in last:
+        total.update({k: v * b.count for k, v in b.items.items()})
+    assert total == hist
+    monkeypatch.setattr(packing, "local_search", lambda bins, capacity: bins)
+    assert count(packing.local_search(first, 4096)) > count(last)
+
+
+def test_places_of_a_hot_length(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BUCKET_ROWS", 7)
+    monkeypatch.setattr(packing, "BUCKETS", 3)
+    rows = [(i, 0, 0, 5 if i % 3 else 1 + i % 9, i) for i in range(400)]
+    items = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long").repartition(5)
+    out = packing.place(items, 16).toPandas()
+    assert len(out) == 400 and out.doc_id.nunique() == 400
+    for _, g in out.sort_values("offset").groupby("sequence_id"):
+        assert g.offset.tolist() == [0, *np.cumsum(g.length)[:-1]] and g.length.sum() <= 16
+
+
 def test_packing_of_nothing(spark, texts):
     assert packing.pack(docs_of(spark, texts).limit(0)).count() == 0
 
@@ -129,6 +157,36 @@ def test_secrets_equal_regexes(spark, texts):
     assert got[len(every) - 2].spans == "private_key:0:31" and got[len(every) - 1].spans == "github:0:44"
 
 
+def test_spans_come_from_states(spark, monkeypatch):
+    """Of a text only what lies between two first states around a long enough run of accepting ones is matched again."""
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    filler = " ".join(prose(rng, 400).split())
+    every = [filler + " token = 'abcdefgh-1234' " + filler, filler, "AKIA" + "A" * 11 + " x " + "0" * 31, "token=secret:abcdefghij", "token=" + "a=" * 9 + " secret: x", "api-key: AIza" + "b" * 40 + ".",
+             "eyJ" + "a" * 9 + ".eyJ" + "b" * 9 + "." + "c" * 9, "xoxb-" + "1" * 12 + " sk_live_" + "9" * 16]
+    dfa, seen = secret_scan.compile_rules(), 0
+    column = pa.array(every)
+    for b in secret_scan.blocks(column):
+        _, lo, hi = secret_scan.matches(b, dfa, secret_scan.RULES)
+        seen += int((hi - lo).sum())
+    assert seen < 600
+    found = [spans for _, _, spans in secret_scan._each(column, secret_scan.RULES)]
+    got = [[(secret_scan.RULES[k].kind, a, e) for a, e, k in secret_scan._points(t.encode(), spans)] for t, spans in zip(every, found)]
+    for spans, t in zip(got, every):
+        assert [s for s in spans if s[0] in secret_scan.BASE] == base_spans(t)
+    assert [s[0] for s in got[5] + got[6] + got[7]] == ["google", "jwt", "slack", "stripe"]
+    # without accepting states there are no spans: nothing else looks for them
+    blind = secret_scan.Automaton(dfa.code, dfa.step, len(dfa.step), np.zeros_like(dfa.found), dfa.resets, dfa.width)
+    monkeypatch.setattr(secret_scan, "compile_rules", lambda rules: blind)
+    assert not any(spans for _, _, spans in secret_scan._each(column, secret_scan.RULES))
+
+
+def test_secrets_of_nothing(spark, texts):
+    docs = docs_of(spark, texts).limit(0)
+    assert secret_scan.scan(docs).count() == 0 and secret_scan.redact(docs).count() == 0
+
+
 def test_automaton_is_deterministic_and_minimal():
     d = secret_scan.compile_rules()
     step = d.step.reshape(-1, d.width)
@@ -179,6 +237,59 @@ def test_counts_and_verdicts(spark, texts):
     assert all(got[i].kept for i in range(first + 4, len(every)))
 
 
+def fast_mcd(x, floor, h=0.75, starts=300, seed=1):
+    """A plain FAST-MCD: the part of a share h with the least determinant, by steps from many small starts."""
+    rng, best, n = np.random.default_rng(seed), None, math.ceil(h * len(x))
+
+    def estimate(part):
+        cov = np.cov(part.T, bias=True) * outliers.CONSISTENCY
+        return part.mean(0), cov + np.diag(np.maximum(floor - np.diag(cov), 0) + 1e-9)
+
+    for _ in range(starts):
+        centre, cov = estimate(x[rng.choice(len(x), 8, replace=False)])
+        last = np.inf
+        while True:
+            z = x - centre
+            d = np.einsum("ij,jk,ik->i", z, np.linalg.inv(cov), z)
+            centre, cov = estimate(x[np.argsort(d, kind="stable")[:n]])
+            det = np.linalg.slogdet(cov)[1]
+            if det >= last - 1e-9:
+                break
+            last = det
+        if best is None or det < best[0]:
+            best = det, centre, cov
+    return best
+
+
+def test_mcd_equals_a_plain_one(spark):
+    """Two groups, with a fifth of outliers in one tight crowd; a third whose quartiles a crowd of a fourth has moved."""
+    rng = np.random.default_rng(6)
+    floor = np.array(list(outliers.FEATURES.values())) ** 2
+    mix = rng.normal(0, 1, (5, 5)) * 2 + 3 * np.eye(5)
+    rows = {}
+    for g, n, share in (("a", 400, 0.2), ("b", 300, 0.0), ("c", 400, 0.24)):
+        x = rng.normal(0, 1, (n, 5)) @ mix
+        x[: int(share * n)] = rng.normal(0, 0.3, (int(share * n), 5)) + 30
+        rows[g] = x
+    vectors = spark.createDataFrame([(g, *map(float, v)) for g, x in rows.items() for v in x], "g string, " + ", ".join(f"{f} double" for f in outliers.FEATURES)).repartition(3)
+    for r in outliers.fit_mcd(vectors).collect():
+        det, centre, cov = fast_mcd(rows[r.g], floor)
+        assert r.logdet <= det + 0.12  # whole cells are kept, so a few rows more
+        assert np.abs(np.linalg.solve(cov, np.array([r[f"c{i}"] for i in range(5)]) - centre)).max() < 0.2
+        inverse = np.array([[r[f"v{i}_{j}"] for j in range(5)] for i in range(5)])
+        z = rows[r.g] - np.array([r[f"c{i}"] for i in range(5)])
+        d = np.einsum("ij,jk,ik->i", z, inverse, z)
+        crowd = {"a": 80, "b": 0, "c": 96}[r.g]
+        assert (d[:crowd] > outliers.CUTOFF).all() and (d[crowd:] <= outliers.CUTOFF).all()
+
+
+def test_estimates_are_named(spark):
+    rng = random.Random(5)
+    rows = [(i, prose(rng, 40), *(("en", "a") if i < 70 else ("en", "b") if i < 80 else ("de", "c"))) for i in range(90)] + [(99, "short", "en", "a")]
+    out = {r.doc_id: r.estimate for r in outliers.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert (out[0], out[75], out[85], out[99]) == ("language and source", "language", "all", None)
+
+
 def test_quality_rules_with_null_groups_and_nothing(spark, texts):
     docs = docs_of(spark, [*texts, *texts], langs=(None, "en", ""), sources=(None, "a"))
     assert outliers.judge(docs).count() == 2 * len(texts)
@@ -251,6 +362,24 @@ def test_leftover_pairs_are_found_in_blocks(spark, monkeypatch):
     assert got == classes_of(every)
 
 
+def test_only_outsiders_are_repeated(spark, monkeypatch):
+    """A large component with two outsiders in its bucket makes rows in proportion to its members."""
+    monkeypatch.setattr(near_dup, "BLOCK", 10)
+    rows = [(5, 0, 0, n, 0 if n < 100 else n) for n in range(102)]
+    labelled = spark.createDataFrame(rows, "band long, i int, centre long, node long, label long")
+    sigs = spark.createDataFrame([(n, bytes(4), 10) for n in range(102)], "node long, sig binary, bytes long")
+    out = near_dup._groups(labelled, sigs).collect()
+    assert len(out) == 102 + 2 * 11 and {r.node for r in out if r.probe} == {100, 101}
+    monkeypatch.setattr(near_dup, "BLOCK_BYTES", 40)  # or by the bytes of their texts
+    assert max(r.block for r in near_dup._groups(labelled, sigs).collect()) == 25
+
+
+def test_no_link_is_lost_by_the_estimate(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    own = near_dup.classes(docs).select("doc_id", "class_id").collect()
+    assert sorted(own) == sorted(near_dup.classes(docs, agree=0.0).select("doc_id", "class_id").collect())
+
+
 def test_similarity_equals_its_definition():
     rng = random.Random(1)
     for _ in range(50):
@@ -363,6 +492,43 @@ def test_classifier_learns_once_from_a_repeated_id(spark, monkeypatch):
     assert all(a[0] == b[0] and (a[1] == b[1]).all() and (a[2] == b[2]).all() for a, b in zip(*seen))
 
 
+def features_of(text):
+    """Buckets of words and of n-grams within a word and the white space beside it, by plain Python."""
+    mask = (1 << 64) - 1
+
+    def mixed(x):
+        x ^= x >> 30
+        x = x * 0xBF58476D1CE4E5B9 & mask
+        x ^= x >> 27
+        x = x * 0x94D049BB133111EB & mask
+        return x ^ x >> 31
+
+    base = 0x9E3779B97F4A7C15 | 1
+    points = [32 if c in " \t\n\x0b\f\r" else ord(c) for c in text]
+
+    def hashed(part):
+        h, p = 0, 1
+        for c in part:
+            h, p = (h + mixed(c + 1) * p) & mask, p * base & mask
+        return h
+
+    words = [hashed([ord(c) for c in w]) for w in re.split("[ \t\n\x0b\f\r]+", text) if w]
+    grams = [hashed(points[i : i + k]) + k for k in quality_model.GRAMS for i in range(len(points) - k + 1) if 32 not in points[i + 1 : i + k - 1]]
+    return Counter(mixed(h & mask) % quality_model.BUCKETS for h in words + grams)
+
+
+def test_scores_equal_brute_force(spark, monkeypatch, texts):
+    rng = np.random.default_rng(2)
+    model = quality_model.Model(rng.normal(0, 1, quality_model.BUCKETS).astype(np.float32), 0.25)
+    monkeypatch.setattr(quality_model, "fit", lambda *args: model)
+    some = [t for t in texts if len(t or "") < 2000]
+    out = {r.doc_id: r.score for r in quality_model.score(docs_of(spark, some), None).collect()}
+    for i, t in enumerate(some):
+        bag = features_of(t or "")
+        z = sum(float(model.weight[b]) * n for b, n in bag.items()) / max(1, sum(bag.values())) + model.bias
+        assert abs(out[i] - 1 / (1 + math.exp(-z))) < 1e-6
+
+
 def test_classifier_without_labels(spark, texts):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.score for r in quality_model.score(docs_of(spark, texts), labels).collect()} == {0.5}
