@@ -163,7 +163,7 @@ def test_spans_come_from_states(spark, monkeypatch):
 
     rng = random.Random(6)
     filler = " ".join(prose(rng, 400).split())
-    every = [filler + " token = 'abcdefgh-1234' " + filler, filler, "AKIA" + "A" * 11 + " x " + "0" * 31, "token=secret:abcdefghij", "token=" + "a=" * 9 + " secret: x", "api-key: AIza" + "b" * 40 + ".",
+    every = [filler + " token = 'abcdefgh-1234' " + filler, filler, "AKIA" + "A" * 11 + " x " + "0" * 31, "token=secret:abcdefghij", "token=" + "a=" * 9 + " secret: x", "api-key: AIza" + "z" * 40 + ".",
              "eyJ" + "a" * 9 + ".eyJ" + "b" * 9 + "." + "c" * 9, "xoxb-" + "1" * 12 + " sk_live_" + "9" * 16]
     dfa, seen = secret_scan.compile_rules(), 0
     column = pa.array(every)
