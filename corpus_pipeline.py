@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet and read again as the next one's ``docs``. All but the last
-return the columns of ``documents``.
+return the columns of ``documents``; further columns are dropped. Null texts are
+empty ones. A table without rows gives one without rows at every stage.
 """
 
 from __future__ import annotations
@@ -22,27 +23,33 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the outlier test reject go."""
+    """Documents that the base rules or the outlier test reject go.
+
+    Null and empty texts have no words and go; of repeated rows all stay or all go; very long texts stay whole.
+    """
     return accepted(docs.select(*COLUMNS))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies stays."""
+    """One document of each class of near copies stays, that with the least doc_id; of repeated rows one stays."""
     return deduplicated(docs.select(*COLUMNS))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents stay; secrets in their texts become marks, and n_chars follows."""
+    """All documents stay; secrets in their texts become marks, and n_chars follows. A null text stays null."""
     return redact(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many of the tokenizer's tokens as there are, mixed by weights: small leaves come up to three times, large ones in part."""
+    """As many of the tokenizer's tokens as there are, mixed by weights: small leaves come up to three times, large ones in part.
+
+    Weights are square roots of sizes; languages and sources that are null are leaves of their own.
+    """
     return mixed_documents(docs.select(*COLUMNS), tokens=token_count(F.col("text")))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 4,096 tokens; a document that the mix has twice is packed twice."""
+    """Sequences of at most 4,096 tokens; a document that the mix has twice is packed twice, a longer one in pieces."""
     return pack(docs)
 
 
