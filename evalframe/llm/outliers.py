@@ -189,7 +189,7 @@ def _starts(vectors: DataFrame) -> DataFrame:
             cols.append((1 / (sd * sd) if i == j else F.lit(0.0)).alias(f"v{i}_{j}"))
     plain = whole.select(*cols, F.lit(None).cast("double").alias("logdet"))
     rows = with_few(vectors, whole.select("g", "n"), "g").withColumn("start", F.explode(F.sequence(F.lit(1), F.lit(STARTS))))
-    part = rows.where(F.pmod(F.xxhash64("start", *FEATURES), F.lit(1 << 40)) * F.col("n") < START_ROWS * (1 << 40))
+    part = rows.where(F.pmod(F.xxhash64("start", *FEATURES), F.lit(1 << 40)) / float(1 << 40) < START_ROWS / F.col("n"))
     return cut(plain.unionByName(_moments(part)))
 
 

@@ -124,7 +124,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     """Learns from at most ``sample_rows`` labelled rows outside the held-out part, half of each class, by hash order.
 
     A sampled id is one row to learn from, however often it is repeated. Features are counted on the executors;
-    the driver gets the bags of the sample. Without labels of both
+    the driver gets the bags of the sample, which have an entry for each different bucket, BUCKETS at most, however
+    long the text. Without labels of both
     classes the model scores every text 0.5 (or the one class there is, by its bias of zero).
     """
     known = labels.where("doc_id is not null and quality in (0, 1)").where(remainder(F.col("doc_id")) != 1).select("doc_id", F.col("quality").alias("label")).distinct()
@@ -161,7 +162,8 @@ def score(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     """Score and prediction of every document.
 
     A null or empty text has no features and gets the score of the bias. Repeated rows are scored alike;
-    a null doc_id is never held out, and never learned from. Columns other than doc_id and text play no part.
+    a null doc_id is never held out, and never learned from. An empty table gives an empty result. Columns other than
+    doc_id and text play no part.
     """
     model = fit(docs, labels, sample_rows)
     kind = docs.schema["doc_id"].dataType.simpleString()
