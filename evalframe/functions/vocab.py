@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Class indices and names, the class and classes of interest.
 CLASSES = ((0, "clear"), (1, "thick_cloud"), (2, "thin_cloud"), (3, "cloud_shadow"))
 FOCUS_CLASS = "thin_cloud"
 CLOUD_CLASSES = (1, 2)
+#: Splits with their shares, seed, patch size and overlap, percentiles of stretches, file types.
 SPLITS = ("train", "val", "test")
 RATIOS = {"train": 0.7, "val": 0.15, "test": 0.15}
 SEED = 42
@@ -18,6 +20,7 @@ PATCH, OVERLAP = 512, 0
 PERCENTILES = (2.0, 98.0)
 EXTENSIONS = (".tif", ".tiff")
 EPSILON = 1e-8
+#: What stands for a checksum that is not known yet; severities and the rates from which they hold.
 PLACEHOLDERS = ("", "TBD", "PLACEHOLDER", "NONE", "REQUIRES VERIFICATION")
 SEVERITIES = ("NONE", "LOW", "MEDIUM", "HIGH", "CRITICAL")
 SEVERITY_THRESHOLDS = {"CRITICAL": 0.75, "HIGH": 0.5, "MEDIUM": 0.25}

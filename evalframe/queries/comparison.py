@@ -20,8 +20,9 @@ DELTAS_SQL = f"""SELECT b.stratum, b.class_name, b.class_index, {', '.join(f'b.{
 
 
 def metrics(t):
+    """Class metrics of both arms, which an evaluation stores and comparisons read."""
     keys = ["model_id", "stratum"]
-    table = C.strata(conf(t, ("model_id", "group_id")), "group_id", ["model_id"])
+    table = t.stored("confusion", lambda: C.strata(conf(t, ("model_id", "group_id")), "group_id", ["model_id"]))
     return C.class_metrics(C.class_counts(table, keys, classes(t.spark)))
 
 
@@ -71,7 +72,7 @@ COMPUTE = """SELECT model_id, group_id AS stratum, count(*) + sum(pred_class) AS
 
 def compute(t):
     wrong = F.when(F.col("true_class") != F.col("pred_class"), 1).otherwise(0)
-    rows = t.preds.groupBy("model_id", F.col("group_id").alias("stratum")).agg((F.count("*") + F.sum("pred_class")).alias("parameters"), F.sum(wrong).cast("double").alias("train_seconds"), F.sum(F.when(F.col("group_id") == "1-URGENT", 0).otherwise(F.col("pred_class"))).cast("double").alias("infer_seconds"))
+    rows = t.stored("compute", lambda: t.preds.groupBy("model_id", F.col("group_id").alias("stratum")).agg((F.count("*") + F.sum("pred_class")).alias("parameters"), F.sum(wrong).cast("double").alias("train_seconds"), F.sum(F.when(F.col("group_id") == "1-URGENT", 0).otherwise(F.col("pred_class"))).cast("double").alias("infer_seconds")))
     return rows.withColumn("status", F.when(F.col("model_id") == "improved", "MEASURED").otherwise("SYNTHETIC"))
 
 

@@ -199,9 +199,11 @@ ANALYSIS = f"""SELECT 'sample' AS section, CAST(sample_id AS VARCHAR) AS item, s
 
 
 def analysis(t):
-    hard = E.hard_examples(fails(t), 20, FOCUS_CLASS)
+    """Failing samples are stored once, since six parts of the analysis read them."""
+    own = t.stored("failures", lambda: fails(t))
+    hard = E.hard_examples(own, 20, FOCUS_CLASS)
     parts = [
-        fails(t).select(F.lit("sample").alias("section"), F.col("sample_id").cast("string").alias("item"), "severity", F.col("error_count").alias("errors")),
+        own.select(F.lit("sample").alias("section"), F.col("sample_id").cast("string").alias("item"), "severity", F.col("error_count").alias("errors")),
         records(t).where("model_id = 'baseline'").select(F.lit("class").alias("section"), F.concat_ws("/", "class_name", "error_type").alias("item"), "severity", F.col("error_count").alias("errors")),
         hard.select(F.lit("hard").alias("section"), F.concat_ws("/", "criterion", "sample_id").alias("item"), "severity", F.col("rank").cast("long").alias("errors")),
     ]

@@ -11,6 +11,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from evalframe.sources.shared import scratch
+
 _TRUE = "CASE WHEN l_partkey % 20 < 11 THEN 0 WHEN l_partkey % 20 < 16 THEN 1 WHEN l_partkey % 20 = 16 THEN 2 ELSE 3 END"
 
 
@@ -64,6 +66,15 @@ class Views:
         return self._made[name]
 
 
+    def stored(self, name: str, build) -> DataFrame:
+        """What ``build`` gives, written to the shared folder once and read from there by all parts of a job."""
+        if f"stored {name}" not in self._made:
+            path = scratch(self.spark, name)
+            build().write.parquet(path)
+            self._made[f"stored {name}"] = self.spark.read.parquet(path)
+        return self._made[f"stored {name}"]
+
+
 def with_views(sql: str) -> str:
     """The DuckDB query with the views that it needs, in order."""
     needed: list[str] = []
