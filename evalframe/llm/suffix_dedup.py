@@ -325,8 +325,9 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     discard(spark, spent)
     size = pieces.groupBy("anchor").agg(F.count("*").alias("fragments"))
     pieces = pieces.join(size, "anchor")
-    # as many tasks as the session shuffles to: the rows are few bytes, but sorting suffixes is long work
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # twice as many tasks as the session shuffles to: the rows are few bytes, for which Spark would merge the partitions
+    # of the join (and those of a repartition to the same number, which it drops), but sorting suffixes is long work
+    tasks = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     small = pieces.where(F.col("fragments") <= SHARD_FRAGMENTS).repartition(tasks, "anchor").sortWithinPartitions("anchor")
     schema = "anchor long, fragment long, from int, to int"
     found = small.select("anchor", "fragment", "back", "bytes").mapInArrow(_shards, schema)
