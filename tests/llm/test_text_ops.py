@@ -103,8 +103,8 @@ def test_search_repairs_the_seeded_start(monkeypatch):
     rng = np.random.default_rng(5)
     lengths, n = np.unique(np.minimum(4096, rng.lognormal(6, 1.2, 3000).astype(int) + 1), return_counts=True)
     hist = dict(zip(lengths.tolist(), n.tolist()))
-    first = packing.best_fit(hist, 4096, packing.SEED)
-    last = packing.packed(hist, 4096)
+    first = packing.best_fit(hist, 4096, 2654435761)
+    last = packing.packed(hist, 4096, 2654435761)
     count = lambda bins: sum(b.count for b in bins)
     assert count(last) == packing.least_bins(last, 4096) < count(first)
     total = Counter()
@@ -115,6 +115,19 @@ def test_search_repairs_the_seeded_start(monkeypatch):
     assert count(packing.local_search(first, 4096)) > count(last)
 
 
+def test_search_takes_bins_off_best_fit_with_the_longest_first(monkeypatch):
+    wins = 0
+    for seed in range(4):
+        rng = np.random.default_rng(seed)
+        lengths, n = np.unique(np.minimum(4096, rng.lognormal(6.8, 0.8, 3000).astype(int) + 1), return_counts=True)
+        hist = dict(zip(lengths.tolist(), n.tolist()))
+        start, end = (sum(b.count for b in x) for x in (packing.best_fit(hist, 4096), packing.packed(hist, 4096)))
+        wins += end < start
+    assert wins == 4
+    monkeypatch.setattr(packing, "local_search", lambda bins, capacity: bins)
+    assert sum(b.count for b in packing.packed(hist, 4096)) == start
+
+
 def test_places_of_a_hot_length(spark, monkeypatch):
     monkeypatch.setattr(packing, "BUCKET_ROWS", 7)
     monkeypatch.setattr(packing, "BUCKETS", 3)
