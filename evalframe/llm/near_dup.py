@@ -223,7 +223,9 @@ def _groups(labelled: DataFrame, sigs: DataFrame) -> DataFrame:
     """
     own = labelled.groupBy("band", "label").agg(F.count("*").alias("k"))
     main = own.groupBy("band").agg(F.max_by("label", F.struct("k", -F.col("label"))).alias("main"), F.count("*").alias("labels")).where("labels > 1").select("band", "main")
-    rows = labelled.join(main, "band").join(sigs, "node").withColumn("outsider", F.col("label") != F.col("main"))
+    # registers come last, so that only what is dealt carries them
+    rows = labelled.join(main, "band").withColumn("outsider", F.col("label") != F.col("main")).drop("main", "size")
+    rows = cut(rows.join(sigs.select("node", "bytes"), "node"))
     out = F.col("outsider")
     sizes = rows.groupBy("band").agg(F.count("*").alias("m"), F.sum("bytes").alias("mb"), F.count_if(out).alias("o"), F.sum(F.when(out, F.col("bytes"))).alias("ob"))
 
@@ -232,10 +234,10 @@ def _groups(labelled: DataFrame, sigs: DataFrame) -> DataFrame:
 
     rows = rows.join(sizes.select("band", parts("m", "mb").alias("blocks"), parts("o", "ob").alias("others")), "band")
     place = F.xxhash64("node")
-    columns = ["band", "i", "centre", "node", "label", "outsider", "sig"]
+    columns = ["band", "i", "centre", "node", "label", "outsider"]
     member = rows.withColumns({"block": F.pmod(place, F.col("blocks")).cast("int"), "against": F.explode(F.sequence(F.lit(0), F.col("others") - 1)), "probe": F.lit(False)})
     probe = rows.where(out).withColumns({"block": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "against": F.pmod(place, F.col("others")).cast("int"), "probe": F.lit(True)})
-    return member.unionByName(probe).select(*columns, "block", "against", "probe")
+    return member.unionByName(probe).select(*columns, "block", "against", "probe").join(sigs.select("node", "sig"), "node")
 
 
 def _nodes(docs: DataFrame) -> DataFrame:
@@ -279,7 +281,7 @@ def _classes(docs: DataFrame, threshold: float, agree: float) -> DataFrame:
     grouped = groups.groupBy(*_GROUP).agg(F.collect_list(F.struct(*_MEMBER, "sig")).alias("members")).where(F.exists("members", lambda x: x["probe"]))
     near = cut(grouped.mapInPandas(_involved(agree), "band long, i int, centre long, block int, against int, node long, label long, probe boolean, outsider boolean"))
     if not near.isEmpty():
-        full = near.join(sigs, "node").join(_texts(near, nodes, docs), "node")
+        full = near.join(sigs.select("node", "sig"), "node").join(_texts(near, nodes, docs), "node")
         grouped = full.groupBy(*_GROUP).agg(F.collect_list(F.struct(*_MEMBER, "sig", "text")).alias("members"))
         more = grouped.mapInPandas(_forest(threshold, agree), "a long, b long")
         found = components(links.unionByName(cut(more)))
