@@ -248,9 +248,19 @@ def _nodes(docs: DataFrame) -> DataFrame:
     return cut(nodes).withColumn("node", F.monotonically_increasing_id())
 
 
-def _texts(needed: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, text) of the needed nodes. A node's text is that of its least document."""
+#: Nodes at most that are broadcast to find their texts.
+FEW = 20_000
+
+
+def _texts(needed: DataFrame, nodes: DataFrame, docs: DataFrame, few: bool = False) -> DataFrame:
+    """(node, text) of the needed nodes. A node's text is that of its least document.
+
+    If they are expected to be ``few``, they are counted, and go to the documents instead of these to them.
+    """
     own = needed.select("node").distinct().join(nodes, "node").select("node", F.col("key").alias("k"), F.col("doc_id").alias("d"))
+    if few:
+        own = cut(own)
+        own = F.broadcast(own) if own.limit(FEW + 1).count() <= FEW else own
     texts = docs.join(own, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k"))).select("node", "text")
     return cut(texts.dropDuplicates(["node"]))
 
@@ -281,7 +291,7 @@ def _classes(docs: DataFrame, threshold: float, agree: float) -> DataFrame:
     grouped = groups.groupBy(*_GROUP).agg(F.collect_list(F.struct(*_MEMBER, "sig")).alias("members")).where(F.exists("members", lambda x: x["probe"]))
     near = cut(grouped.mapInPandas(_involved(agree), "band long, i int, centre long, block int, against int, node long, label long, probe boolean, outsider boolean"))
     if not near.isEmpty():
-        full = near.join(sigs.select("node", "sig"), "node").join(_texts(near, nodes, docs), "node")
+        full = near.join(sigs.select("node", "sig"), "node").join(_texts(near, nodes, docs, few=True), "node")
         grouped = full.groupBy(*_GROUP).agg(F.collect_list(F.struct(*_MEMBER, "sig", "text")).alias("members"))
         more = grouped.mapInPandas(_forest(threshold, agree), "a long, b long")
         found = components(links.unionByName(cut(more)))
