@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalframe.llm import knn, mixing, url_filter
+from evalframe.llm import conversation_trie, hard_negatives, knn, mixing, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +77,24 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("text", F.make_valid_utf8(F.col("kept").cast("string"))).drop("kept")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evalframe.llm.conversation_trie import trie
+
+    return trie(spark, table(spark, sf_dir, "conversations"))
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evalframe.llm.chat_format import read_back, windows, with_control_strings
+
+    return read_back(windows(with_control_strings(table(spark, sf_dir, "conversations"))))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evalframe.llm.hard_negatives import mine
+
+    return mine(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_url_filter": op2_url_filter,
@@ -88,10 +106,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_model": op8_quality_model,
     "op9_quality_rules": op9_quality_rules,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_chat_format": op12_chat_format,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_url_filter": url_filter.oracle_sql(),
     "op4_source_mixing": mixing.oracle_sql(),
     "op6_top_k": knn.oracle_sql(),
+    "op11_prefix_trie": conversation_trie.oracle_sql(),
+    "op13_hard_negatives": hard_negatives.oracle_sql(),
 }
