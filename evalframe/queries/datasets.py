@@ -15,6 +15,7 @@ from evalframe.queries.failures import flat_sql
 from evalframe.queries.fixtures import query
 from evalframe.sources import inventory as I
 from evalframe.sources import sinks as K
+from evalframe.sources.files import scan_tree
 from evalframe.sources.shared import scratch
 
 # --- sources --------------------------------------------------------------------------------------
@@ -32,17 +33,17 @@ def paired_files(t):
 PAIRS = "SELECT CAST(doc_id AS VARCHAR) AS sample_id, concat('data/images/', CAST(doc_id AS VARCHAR), CASE doc_id % 3 WHEN 0 THEN '.tif' ELSE '.TIFF' END) AS image_path, CASE WHEN label IS NOT NULL THEN concat('data/labels/', CAST(doc_id AS VARCHAR), '.tif') END AS label_path FROM docs_labelled WHERE doc_id % 3 < 2"
 
 
-def scanned(t, name):
-    """The files of ``paired_files`` as files that are written to the shared folder and scanned there, by relative path."""
+def written(t, name):
+    """The files of ``paired_files``, written to the shared folder: a file for each row in two folders."""
     root = scratch(t.spark, name)
     kind, file = F.split_part(F.col("path"), F.lit("/"), F.lit(2)), F.split_part(F.col("path"), F.lit("/"), F.lit(3))
     K.write_files(paired_files(t).select(kind.alias("folder"), file.alias("name"), F.col("length").cast("string").alias("value")), f"{root}/data")
-    return I.scan_folders(t.spark, root)
+    return root
 
 
 @query("s01_discover_paired_files", PAIRS)
 def _(t):
-    return I.discover_pairs(scanned(t, "s01"))
+    return I.discover_root(t.spark, f"{written(t, 's01')}/data", "data")[0]
 
 
 @query("j01_image_label_pair", f"SELECT label_path IS NOT NULL AS has_label, count(*) AS samples FROM ({PAIRS}) GROUP BY ALL")
@@ -60,19 +61,19 @@ def _(t):
 
 @query("s03_discover_missing_root", f"SELECT 'data/' AS root, count(*) AS files, 'ok' AS message FROM ({IMAGE_FILES}) UNION ALL SELECT 'other', count(*), 'dataset root has no files' FROM ({IMAGE_FILES}) WHERE path LIKE 'other/%'")
 def _(t):
-    files = scanned(t, "s03")
-    return I.discover(files, "data/")[1].unionByName(I.discover(files, "other")[1])
+    root = written(t, "s03")
+    return I.discover_root(t.spark, f"{root}/data", "data/")[1].unionByName(I.discover_root(t.spark, f"{root}/other", "other")[1])
 
 
 HOST = "regexp_extract(path, '://([^/]+)', 1)"
 
 
-def scanned_pages(t, name, content=False):
+def scanned_pages(t, name, read="list"):
     """The pages as files, by host, that are written to the shared folder and scanned there; a file ends with a line's end."""
     root = scratch(t.spark, name)
     page = F.concat(F.col("page_id").cast("string"), F.lit(".html"))
     K.write_files(t.file_inventory.select(F.regexp_extract("path", "://([^/]+)", 1).alias("folder"), page.alias("name"), F.col("content").alias("value")), root)
-    return I.scan_folders(t.spark, root, content)
+    return scan_tree(t.spark, root, read)
 
 
 @query("s04_file_inventory", f"SELECT {HOST} AS dataset, count(*) AS file_count, CAST(sum(strlen(content) + 1) AS BIGINT) AS total_bytes FROM file_inventory GROUP BY ALL")
@@ -83,7 +84,7 @@ def _(t):
 
 @query("s05_checksum_scan", "SELECT page_id, sha256(content || chr(10)) AS checksum FROM file_inventory")
 def _(t):
-    files = I.checksums(scanned_pages(t, "s05", content=True))
+    files = scanned_pages(t, "s05", "checksum")
     return files.select(F.regexp_extract("path", r"([0-9]+)\.html$", 1).cast(t.pages.schema["page_id"].dataType).alias("page_id"), "checksum")
 
 

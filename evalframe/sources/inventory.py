@@ -12,30 +12,28 @@ from pyspark.sql import functions as F
 
 from evalframe.functions import exprs as X
 from evalframe.functions.vocab import EXTENSIONS, REQUIRED_FIELDS
+from evalframe.sources.files import scan_tree
 
 SAMPLES = "sample_id string, image_path string, label_path string"
 IGNORED = ("README.md", ".gitkeep")
 
 
 def scan_files(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
-    """(path, length[, content]) of all files under a root. Content is read only if asked for."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return files.select("path", "length", *(["content"] if content else []))
+    """(path, length[, content]) of all files under a root by Spark's own reader, for stores that only it can open.
 
+    Paths are absolute. Content is read only if asked for. A root that does not exist has no files.
+    """
+    columns = ["path", "length", *(["content"] if content else [])]
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        kinds = {"path": "string", "length": "long", "content": "binary"}
+        return spark.createDataFrame([], ", ".join(f"{c} {kinds[c]}" for c in columns))
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(*columns)
 
-def scan_folders(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
-    """Like ``scan_files`` for files that Spark wrote as folders of parts (``write_files``): a row for each folder.
 
-    Paths are relative to the root, and ``name=value`` in them becomes the value. Content is that of all parts, by name.
-    """
-    files = scan_files(spark, root, content).where(F.col("path").rlike("/part-[^/]*$"))
-    mark = root.rstrip("/").rsplit("/", 1)[-1]
-    inside = F.substring_index("path", f"/{mark}/", -1)
-    own = files.withColumns({"part": F.regexp_extract("path", r"([^/]*)$", 1), "path": F.regexp_replace(F.regexp_replace(inside, r"/[^/]*$", ""), r"(^|/)[^/=]+=", "$1")})
-    if not content:
-        return own.groupBy("path").agg(F.sum("length").alias("length"))
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("part", "content"))), lambda p: p["content"])
-    return own.groupBy("path").agg(F.sum("length").alias("length"), parts.alias("parts")).select("path", "length", F.aggregate("parts", F.lit(b""), lambda a, b: F.concat(a, b)).alias("content"))
+def scan_folders(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
+    """(path, length[, content]) of all files under a root, paths relative to it, by the ``filetree`` source."""
+    return scan_tree(spark, root, "content" if content else "list")
 
 
 META = "path string, height int, width int, count int, dtype string, crs string, transform array<double>, nodata double"
@@ -113,6 +111,12 @@ def discover(files: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
     return pairs, status
 
 
+def discover_root(spark: SparkSession, root: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """Scans a root, which need not exist, and discovers the pairs under it; paths and status have ``name`` for the root."""
+    files = scan_tree(spark, root).withColumn("path", F.concat_ws("/", F.lit(name.rstrip("/")), "path"))
+    return discover(files, name)
+
+
 def directory_summary(files: DataFrame, keys: list[str], ignore: tuple[str, ...] = IGNORED) -> DataFrame:
     """Number and bytes of files, scaffolding files left out."""
     name = F.regexp_extract("path", r"([^/]*)$", 1)

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from evalframe.sources.files import write_tree
+
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).json(path)
@@ -17,8 +19,8 @@ def write_csv(df: DataFrame, path: str, columns: tuple[str, ...] | None = None,
 
 
 def write_files(df: DataFrame, path: str) -> None:
-    """A text file for each row: ``value`` and a line's end, in ``folder``, under ``name`` (a folder of one part each)."""
-    df.select("folder", "name", "value").write.partitionBy("folder", "name").text(path)
+    """A text file for each row: ``value`` and a line's end, in ``folder``, under ``name``."""
+    write_tree(df.withColumn("value", F.concat("value", F.lit("\n"))), path)
 
 
 def write_splits(splits: DataFrame, path: str) -> None:
