@@ -41,6 +41,10 @@ SQL = {
     "files_meta": """SELECT path, CAST(100 + n_chars % 900 + CASE WHEN doc_id % 23 = 0 AND path LIKE '%b1%' THEN 1 WHEN doc_id % 31 = 0 AND kind = 'label' THEN 2 ELSE 0 END AS INT) AS height, CAST(100 + doc_id % 900 AS INT) AS width
        FROM sample_files WHERE NOT (doc_id % 29 = 0 AND path LIKE '%b0%')""",
     "files_expected": "SELECT dataset, path, doc_id AS position, CASE WHEN doc_id % 11 = 0 AND dataset = 'fr' THEN upper(md5(concat(path, 'x'))) WHEN doc_id % 3 = 0 THEN '' ELSE upper(md5(path)) END AS expected FROM sample_files",
+    "mask": """SELECT image_id, row_px, col_px, CAST(t AS INT) AS true_class, CAST(CASE WHEN m2 % 10 < 3 THEN m2 % 4 ELSE t END AS INT) AS pred_class FROM
+       (SELECT image_id, row_px, col_px, m2, CASE WHEN m1 % 20 < 11 THEN 0 WHEN m1 % 20 < 16 THEN 1 WHEN m1 % 20 = 16 THEN 2 ELSE 3 END AS t FROM
+       (SELECT l_suppkey % 8 AS image_id, l_orderkey % 128 AS row_px, l_partkey % 128 AS col_px, max(l_partkey * 3 + l_orderkey) AS m1, max(l_orderkey * 7 + l_linenumber * 13 + l_suppkey * 3) AS m2
+       FROM lineitem GROUP BY l_suppkey % 8, l_orderkey % 128, l_partkey % 128))""",
     "metric_log": "SELECT user_id AS run_id, CAST(ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INT) AS epoch, ts, value FROM events",
 }
 DUCK = {"logits": "SELECT vec_id, label, embedding[1:10] AS logits FROM embeddings"}

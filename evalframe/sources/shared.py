@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -13,3 +13,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     if not at:
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{at}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """A DataFrame written to the shared folder and read from there, so that later steps neither repeat nor depend on what made it."""
+    spark = df.sparkSession
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(scratch(spark, "checkpoints"))
+    return df.checkpoint()
