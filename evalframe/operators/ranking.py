@@ -1,8 +1,8 @@
 """Exact ranks, splits and subsets without sorting a large table in one task.
 
-A rank is the number of rows in all earlier buckets plus the place in its own
-bucket. Buckets are counted first; only their counts, a few thousand rows, are
-summed in order.
+A rank is the number of rows in all earlier buckets or ranges plus the place in its
+own. These are counted first; only their counts, a few thousand rows, are summed in
+order.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from evalframe.functions.exprs import severity_rank
 from evalframe.functions.vocab import RATIOS, SEED
+from evalframe.operators.ordered import with_positions
+
 
 def bucketed_rank(df: DataFrame, bucket: list[Column], order: list[Column], name: str = "rank") -> DataFrame:
     """1-based rank by bucket (ascending), then by ``order`` inside it. Buckets must be few and order-preserving."""
@@ -24,30 +26,6 @@ def bucketed_rank(df: DataFrame, bucket: list[Column], order: list[Column], name
     return rows.withColumn("_in", inside).join(offsets, keys).withColumn(name, F.col("_before") + F.col("_in")).drop(*keys, "_in", "_before")
 
 
-def leveled_rank(df: DataFrame, levels: list[list[Column]], order: list[Column], name: str = "rank") -> DataFrame:
-    """1-based rank by levels of buckets, each ascending inside the one before, then by ``order``.
-
-    Buckets of the first level must be few; those of another are summed in order inside their parent, so neither
-    many distinct values nor many equal ones meet in one task. Levels must agree with ``order``.
-    """
-    names = [[f"_l{i}_{j}" for j in range(len(level))] for i, level in enumerate(levels)]
-    rows = df.withColumns({n: c for own, level in zip(names, levels) for n, c in zip(own, level)})
-    keys = [n for own in names for n in own]
-    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
-    offsets, above = None, []
-    for own in names:
-        part = [F.col(n) for n in above] or [F.lit(0)]
-        before = Window.partitionBy(*part).orderBy(*own).rowsBetween(Window.unboundedPreceding, -1)
-        sums = counts.groupBy(*above, *own).agg(F.sum("_n").alias("_n")).select(*above, *own, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_own"))
-        if offsets is None:
-            offsets = sums.withColumnRenamed("_own", "_before")
-        else:
-            offsets = sums.join(offsets, above).select(*above, *own, (F.col("_before") + F.col("_own")).alias("_before"))
-        above = above + own
-    inside = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return rows.withColumn("_in", inside).join(offsets, keys).withColumn(name, F.col("_before") + F.col("_in")).drop(*keys, "_in", "_before")
-
-
 def canonical_order() -> list[Column]:
     """Severity, rate and count from high to low, then the id as text."""
     return [severity_rank(F.col("severity")).desc(), F.col("error_rate").desc(), F.col("error_count").desc(), F.col("sample_id").cast("string")]
@@ -59,16 +37,10 @@ def dedup_worst(failures: DataFrame, keys: list[str]) -> DataFrame:
     return failures.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-#: Characters of an id that name a bucket, and then a finer one, among failures that are alike in all else.
-ID_PREFIXES = (4, 8)
-
-
-def rank_samples(failures: DataFrame) -> DataFrame:
-    """Canonical rank of all failures: by cells of severity and rate, then by rate and count, then by prefixes of the id."""
-    cell = [-severity_rank(F.col("severity")), -F.floor(F.col("error_rate") * 1024)]
-    key = F.coalesce(F.col("sample_id").cast("string"), F.lit(""))
-    prefixes = [[F.substring(key, 1, n)] for n in ID_PREFIXES]
-    return leveled_rank(failures, [cell, [-F.col("error_rate"), -F.col("error_count")], *prefixes], canonical_order())
+def rank_samples(failures: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Canonical rank of all failures, a written table: dealt by ranges of the whole order, so that neither many equal
+    values nor ids that begin alike meet in one task."""
+    return with_positions(failures, canonical_order(), "rank", partitions)
 
 
 def top_k(failures: DataFrame, k: int, criterion: str = "error_rate", class_name: str | None = None, error_type: str | None = None) -> DataFrame:
