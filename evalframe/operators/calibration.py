@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from evalframe.functions.exprs import argmax
 from evalframe.operators.ordered import with_prefix_sums
 from evalframe.operators.training_log import as_double, log_sum_exp
-from evalframe.sources.shared import checkpointed
 
 #: Probabilities have so many digits, so that they compare alike wherever they are computed.
 DIGITS = 9
@@ -59,7 +58,7 @@ def auc(rows: DataFrame, keys: list[str], score: str, positive: str, partitions:
     summed in the order of keys and scores. Null where there are no positives or no negatives; null scores go.
     """
     counts = rows.where(F.col(score).isNotNull()).groupBy(*keys, F.col(score).alias("_s")).agg(F.count_if(positive).alias("_pos"), F.count_if(~F.col(positive)).alias("_neg"))
-    summed = with_prefix_sums(checkpointed(counts), [*map(F.col, keys), F.col("_s")], ["_neg"], partitions)
+    summed = with_prefix_sums(counts, [*map(F.col, keys), F.col("_s")], ["_neg"], partitions)
     wide = lambda c: F.col(c).cast("decimal(19,0)")
     # twice the pairs won, over all earlier negatives; those of earlier keys are taken off at the end
     won = summed.groupBy(*keys).agg(F.sum("_pos").alias("positives"), F.sum("_neg").alias("negatives"), F.min("_neg_before").alias("_base"), F.sum(wide("_pos") * (2 * wide("_neg_before") + wide("_neg"))).alias("_won"))

@@ -16,10 +16,13 @@ from evalframe.sources.shared import checkpointed
 _PLACE_BITS = 33  # monotonically_increasing_id has the partition above the place in it
 
 
-def arranged(rows: DataFrame, order: list[Column], partitions: int | None = None) -> DataFrame:
-    """The rows with ``_part``, partitions in order, and ``_at``, the 0-based place in the partition. ``rows`` should be a written table."""
+def arranged(rows: DataFrame, order: list[Column], partitions: int | None = None, written: bool = False) -> DataFrame:
+    """The rows with ``_part``, partitions in order, and ``_at``, the 0-based place in the partition.
+
+    Rows that are not a ``written`` table are written first, so that their places in the input are the same whenever they are read.
+    """
     n = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.withColumn("_tie", F.monotonically_increasing_id())
+    dealt = (rows if written else checkpointed(rows)).withColumn("_tie", F.monotonically_increasing_id())
     placed = dealt.repartitionByRange(n, *order, "_tie").sortWithinPartitions(*order, "_tie").withColumn("_id", F.monotonically_increasing_id())
     part, at = F.shiftright("_id", _PLACE_BITS), F.col("_id").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))
     return checkpointed(placed.withColumns({"_part": part.cast("int"), "_at": at}).drop("_tie", "_id"))
@@ -32,16 +35,16 @@ def _before(placed: DataFrame, sums: dict[str, Column]) -> DataFrame:
     return totals.select("_part", *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_b_{n}") for n in sums])
 
 
-def with_positions(rows: DataFrame, order: list[Column], name: str = "rank", partitions: int | None = None) -> DataFrame:
+def with_positions(rows: DataFrame, order: list[Column], name: str = "rank", partitions: int | None = None, written: bool = False) -> DataFrame:
     """1-based place of each row in the whole order."""
-    placed = arranged(rows, order, partitions)
+    placed = arranged(rows, order, partitions, written)
     offsets = F.broadcast(_before(placed, {"n": F.count("*")}))  # as many rows as partitions
     return placed.join(offsets, "_part").withColumn(name, F.col("_b_n") + F.col("_at") + 1).drop("_part", "_at", "_b_n")
 
 
-def with_prefix_sums(rows: DataFrame, order: list[Column], columns: list[str], partitions: int | None = None) -> DataFrame:
+def with_prefix_sums(rows: DataFrame, order: list[Column], columns: list[str], partitions: int | None = None, written: bool = False) -> DataFrame:
     """For each of ``columns`` its sum over all rows that come before, as ``<column>_before``; exact for whole numbers."""
-    placed = arranged(rows, order, partitions)
+    placed = arranged(rows, order, partitions, written)
     offsets = F.broadcast(_before(placed, {c: F.sum(c) for c in columns}))
     inside = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
     own = placed.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_i_{c}") for c in columns])

@@ -37,10 +37,10 @@ def dedup_worst(failures: DataFrame, keys: list[str]) -> DataFrame:
     return failures.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def rank_samples(failures: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Canonical rank of all failures, a written table: dealt by ranges of the whole order, so that neither many equal
+def rank_samples(failures: DataFrame, partitions: int | None = None, written: bool = False) -> DataFrame:
+    """Canonical rank of all failures: dealt by ranges of the whole order, so that neither many equal
     values nor ids that begin alike meet in one task."""
-    return with_positions(failures, canonical_order(), "rank", partitions)
+    return with_positions(failures, canonical_order(), "rank", partitions, written)
 
 
 def top_k(failures: DataFrame, k: int, criterion: str = "error_rate", class_name: str | None = None, error_type: str | None = None) -> DataFrame:

@@ -53,7 +53,7 @@ RECORDS = f"""SELECT *, CAST(row_number() OVER (PARTITION BY model_id ORDER BY {
 
 @query("w01_rank_samples", f"SELECT sample_id, severity, error_count, row_number() OVER (ORDER BY {ORDER}) AS rank FROM ({BASE})")
 def _(t):
-    return R.rank_samples(t.stored("failures", lambda: fails(t))).select("sample_id", "severity", "error_count", "rank")
+    return R.rank_samples(t.stored("failures", lambda: fails(t)), written=True).select("sample_id", "severity", "error_count", "rank")
 
 
 @query("w02_dedup_worst", f"SELECT sample_id, model_id, severity, error_count FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY {ORDER}, model_id) AS r FROM ({FAIL})) WHERE r = 1 AND NOT (model_id = 'improved')"
