@@ -20,6 +20,13 @@ def _pred(limit: int) -> str:
     return f"CASE WHEN (l_orderkey*7 + l_linenumber*13 + l_suppkey*3) % 10 < {limit} THEN (l_suppkey + l_linenumber) % 4 ELSE {_TRUE} END"
 
 
+def _acquisitions(day: str) -> str:
+    """One acquisition for each tile and day."""
+    return f"""SELECT tile_id, day, CAST(t AS INT) AS true_class, CAST(CASE WHEN m2 % 10 < 3 THEN m2 % 4 ELSE t END AS INT) AS pred_class FROM
+       (SELECT tile_id, day, m2, CASE WHEN m1 % 20 < 11 THEN 0 WHEN m1 % 20 < 16 THEN 1 WHEN m1 % 20 = 16 THEN 2 ELSE 3 END AS t FROM
+       (SELECT l_partkey % 100 AS tile_id, {day} AS day, max(l_partkey * 3 + l_orderkey) AS m1, max(l_orderkey * 7 + l_linenumber * 13 + l_suppkey * 3) AS m2 FROM lineitem GROUP BY l_partkey % 100, {day}))"""
+
+
 SQL = {
     "predictions": f"""SELECT l_orderkey AS sample_id, o_orderpriority AS group_id, {_TRUE} AS true_class,
        {_pred(3)} AS pred_baseline, {_pred(2)} AS pred_improved FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
@@ -45,9 +52,10 @@ SQL = {
        (SELECT image_id, row_px, col_px, m2, CASE WHEN m1 % 20 < 11 THEN 0 WHEN m1 % 20 < 16 THEN 1 WHEN m1 % 20 = 16 THEN 2 ELSE 3 END AS t FROM
        (SELECT l_suppkey % 8 AS image_id, l_orderkey % 128 AS row_px, l_partkey % 128 AS col_px, max(l_partkey * 3 + l_orderkey) AS m1, max(l_orderkey * 7 + l_linenumber * 13 + l_suppkey * 3) AS m2
        FROM lineitem GROUP BY l_suppkey % 8, l_orderkey % 128, l_partkey % 128))""",
+    "acquisitions": _acquisitions("CAST(datediff(CAST(l_shipdate AS DATE), DATE '1970-01-01') AS BIGINT)"),
     "metric_log": "SELECT user_id AS run_id, CAST(ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INT) AS epoch, ts, value FROM events",
 }
-DUCK = {"logits": "SELECT vec_id, label, embedding[1:10] AS logits FROM embeddings"}
+DUCK = {"logits": "SELECT vec_id, label, embedding[1:10] AS logits FROM embeddings", "acquisitions": _acquisitions("date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE))")}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
