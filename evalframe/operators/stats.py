@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalframe.functions.exprs import mask_nodata, size_label
+from evalframe.functions.exprs import finite, mask_nodata, size_label
 from evalframe.functions.vocab import PERCENTILES
+from evalframe.sources.shared import checkpointed
 
 STATS = ("min", "max", "mean", "std", "p_low", "p_high")
 
@@ -17,8 +18,10 @@ def long_bands(pixels: DataFrame, bands: list[str], keys: list[str]) -> DataFram
     return pixels.select(*keys, pairs).select(*keys, "b.band", "b.x")
 
 
-#: Cells of a group's range of values, in which values are counted before those around a rank are looked at.
-CELLS = 4096
+#: Bits that each level of a selection drops: sign and exponent decide first, then 13 bits of the fraction at a time.
+SHIFTS = (52, 39, 26, 13, 0)
+#: Values of a cell that are counted one by one instead of by further bits.
+DIRECT = 1 << 16
 
 
 def _with(rows: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
@@ -30,35 +33,58 @@ def _with(rows: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(named, on).drop(*[f"_r_{k}" for k in keys])
 
 
-def exact_percentiles(rows: DataFrame, keys: list[str], column: str, points: list[float]) -> DataFrame:
-    """(*keys, q): exact percentiles of each group's values that are not null, interpolated between neighbours.
+def order_key(x: Column) -> Column:
+    """A whole number for each finite double, in the same order: its bits, with those of negative numbers negated."""
+    size = F.abs(x)
+    near = F.greatest(F.floor(F.log2(size)), F.lit(-1022)).cast("long")
+    # the logarithm may be off by one next to a power of two; dividing by a power of two is exact
+    e = F.greatest(F.when(size < F.pow(F.lit(2.0), near), near - 1).when(size / F.pow(F.lit(2.0), near) >= 2, near + 1).otherwise(near), F.lit(-1022))
+    m = size / F.pow(F.lit(2.0), e)  # under 1 for the smallest numbers alone
+    bits = F.when(m >= 1, (e + 1023) * F.lit(1 << 52) + ((m - 1) * F.lit(2.0**52)).cast("long")).otherwise((m * F.lit(2.0**52)).cast("long"))
+    return F.when(x == 0, F.lit(0).cast("long")).when(x < 0, -bits).otherwise(bits)
 
-    Values are counted by cells of their group's range; only those in the few cells that hold a wanted rank are
-    then counted one by one. No task holds a group's distinct values.
+
+def _descend(rows: DataFrame, wanted: DataFrame, keys: list[str], shift: int) -> DataFrame:
+    """For each wanted rank the finer cell that holds it: the rank in it, and the rows of it."""
+    group = [*keys, "_cell"]
+    inside = _with(rows, wanted.select(*group).distinct(), group)
+    counts = inside.groupBy(*group, F.shiftright("_k", shift).alias("_finer")).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*group).orderBy("_finer").rowsBetween(Window.unboundedPreceding, -1)  # at most 2**13 cells
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    found = _with(counts, wanted.select(*group, "_i", "_rank"), group).where((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_n")))
+    return found.select(*keys, "_i", F.col("_finer").alias("_cell"), (F.col("_rank") - F.col("_before")).alias("_rank"), "_n")
+
+
+def exact_percentiles(rows: DataFrame, keys: list[str], column: str, points: list[float], direct: int = DIRECT) -> DataFrame:
+    """(*keys, q): exact percentiles of each group's finite values, interpolated between neighbours; others play no part.
+
+    A radix selection: values are counted by the leading bits of their order, then those in the few cells that hold a
+    wanted rank by the next bits, until such cells have at most ``direct`` values, which are counted one by one. However
+    they are spread, no task holds more of a group than 2**13 counts or the values of these cells.
     """
-    x = F.col(column)
-    known = rows.where(x.isNotNull()).select(*keys, x.alias("_x"))
-    ends = known.groupBy(*keys).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.count("*").alias("_all"))
-    share = (F.col("_x") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2)  # halves, so that a range cannot overflow
-    cell = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor(share * CELLS), F.lit(CELLS - 1))).otherwise(0)
-    placed = _with(known, ends, keys).withColumn("_cell", cell)
-    counts = placed.groupBy(*keys, "_all", "_cell").agg(F.count("*").alias("_n"))
+    x = finite(F.col(column).cast("double"))
+    known = rows.select(*keys, x.alias("_x")).where("_x is not null").withColumn("_k", order_key(F.col("_x")))
+    counts = checkpointed(known.groupBy(*keys, F.shiftright("_k", SHIFTS[0]).alias("_cell")).agg(F.count("*").alias("_n")))
     group = [F.col(k) for k in keys] or [F.lit(0)]
-    before = Window.partitionBy(*group).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)  # CELLS rows at most
-    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    before = Window.partitionBy(*group).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)  # at most 2**12 cells
+    counts = counts.withColumns({"_before": F.coalesce(F.sum("_n").over(before), F.lit(0)), "_all": F.sum("_n").over(Window.partitionBy(*group))})
     at = [F.col("_all") - 1 if p == 1 else (F.col("_all") - 1) * F.lit(float(p)) for p in points]
-    ranks = [f(r).cast("long") for r in at for f in (F.floor, F.ceil)]
-    held = F.lit(False)
-    for r in ranks:
-        held = held | ((r >= F.col("_before")) & (r < F.col("_before") + F.col("_n")))
-    cells = counts.where(held).select(*keys, "_cell", "_before")
-    values = _with(placed.select(*keys, "_all", "_cell", "_x"), cells, [*keys, "_cell"])
-    values = values.groupBy(*keys, "_all", "_cell", "_before", "_x").agg(F.count("*").alias("_n"))
-    earlier = Window.partitionBy(*group, "_cell").orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
-    first = F.col("_before") + F.coalesce(F.sum("_n").over(earlier), F.lit(0))
-    values = values.withColumn("_first", first)
-    found = [F.min(F.when((r >= F.col("_first")) & (r < F.col("_first") + F.col("_n")), F.col("_x"))).alias(f"_v{i}") for i, r in enumerate(ranks)]
-    one = values.groupBy(*keys, "_all").agg(*found)
+    ranks = F.array(*[f(r).cast("long") for r in at for f in (F.floor, F.ceil)])
+    placed = counts.select(*keys, "_cell", "_n", "_before", "_all", F.posexplode(ranks).alias("_i", "_rank")).where((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_n")))
+    wanted = checkpointed(placed.select(*keys, "_i", "_cell", (F.col("_rank") - F.col("_before")).alias("_rank"), "_n", "_all"))
+    totals, wanted, shift = wanted.select(*keys, "_all").distinct(), wanted.drop("_all"), SHIFTS[0]
+    for finer in SHIFTS[1:]:
+        if (wanted.agg(F.max("_n")).first()[0] or 0) <= direct:
+            break
+        cells = known.withColumn("_cell", F.shiftright("_k", shift))
+        wanted, shift = checkpointed(_descend(cells, wanted, keys, finer)), finer
+    values = _with(known.withColumn("_cell", F.shiftright("_k", shift)), wanted.select(*keys, "_cell").distinct(), [*keys, "_cell"])
+    values = values.groupBy(*keys, "_cell", "_x").agg(F.count("*").alias("_m"))
+    earlier = Window.partitionBy(*keys, "_cell").orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
+    values = values.withColumn("_first", F.coalesce(F.sum("_m").over(earlier), F.lit(0)))
+    held = _with(values, wanted.drop("_n"), [*keys, "_cell"]).where((F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_first") + F.col("_m")))
+    one = held.groupBy(*keys).agg(*[F.max(F.when(F.col("_i") == i, F.col("_x"))).alias(f"_v{i}") for i in range(2 * len(points))])
+    one = _with(one, totals, keys)
     q = [F.col(f"_v{2 * i}") + (r - F.floor(r)) * (F.col(f"_v{2 * i + 1}") - F.col(f"_v{2 * i}")) for i, r in enumerate(at)]
     return one.select(*keys, F.array(*q).alias("q"))
 

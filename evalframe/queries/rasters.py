@@ -102,40 +102,52 @@ def _(t):
 
 
 def normalized(t, mode):
-    """Band 1, as its column says; other bands go the same way."""
-    options = {} if mode == "percentile" else {"percentiles": None}
-    stats = S.band_stats(t.pixels, ["b1"], ["scene"], **options).drop("band")  # one row for each scene
-    rows = t.pixels.join(stats, "scene")
-    return rows.select("sample_id", "row_px", "col_px", X.r6(X.normalize(F.col("b1"), mode, {s: F.col(s) for s in stats.columns if s != "scene"})).alias("b1"))
+    """All bands, each by its own statistics in its scene."""
+    stats = band_stats(t, **({} if mode == "percentile" else {"percentiles": None}))
+    names = [c for c in stats.columns if c not in ("scene", "band")]
+    wide = stats.groupBy("scene").pivot("band", list(range(len(BANDS)))).agg(F.first(F.struct(*names)))  # one row for each scene
+    rows = t.pixels.join(wide, "scene")
+    out = [X.r6(X.normalize(X.mask_nodata(F.col(b), NODATA.get(b)), mode, {s: F.col(f"`{i}`")[s] for s in names})).alias(b) for i, b in enumerate(BANDS)]
+    return rows.select("sample_id", "row_px", "col_px", *out)
 
 
 def normalized_sql(expr: str) -> str:
-    return f"SELECT p.sample_id, p.row_px, p.col_px, round({expr}, 6) AS b1 FROM pixels p JOIN ({stats_sql()}) s ON p.scene = s.scene AND s.band = 1"
+    """``expr`` in terms of x, its band's value, and s, its statistics."""
+    made = []
+    for i, b in enumerate(BANDS):
+        value = f"(CASE WHEN {b} <> {NODATA[b]} THEN {b} END)" if b in NODATA else b
+        made.append(f"round(coalesce({expr.replace('{x}', value).replace('s.', f's{i}.')}, 0.0), 6) AS {b}")
+    joins = " ".join(f"JOIN stats s{i} ON p.scene = s{i}.scene AND s{i}.band = {i}" for i in range(len(BANDS)))
+    return f"WITH stats AS ({stats_sql()}) SELECT p.sample_id, p.row_px, p.col_px, {', '.join(made)} FROM pixels p {joins}"
 
 
-@query("p06_normalize_minmax", normalized_sql('(b1 - s."min") / (s."max" - s."min" + 1e-8)'))
+@query("p06_normalize_minmax", normalized_sql('({x} - s."min") / (s."max" - s."min" + 1e-8)'))
 def _(t):
     return normalized(t, "minmax")
 
 
-@query("p07_normalize_zscore", normalized_sql("(b1 - mean) / (std + 1e-8)"))
+@query("p07_normalize_zscore", normalized_sql("({x} - s.mean) / (s.std + 1e-8)"))
 def _(t):
     return normalized(t, "zscore")
 
 
-@query("p08_normalize_percentile", normalized_sql("(least(greatest(b1, p_low), p_high) - p_low) / (p_high - p_low + 1e-8)"))
+@query("p08_normalize_percentile", normalized_sql("(CASE WHEN {x} IS NOT NULL THEN least(greatest({x}, s.p_low), s.p_high) END - s.p_low) / (s.p_high - s.p_low + 1e-8)"))
 def _(t):
     return normalized(t, "percentile")
 
 
-@query("p09_percentile_stretch", """WITH r AS (SELECT scene, unnest([b1, b2, b3]) AS x FROM pixels), q AS (SELECT scene, quantile_cont(x, 0.02) AS lo, quantile_cont(x, 0.98) AS hi FROM r GROUP BY ALL)
-SELECT p.sample_id, p.row_px, p.col_px, round(CASE WHEN hi - lo < 1e-9 THEN least(greatest(b1, 0), 1) ELSE least(greatest((b1 - lo) / (hi - lo), 0), 1) END, 6) AS red FROM pixels p JOIN q ON q.scene = p.scene""")
+_RGB = {"red": "b1", "green": "b2", "blue": "b3"}
+_STRETCH = ", ".join(f"round(CASE WHEN hi - lo < 1e-9 THEN least(greatest({b}, 0), 1) ELSE least(greatest(({b} - lo) / (hi - lo), 0), 1) END, 6) AS {c}" for c, b in _RGB.items())
+
+
+@query("p09_percentile_stretch", f"""WITH r AS (SELECT scene, unnest([b1, b2, b3]) AS x FROM pixels), q AS (SELECT scene, quantile_cont(x, 0.02) AS lo, quantile_cont(x, 0.98) AS hi FROM r GROUP BY ALL)
+SELECT p.sample_id, p.row_px, p.col_px, {_STRETCH} FROM pixels p JOIN q ON q.scene = p.scene""")
 def _(t):
-    rgb = S.long_bands(t.pixels, ["b1", "b2", "b3"], ["scene"])
-    q = S.exact_percentiles(rgb.withColumn("x", X.finite(F.col("x"))), ["scene"], "x", [0.02, 0.98]).select("scene", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
-    flat = F.col("hi") - F.col("lo") < 1e-9
-    red = F.when(flat, X.clip(F.col("b1"), 0.0, 1.0)).otherwise(X.clip(F.try_divide(F.col("b1") - F.col("lo"), F.col("hi") - F.col("lo")), 0.0, 1.0))
-    return t.pixels.join(q, "scene").select("sample_id", "row_px", "col_px", X.r6(red).alias("red"))
+    rgb = S.long_bands(t.pixels, list(_RGB.values()), ["scene"])
+    q = S.exact_percentiles(rgb, ["scene"], "x", [0.02, 0.98]).select("scene", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
+    flat, span = F.col("hi") - F.col("lo") < 1e-9, F.col("hi") - F.col("lo")
+    color = lambda b: F.when(flat, X.clip(F.col(b), 0.0, 1.0)).otherwise(X.clip(F.try_divide(F.col(b) - F.col("lo"), span), 0.0, 1.0))
+    return t.pixels.join(q, "scene").select("sample_id", "row_px", "col_px", *[X.r6(color(b)).alias(c) for c, b in _RGB.items()])
 
 
 @query("p10_band_select", "SELECT sample_id, row_px, col_px, b2 AS red, b1 AS green, b0 AS blue, b3 AS nir FROM pixels")

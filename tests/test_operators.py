@@ -145,17 +145,16 @@ def test_ranks_of_alike_samples_go_by_id(spark):
     assert [r.sample_id for r in got] == sorted(ids) and [r["rank"] for r in got] == list(range(1, len(ids) + 1))
 
 
-@pytest.mark.parametrize("cells", [4096, 3])
-def test_exact_percentiles(spark, monkeypatch, cells):
+@pytest.mark.parametrize("direct", [1 << 16, 3])
+def test_exact_percentiles(spark, direct):
     import numpy as np
 
-    monkeypatch.setattr(S, "CELLS", cells)
     rng = random.Random(7)
     groups = {"a": [rng.gauss(0, 1e3) for _ in range(501)], "b": [2.0] * 40, None: [float(rng.randint(0, 4)) for _ in range(77)], "c": [-1e308, 1e308, 3.0], "d": [5.0]}
     rows = [(g, x) for g, xs in groups.items() for x in xs] + [("a", None), ("e", None)]
     df = spark.createDataFrame(rows, "g string, x double").repartition(3)
     points = [0.0, 0.02, 0.5, 0.98, 1.0]
-    got = {r.g: r.q for r in S.exact_percentiles(df, ["g"], "x", points).collect()}
+    got = {r.g: r.q for r in S.exact_percentiles(df, ["g"], "x", points, direct).collect()}
     assert set(got) == set(groups)
     for g in ("a", "b", None, "d"):
         assert got[g] == pytest.approx(np.quantile(groups[g], points).tolist(), rel=1e-12)
