@@ -54,6 +54,8 @@ SQL = {
        FROM lineitem GROUP BY l_suppkey % 8, l_orderkey % 128, l_partkey % 128))""",
     "acquisitions": _acquisitions("CAST(datediff(CAST(l_shipdate AS DATE), DATE '1970-01-01') AS BIGINT)"),
     "metric_log": "SELECT user_id AS run_id, CAST(ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INT) AS epoch, ts, value FROM events",
+    "run_log": """SELECT run_id, CAST(ROW_NUMBER() OVER (PARTITION BY run_id ORDER BY ts, event_id) - 1 AS INT) AS epoch, ts, value FROM
+       (SELECT user_id * 10 + CAST(floor((day(ts) - 1) / 5) AS BIGINT) AS run_id, event_id, ts, value FROM events)""",
 }
 DUCK = {"logits": "SELECT vec_id, label, embedding[1:10] AS logits FROM embeddings", "acquisitions": _acquisitions("date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE))")}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

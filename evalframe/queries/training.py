@@ -9,6 +9,7 @@ from evalframe.operators import training_log as L
 from evalframe.queries.fixtures import query
 from evalframe.sources.shared import scratch
 from evalframe.streaming import metrics as ST
+from evalframe.streaming import stateful as SF
 
 
 @query("w08_best_so_far", "SELECT run_id, epoch, best_before, coalesce(value < best_before, true) AS improved FROM (SELECT *, min(value) OVER (PARTITION BY run_id ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best_before FROM metric_log)")
@@ -103,3 +104,26 @@ def _(t):
 def _(t):
     log, path = stored_log(t, "st04")
     return ST.standing_checkpoints(ST.drain(ST.stream_best_checkpoints(log), path))
+
+
+#: A run is five days of one user: it ends when nothing has come for as long; records may be a day late.
+IDLE_DAYS, DELAY_DAYS = 5, 1
+_DAY = 86_400_000
+
+
+@query("st05_stream_run_ends", f"""{STOPS.replace('metric_log', 'run_log').replace("SELECT run_id, best, stop AS stop_epoch, wait FROM", "SELECT run_id, best, wait, coalesce(stop, -1) AS stop_epoch, epoch + 1 AS epochs, ended AS final FROM").replace("FROM fold f WHERE epoch", f"FROM fold f JOIN (SELECT run_id AS r, max(epoch_ms(ts)) + {IDLE_DAYS * _DAY} <= (SELECT max(epoch_ms(ts)) - {DELAY_DAYS * _DAY} FROM events) AS ended FROM run_log GROUP BY run_id) ON r = f.run_id WHERE epoch")}""")
+def _(t):
+    path = scratch(t.spark, "st05")
+    t.run_log.write.parquet(f"{path}/log")
+    log = t.spark.readStream.schema(t.run_log.schema).parquet(f"{path}/log")
+    with SF.state_store(t.spark):
+        out = SF.drain_updates(SF.stream_stops(log, PATIENCE, DELTA, f"{DELAY_DAYS} day", IDLE_DAYS * _DAY), path)
+    return SF.last_states(out)
+
+
+@query("st06_stream_windows", f"""SELECT CAST(time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01') AS VARCHAR) AS start, user_id % 5 AS team, count(*) AS n, round(sum(value), 4) AS total, min(value) AS least, max(value) AS most FROM events
+ GROUP BY time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01'), user_id % 5 HAVING epoch_ms(time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01')) + {_DAY // 4} <= (SELECT max(epoch_ms(ts)) - {_DAY} FROM events)""")
+def _(t):
+    rows = log_stream(t).withColumn("team", F.col("user_id") % 5)
+    out = ST.drain(SF.stream_windows(rows, ["team"], "6 hours", "1 day", "value"), scratch(t.spark, "st06"))
+    return out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "team", "n", F.round("total", 4).alias("total"), "least", "most")

@@ -7,6 +7,7 @@ state server speaks; ``state_store`` sets the former.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -17,9 +18,16 @@ _PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStorePro
 RUNS = "run_id long, best double, wait int, stop_epoch int, epochs int, final boolean"
 
 
-def state_store(spark: SparkSession) -> None:
-    """Streams that start from now on keep their state in RocksDB, which named states and timers need."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _PROVIDER)
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """Streams that start inside keep their state in RocksDB, which named states and timers need."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, _PROVIDER)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 class EarlyStopping(StatefulProcessor):
@@ -53,17 +61,16 @@ class EarlyStopping(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         state = list(self.fold.get()) if self.fold.exists() else [float("inf"), 0, -1, 0, 0, 0]
-        new = pd.concat(list(rows)).dropna(subset=["epoch"]).drop_duplicates("epoch").sort_values("epoch")
-        last = state[5]
-        for epoch, value, ts in zip(new["epoch"].astype(int), new["value"], new["ts"]):
-            last = max(last, int(ts.timestamp() * 1000) + self.idle)
+        new = pd.concat(list(rows))
+        last = max(state[5], int(new["at"].max()) + self.idle)
+        new = new.dropna(subset=["epoch"]).drop_duplicates("epoch").sort_values("epoch")
+        for epoch, value in zip(new["epoch"].astype(int), new["value"]):
             value = None if pd.isna(value) else float(value)
             if epoch > state[3] and not self.early.containsKey((epoch,)):
                 self.early.updateValue((epoch,), (value,))
             elif epoch == state[3]:
                 self._step(state, epoch, value)
-                while self.early.containsKey((state[3],)):
-                    at = (state[3],)
+                while self.early.containsKey(at := (state[3],)):
                     self._step(state, at[0], self.early.getValue(at)[0])
                     self.early.removeKey(at)
         if last != state[5]:
@@ -86,11 +93,12 @@ class EarlyStopping(StatefulProcessor):
 def stream_stops(log: DataFrame, patience: int, min_delta: float = 0.0, delay: str = "1 hour", idle_ms: int = 3_600_000) -> DataFrame:
     """(run_id, best, wait, stop_epoch, epochs, final): each run's state after each micro-batch, and once more when it ends.
 
-    ``log``: run_id, epoch (from 0), value, ts (a timestamp). Records up to ``delay`` late count as if in time; later ones
+    ``log``: run_id, epoch (from 0), value, ts (a timestamp; records without one go). Records up to ``delay`` late count as if in time; later ones
     may be dropped. Of a repeated epoch the first value that comes stands; an undefined value improves nothing. Records
     without an epoch only keep their run alive.
     """
-    timed = log.select("run_id", "epoch", "value", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", delay)
+    ts = F.col("ts").cast("timestamp")
+    timed = log.where("ts is not null").select("run_id", "epoch", "value", ts.alias("ts"), F.unix_millis(ts).alias("at")).withWatermark("ts", delay)
     return timed.groupBy("run_id").transformWithStateInPandas(EarlyStopping(patience, min_delta, idle_ms), RUNS, "Update", "EventTime")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -18,17 +19,14 @@ LOG = "run_id long, epoch int, value double, ts timestamp"
 
 @pytest.fixture
 def rocks(spark):
-    name = "spark.sql.streaming.stateStore.providerClass"
-    old = spark.conf.get(name)
-    SF.state_store(spark)
-    yield spark
-    spark.conf.set(name, old)
+    with SF.state_store(spark):
+        yield spark
 
 
 def stream_of(spark, batches, path):
     for i, rows in enumerate(batches):
         spark.createDataFrame(rows, LOG).coalesce(1).write.mode("append").parquet(f"{path}/log")
-        for p in __import__("pathlib").Path(f"{path}/log").glob("part-*"):
+        for p in Path(f"{path}/log").glob("part-*"):
             if not p.name.startswith("part-9"):
                 p.rename(p.with_name(f"part-9{i:03}.parquet"))
     return spark.readStream.schema(LOG).option("maxFilesPerTrigger", 1).parquet(f"{path}/log")
