@@ -28,7 +28,7 @@ def flip(df: DataFrame, horizontal: bool = True, vertical: bool = False, p: floa
 
 
 def rotate(df: DataFrame, quarters: int = 1, p: float = 0.5, seed: int = SEED) -> DataFrame:
-    """Quarter turns against the clock; other angles would need interpolation."""
+    """Quarter turns against the clock, which move pixels only; ``rotate_by`` turns by any angle."""
     on = _on("rotate", p, seed)
     for _ in range(quarters % 4):
         r, c, h, w = (F.col(x) for x in ("row_px", "col_px", "height", "width"))
@@ -36,6 +36,37 @@ def rotate(df: DataFrame, quarters: int = 1, p: float = 0.5, seed: int = SEED) -
     return df
 
 
+def rotate_by(df: DataFrame, bands: tuple[str, ...] = (), labels: tuple[str, ...] = (), limit: float = 90.0, angle: float | None = None, p: float = 0.5, seed: int = SEED) -> DataFrame:
+    """Turns patches about their centre against the clock, by ``angle`` degrees or by one within +-``limit`` that the patch's hash gives.
+
+    Patches keep their size; what leaves it goes. Bands are interpolated between the four pixels around the place that a
+    target comes from, by the weights of those that are there and not null; labels come from the nearest pixel, and are
+    null if that is missing. A target that no pixel is near has no row. Pixels at one place count together; of their
+    labels the least stands. Columns besides the bands and labels go.
+
+    Each pixel meets only the targets around the place that it is turned to, so that one grouping by target does it.
+    """
+    turn = (coin(seed, F.col("sample_id"), "rotate_by") * 2 - 1) * limit if angle is None else F.lit(float(angle))
+    theta = F.radians(F.when(_on("rotate", p, seed), turn).otherwise(0.0))
+    r, c = F.col("row_px") - (F.col("height") - 1) / 2, F.col("col_px") - (F.col("width") - 1) / 2
+    rows = df.withColumns({"_cos": F.cos(theta), "_sin": F.sin(theta), "_r": r, "_c": c})
+    at = {"_tr": F.col("_cos") * F.col("_r") - F.col("_sin") * F.col("_c") + (F.col("height") - 1) / 2, "_tc": F.col("_sin") * F.col("_r") + F.col("_cos") * F.col("_c") + (F.col("width") - 1) / 2}
+    rows = rows.withColumns(at)
+    near = lambda n: F.transform(F.sequence(F.lit(-1), F.lit(2)), lambda d: (F.floor(F.col(n)) + d).cast("int"))
+    rows = rows.withColumn("_row", F.explode(near("_tr"))).withColumn("_col", F.explode(near("_tc")))
+    rows = rows.where((F.col("_row") >= 0) & (F.col("_row") < F.col("height")) & (F.col("_col") >= 0) & (F.col("_col") < F.col("width")))
+    # where the target comes from, from this pixel
+    tr, tc = F.col("_row") - (F.col("height") - 1) / 2, F.col("_col") - (F.col("width") - 1) / 2
+    rows = rows.withColumns({"_dr": F.round(F.col("_cos") * tr + F.col("_sin") * tc - F.col("_r"), 12), "_dc": F.round(F.col("_cos") * tc - F.col("_sin") * tr - F.col("_c"), 12)})
+    rows = rows.withColumn("_w", (1 - F.abs("_dr")) * (1 - F.abs("_dc"))).where((F.abs("_dr") < 1) & (F.abs("_dc") < 1) & (F.col("_w") > 1e-9))
+    nearest = (F.col("_dr") >= -0.5) & (F.col("_dr") < 0.5) & (F.col("_dc") >= -0.5) & (F.col("_dc") < 0.5)
+    values = [F.try_divide(F.sum(F.col("_w") * F.col(b)), F.sum(F.when(F.col(b).isNotNull(), F.col("_w")))).alias(b) for b in bands]
+    classes = [F.min(F.when(nearest, F.col(x))).alias(x) for x in labels]
+    kinds = {c: df.schema[c].dataType for c in ("row_px", "col_px")}
+    out = rows.groupBy("sample_id", F.col("_row").alias("row_px"), F.col("_col").alias("col_px"), "height", "width").agg(*values, *classes)
+    return out.withColumns({c: F.col(c).cast(k) for c, k in kinds.items()})
+
+
 def crop(df: DataFrame, height: int = 256, width: int = 256, p: float = 1.0, seed: int = SEED) -> DataFrame:
     """A window at an offset that the patch's hash gives; patches that are smaller stay as they are on that axis."""
     on = _on("crop", p, seed)
@@ -61,7 +92,7 @@ def contrast(df: DataFrame, bands: tuple[str, ...] = (), limit: float = 0.2, p:
     return df.withColumns({b: F.when(_on("contrast", p, seed), F.col(b) * (1 + _delta("contrast", limit, seed))).otherwise(F.col(b)) for b in bands})
 
 
-REGISTRY: dict[str, Callable[..., DataFrame]] = {"flip": flip, "rotate": rotate, "crop": crop, "brightness": brightness, "contrast": contrast}
+REGISTRY: dict[str, Callable[..., DataFrame]] = {"flip": flip, "rotate": rotate, "rotate_by": rotate_by, "crop": crop, "brightness": brightness, "contrast": contrast}
 
 
 def register(name: str, op: Callable[..., DataFrame], overwrite: bool = False) -> None:

@@ -321,3 +321,16 @@ def _(t):
 @query("a06_pipeline", f"SELECT {COLS.format(r='row_px', c=f'CASE WHEN {coin_sql('flip')} < 0.5 THEN 30 - col_px ELSE col_px END', v=BRIGHT)} FROM pixels")
 def _(t):
     return coords(A.pipeline(sized_pixels(t), [("flip", {}), ("brightness", {"bands": ("b1",)})]))
+
+
+_ANGLE = f"radians(CASE WHEN {coin_sql('rotate')} < 0.5 THEN (({coin_sql('rotate_by')}) * 2 - 1) * 45 ELSE 0 END)"
+
+
+@query("a07_rotate_by", f"""WITH turned AS (SELECT sample_id, row_px - 48.0 AS r, col_px - 15.0 AS c, b1, label, cos({_ANGLE}) AS k, sin({_ANGLE}) AS s FROM pixels),
+ near AS (SELECT *, CAST(floor(k * r - s * c + 48) AS INT) + unnest([-1, 0, 1, 2, -1, 0, 1, 2, -1, 0, 1, 2, -1, 0, 1, 2]) AS tr, CAST(floor(s * r + k * c + 15) AS INT) + unnest([-1, -1, -1, -1, 0, 0, 0, 0, 1, 1, 1, 1, 2, 2, 2, 2]) AS tc FROM turned),
+ off AS (SELECT *, round(k * (tr - 48) + s * (tc - 15) - r, 12) AS dr, round(k * (tc - 15) - s * (tr - 48) - c, 12) AS dc FROM near WHERE tr BETWEEN 0 AND 96 AND tc BETWEEN 0 AND 30),
+ weighed AS (SELECT *, (1 - abs(dr)) * (1 - abs(dc)) AS w FROM off WHERE abs(dr) < 1 AND abs(dc) < 1)
+ SELECT sample_id, CAST(tr AS BIGINT) AS row_px, CAST(tc AS BIGINT) AS col_px, round(sum(w * b1) / sum(w), 4) AS b1, min(CASE WHEN dr >= -0.5 AND dr < 0.5 AND dc >= -0.5 AND dc < 0.5 THEN label END) AS label FROM weighed WHERE w > 1e-9 GROUP BY sample_id, tr, tc""")
+def _(t):
+    out = A.rotate_by(sized_pixels(t), ("b1",), ("label",), limit=45.0)
+    return out.select("sample_id", "row_px", "col_px", F.round("b1", 4).alias("b1"), "label")
