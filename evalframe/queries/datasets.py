@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from evalframe.functions import exprs as X
@@ -17,6 +19,7 @@ from evalframe.sources import inventory as I
 from evalframe.sources import sinks as K
 from evalframe.sources.files import scan_tree
 from evalframe.sources.shared import scratch
+from evalframe.sources.versions import VersionedTables
 
 # --- sources --------------------------------------------------------------------------------------
 
@@ -418,3 +421,24 @@ def _(t):
     K.write_tables({"splits": grouped(t), "patches": P.manifest(t), "issues": issues(t)}, path, "v1")
     parts = [t.spark.read.parquet(f"{path}/v1/{n}").agg(F.count("*").alias("n")).select(F.lit(n).alias("output"), "n") for n in ("splits", "patches", "issues")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("s16_versioned_dataset", f"SELECT CAST(1 AS INT) AS version, 'splits' AS output, count(*) AS n FROM ({GROUP_SPLIT}) UNION ALL SELECT 1, 'issues', count(*) FROM ({ISSUES}) UNION ALL SELECT 2, 'splits', count(*) FROM ({GROUP_SPLIT}) WHERE split = 'train' UNION ALL SELECT 2, 'issues', count(*) FROM ({ISSUES})")
+def _(t):
+    """Two versions of a prepared dataset; the second replaces one of its tables."""
+    v = VersionedTables(t.spark, scratch(t.spark, "s16"))
+    v.commit({"splits": grouped(t), "issues": issues(t)}, expected=0)
+    v.commit({"splits": v.snapshot(1).table("splits").where("split = 'train'")}, expected=1)
+    parts = [v.snapshot(n).table(name).agg(F.count("*").alias("n")).select(F.lit(n).alias("version"), F.lit(name).alias("output"), "n") for n in (1, 2) for name in ("splits", "issues")]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+@query("s17_versioned_log", "SELECT run_id, epoch, value FROM metric_log")
+def _(t):
+    """The metric log, added to in three commits and compacted."""
+    v, log = VersionedTables(t.spark, scratch(t.spark, "s17")), t.metric_log.select("run_id", "epoch", "value")
+    for low, high in ((0, 5), (5, 20), (20, 1 << 30)):
+        v.append({"log": log.where((F.col("epoch") >= low) & (F.col("epoch") < high))})
+    v.compact("log")
+    v.remove_old(keep=1, older_than=0)
+    return v.snapshot().table("log")
