@@ -116,11 +116,11 @@ def top_categories(error_types: DataFrame, classes: DataFrame, keys: list[str],
     return rows.where("total_errors > 0").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def hard_examples(failures: DataFrame, k: int, focus: str, multiclass: bool = True) -> DataFrame:
-    """The hardest samples by rate, by count, with the focus class, and by error type."""
-    lists = [R.top_k(failures, k), R.top_k(failures, k, "error_count"), R.top_k(failures, k, error_type="class_confusion")]
+def hard_examples(failures: DataFrame, k: int, focus: str, multiclass: bool = True, by: list[str] | None = None) -> DataFrame:
+    """The hardest samples by rate, by count, with the focus class, and by error type; for each key in ``by``."""
+    lists = [R.top_k(failures, k, by=by), R.top_k(failures, k, "error_count", by=by), R.top_k(failures, k, error_type="class_confusion", by=by)]
     if multiclass:
-        lists.append(R.top_k(failures, k, class_name=focus))
+        lists.append(R.top_k(failures, k, class_name=focus, by=by))
     return reduce(lambda a, b: a.unionByName(b), lists)
 
 

@@ -35,11 +35,17 @@ def _before(placed: DataFrame, sums: dict[str, Column]) -> DataFrame:
     return totals.select("_part", *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_b_{n}") for n in sums])
 
 
-def with_positions(rows: DataFrame, order: list[Column], name: str = "rank", partitions: int | None = None, written: bool = False) -> DataFrame:
-    """1-based place of each row in the whole order."""
-    placed = arranged(rows, order, partitions, written)
+def with_positions(rows: DataFrame, order: list[Column], name: str = "rank", partitions: int | None = None, written: bool = False, by: list[str] | None = None) -> DataFrame:
+    """1-based place of each row in the whole order, or among the rows that are alike in ``by``."""
+    by = by or []
+    placed = arranged(rows, [*map(F.col, by), *order], partitions, written)
     offsets = F.broadcast(_before(placed, {"n": F.count("*")}))  # as many rows as partitions
-    return placed.join(offsets, "_part").withColumn(name, F.col("_b_n") + F.col("_at") + 1).drop("_part", "_at", "_b_n")
+    out = placed.join(offsets, "_part").withColumn(name, F.col("_b_n") + F.col("_at") + 1)
+    if by:
+        # where each key begins: one row for each key and partition, combined before it is shuffled
+        first = out.groupBy(*[F.col(k).alias(f"_k_{k}") for k in by]).agg(F.min(name).alias("_first"))
+        out = out.join(first, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in by]).withColumn(name, F.col(name) - F.col("_first") + 1).drop("_first", *[f"_k_{k}" for k in by])
+    return out.drop("_part", "_at", "_b_n")
 
 
 def with_prefix_sums(rows: DataFrame, order: list[Column], columns: list[str], partitions: int | None = None, written: bool = False) -> DataFrame:

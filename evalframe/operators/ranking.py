@@ -37,26 +37,28 @@ def dedup_worst(failures: DataFrame, keys: list[str]) -> DataFrame:
     return failures.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def rank_samples(failures: DataFrame, partitions: int | None = None, written: bool = False) -> DataFrame:
-    """Canonical rank of all failures: dealt by ranges of the whole order, so that neither many equal
-    values nor ids that begin alike meet in one task."""
-    return with_positions(failures, canonical_order(), "rank", partitions, written)
+def rank_samples(failures: DataFrame, by: list[str] | None = None, partitions: int | None = None, written: bool = False) -> DataFrame:
+    """Canonical rank of all failures, or of those alike in ``by``: dealt by ranges of the whole order, so that neither
+    many equal values nor ids that begin alike meet in one task."""
+    return with_positions(failures, canonical_order(), "rank", partitions, written, by)
 
 
-def top_k(failures: DataFrame, k: int, criterion: str = "error_rate", class_name: str | None = None, error_type: str | None = None) -> DataFrame:
-    """The k hardest samples by rate or count, of those with a class among their errors or of an error type."""
-    pool = failures
+def top_k(failures: DataFrame, k: int, criterion: str = "error_rate", class_name: str | None = None, error_type: str | None = None, by: list[str] | None = None) -> DataFrame:
+    """The k hardest samples by rate or count, of those with a class among their errors or of an error type; for each key in ``by``.
+
+    Spark keeps the k best of each task and key before it shuffles them.
+    """
+    pool, by = failures, by or []
     if class_name is not None:
         pool = pool.where(F.map_contains_key("per_class_errors", class_name) | (F.col("dominant_true_class") == class_name))
     if error_type is not None:
         pool = pool.where(F.array_contains("categories", error_type))
-    order = [F.col(criterion).desc(), *canonical_order()]
-    top = pool.orderBy(*order).limit(k)
-    ranked = top.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))  # k rows
-    return ranked.select("sample_id", F.lit(class_name or error_type or criterion).alias("criterion"), F.col(criterion).cast("double").alias("value"), "rank", "severity")
+    w = Window.partitionBy(*by or [F.lit(0)]).orderBy(F.col(criterion).desc(), *canonical_order())
+    ranked = pool.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return ranked.select(*by, "sample_id", F.lit(class_name or error_type or criterion).alias("criterion"), F.col(criterion).cast("double").alias("value"), "rank", "severity")
 
 
-def top_k_per_group(failures: DataFrame, group: str, k: int) -> DataFrame:
+def top_k_per_group(failures: DataFrame, group: str | list[str], k: int) -> DataFrame:
     w = Window.partitionBy(group).orderBy(F.col("error_rate").desc(), *canonical_order())
     return failures.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -442,3 +442,35 @@ def _(t):
     v.compact("log")
     v.remove_old(keep=1, older_than=0)
     return v.snapshot().table("log")
+
+
+def page_meta(path: str, raw: bytes) -> dict:
+    """A reader of pages as a user would write one for rasters; it fails on pages without an article."""
+    if b"<article" not in raw:
+        raise ValueError(f"{path} has no article")
+    return {"height": raw.count(b"\n"), "width": max(map(len, raw.split(b"\n"))), "count": 1, "dtype": "uint8"}
+
+
+def page_labels(path: str, raw: bytes):
+    """A reader of class arrays: 1 where a tag begins, 2 where one ends, else 0."""
+    import numpy as np
+
+    x = np.frombuffer(raw, np.uint8)
+    return (x == ord("<")) + 2 * (x == ord(">"))
+
+
+_PAGE_ID = r"([0-9]+)\.html$"
+
+
+@query("s18_reader_meta", """SELECT page_id, CASE WHEN contains(content, '<article') THEN CAST(strlen(content) - strlen(replace(content, chr(10), '')) + 1 AS INT) END AS height,
+ CASE WHEN contains(content, '<article') THEN CAST(list_max(list_transform(string_split(content, chr(10)), lambda x: strlen(x))) AS INT) END AS width, CASE WHEN contains(content, '<article') THEN 'uint8' END AS dtype FROM file_inventory""")
+def _(t):
+    meta = I.read_meta(scanned_pages(t, "s18", "content"), page_meta)
+    return meta.select(F.regexp_extract("path", _PAGE_ID, 1).cast("long").alias("page_id"), "height", "width", "dtype")
+
+
+@query("s19_reader_labels", """SELECT label, CAST(sum(n) AS BIGINT) AS pixels, count(*) AS files FROM (SELECT page_id, unnest([0, 1, 2]) AS label, unnest([strlen(replace(replace(content, '<', ''), '>', '')) + 1, strlen(content) - strlen(replace(content, '<', '')),
+ strlen(content) - strlen(replace(content, '>', ''))]) AS n FROM file_inventory) WHERE n > 0 GROUP BY ALL""")
+def _(t):
+    found = I.read_labels(scanned_pages(t, "s19", "content"), page_labels)
+    return found.groupBy("label").agg(F.sum("pixels").alias("pixels"), F.count("*").alias("files"))

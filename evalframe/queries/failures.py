@@ -25,7 +25,6 @@ SF = f"""SELECT *, {severity_sql('error_rate')} AS severity FROM (SELECT model_i
 DOM = f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model_id, sample_id ORDER BY n DESC, true_class, pred_class) AS r FROM
  (SELECT model_id, sample_id, true_class, pred_class, count(*) AS n FROM preds WHERE true_class <> pred_class GROUP BY ALL)) WHERE r = 1"""
 FAIL = f"SELECT f.*, d.true_class AS dt, d.pred_class AS dp FROM ({SF}) f JOIN ({DOM}) d ON d.model_id = f.model_id AND d.sample_id = f.sample_id"
-BASE = f"SELECT * FROM ({FAIL}) WHERE model_id = 'baseline'"
 
 
 def samples(t):
@@ -51,9 +50,10 @@ RECORDS = f"""SELECT *, CAST(row_number() OVER (PARTITION BY model_id ORDER BY {
   SELECT *, error_count / nullif(support, 0) AS error_rate FROM ({_REC})))"""
 
 
-@query("w01_rank_samples", f"SELECT sample_id, severity, error_count, row_number() OVER (ORDER BY {ORDER}) AS rank FROM ({BASE})")
+@query("w01_rank_samples", f"SELECT model_id, sample_id, severity, error_count, row_number() OVER (PARTITION BY model_id ORDER BY {ORDER}) AS rank FROM ({FAIL})")
 def _(t):
-    return R.rank_samples(t.stored("failures", lambda: fails(t)), written=True).select("sample_id", "severity", "error_count", "rank")
+    ranked = R.rank_samples(t.stored("failures", lambda: fails(t, None)), ["model_id"], written=True)
+    return ranked.select("model_id", "sample_id", "severity", "error_count", "rank")
 
 
 @query("w02_dedup_worst", f"SELECT sample_id, model_id, severity, error_count FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY {ORDER}, model_id) AS r FROM ({FAIL})) WHERE r = 1 AND NOT (model_id = 'improved')"
@@ -110,14 +110,16 @@ def _(t):
     return fails(t, None).select("model_id", F.explode("categories").alias("category")).groupBy("model_id", "category").agg(F.count("*").alias("samples"))
 
 
-@query("p20_measurability", f"SELECT v.category, v.measurability, count(f.c) AS samples FROM {values_sql(TAXONOMY, 'category, measurability')} LEFT JOIN (SELECT unnest(string_split({CATEGORIES}, ',')) AS c FROM ({BASE})) f ON f.c = v.category WHERE v.measurability = 'measurable' GROUP BY ALL")
+@query("p20_measurability", f"""SELECT m.model_id, v.category, v.measurability, count(f.c) AS samples FROM {values_sql(TAXONOMY, 'category, measurability')} CROSS JOIN (SELECT DISTINCT model_id FROM preds) m
+ LEFT JOIN (SELECT model_id, unnest(string_split({CATEGORIES}, ',')) AS c FROM ({FAIL})) f ON f.c = v.category AND f.model_id = m.model_id WHERE v.measurability = 'measurable' GROUP BY ALL""")
 def _(t):
-    seen = fails(t).select(F.explode("categories").alias("category")).groupBy("category").agg(F.count("*").alias("samples"))
-    return E.measurability(t.spark, "measurable").join(seen, "category", "left").withColumn("samples", F.coalesce("samples", F.lit(0)))
+    seen = fails(t, None).select("model_id", F.explode("categories").alias("category")).groupBy("model_id", "category").agg(F.count("*").alias("samples"))
+    every = t.preds.select("model_id").distinct().crossJoin(F.broadcast(E.measurability(t.spark, "measurable")))  # models and categories are few
+    return every.join(seen, ["model_id", "category"], "left").withColumn("samples", F.coalesce("samples", F.lit(0)))
 
 
 def top_sql(order: str, label: str, value: str, where: str = "true") -> str:
-    return f"SELECT sample_id, '{label}' AS criterion, CAST({value} AS DOUBLE) AS value, CAST(row_number() OVER (ORDER BY {order} DESC, {ORDER}) AS INT) AS rank, severity FROM ({BASE}) WHERE {where} ORDER BY {order} DESC, {ORDER} LIMIT 20"
+    return f"""SELECT * FROM (SELECT model_id, sample_id, '{label}' AS criterion, CAST({value} AS DOUBLE) AS value, CAST(row_number() OVER (PARTITION BY model_id ORDER BY {order} DESC, {ORDER}) AS INT) AS rank, severity FROM ({FAIL}) WHERE {where}) WHERE rank <= 20"""
 
 
 TOPS = {
@@ -128,12 +130,12 @@ TOPS = {
 }
 OPTIONS = {"t01_topk_rate": {}, "t02_topk_count": {"criterion": "error_count"}, "t03_topk_class": {"class_name": FOCUS_CLASS}, "t04_topk_error_type": {"error_type": "class_confusion"}}
 for _name, _sql in TOPS.items():
-    query(_name, _sql)(lambda t, o=OPTIONS[_name]: R.top_k(fails(t), 20, **o))
+    query(_name, _sql)(lambda t, o=OPTIONS[_name]: R.top_k(fails(t, None), 20, by=["model_id"], **o))
 
 
 @query("t05_hard_examples", " UNION ALL ".join(f"(SELECT * FROM ({s}))" for s in TOPS.values()))
 def _(t):
-    return E.hard_examples(fails(t), 20, FOCUS_CLASS)
+    return E.hard_examples(fails(t, None), 20, FOCUS_CLASS, by=["model_id"])
 
 
 CLASS_SUM = f"""SELECT r.model_id, r.class_name, r.error_count AS total_errors, r.error_rate, (SELECT count(*) FROM ({FAIL}) f WHERE f.model_id = r.model_id AND CASE r.class_name WHEN 'clear' THEN fn0 WHEN 'thick_cloud' THEN fn1 WHEN 'thin_cloud' THEN fn2 ELSE fn3 END > 0) AS sample_count
@@ -188,24 +190,24 @@ def _(t):
     return E.top_categories(type_sums(t), class_sums(t), ["model_id"])
 
 
-@query("t07_topk_per_group", f"SELECT group_id, sample_id, severity, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY error_rate DESC, {ORDER}) AS rank FROM ({BASE})) WHERE rank <= 5")
+@query("t07_topk_per_group", f"SELECT model_id, group_id, sample_id, severity, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY model_id, group_id ORDER BY error_rate DESC, {ORDER}) AS rank FROM ({FAIL})) WHERE rank <= 5")
 def _(t):
-    return R.top_k_per_group(fails(t), "group_id", 5).select("group_id", "sample_id", "severity", "rank")
+    return R.top_k_per_group(fails(t, None), ["model_id", "group_id"], 5).select("model_id", "group_id", "sample_id", "severity", "rank")
 
 
-ANALYSIS = f"""SELECT 'sample' AS section, CAST(sample_id AS VARCHAR) AS item, severity, error_count AS errors FROM ({BASE}) UNION ALL
- SELECT 'class', class_name || '/' || error_type, severity, error_count FROM ({RECORDS}) WHERE model_id = 'baseline' UNION ALL
- SELECT 'hard', criterion || '/' || sample_id, severity, rank FROM ({" UNION ALL ".join(f"(SELECT * FROM ({s}))" for s in TOPS.values())})"""
+ANALYSIS = f"""SELECT model_id, 'sample' AS section, CAST(sample_id AS VARCHAR) AS item, severity, error_count AS errors FROM ({FAIL}) UNION ALL
+ SELECT model_id, 'class', class_name || '/' || error_type, severity, error_count FROM ({RECORDS}) UNION ALL
+ SELECT model_id, 'hard', criterion || '/' || sample_id, severity, rank FROM ({" UNION ALL ".join(f"(SELECT * FROM ({s}))" for s in TOPS.values())})"""
 
 
 def analysis(t):
-    """Failing samples are stored once, since six parts of the analysis read them."""
-    own = t.stored("failures", lambda: fails(t))
-    hard = E.hard_examples(own, 20, FOCUS_CLASS)
+    """Failing samples of all models are stored once, since six parts of the analysis read them."""
+    own = t.stored("failures", lambda: fails(t, None))
+    hard = E.hard_examples(own, 20, FOCUS_CLASS, by=["model_id"])
     parts = [
-        own.select(F.lit("sample").alias("section"), F.col("sample_id").cast("string").alias("item"), "severity", F.col("error_count").alias("errors")),
-        records(t).where("model_id = 'baseline'").select(F.lit("class").alias("section"), F.concat_ws("/", "class_name", "error_type").alias("item"), "severity", F.col("error_count").alias("errors")),
-        hard.select(F.lit("hard").alias("section"), F.concat_ws("/", "criterion", "sample_id").alias("item"), "severity", F.col("rank").cast("long").alias("errors")),
+        own.select("model_id", F.lit("sample").alias("section"), F.col("sample_id").cast("string").alias("item"), "severity", F.col("error_count").alias("errors")),
+        records(t).select("model_id", F.lit("class").alias("section"), F.concat_ws("/", "class_name", "error_type").alias("item"), "severity", F.col("error_count").alias("errors")),
+        hard.select("model_id", F.lit("hard").alias("section"), F.concat_ws("/", "criterion", "sample_id").alias("item"), "severity", F.col("rank").cast("long").alias("errors")),
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
@@ -215,10 +217,11 @@ def _(t):
     return analysis(t)
 
 
-@query("c17_failure_report", f"SELECT section, severity, count(*) AS rows, CAST(sum(errors) AS BIGINT) AS errors FROM ({ANALYSIS}) GROUP BY ALL UNION ALL SELECT 'taxonomy', measurability, count(*), 0 FROM {values_sql(TAXONOMY, 'category, measurability')} GROUP BY ALL")
+@query("c17_failure_report", f"SELECT model_id, section, severity, count(*) AS rows, CAST(sum(errors) AS BIGINT) AS errors FROM ({ANALYSIS}) GROUP BY ALL UNION ALL SELECT 'all', 'taxonomy', measurability, count(*), 0 FROM {values_sql(TAXONOMY, 'category, measurability')} GROUP BY ALL")
 def _(t):
     tax = E.measurability(t.spark).groupBy("measurability").agg(F.count("*").alias("rows"))
-    return analysis(t).groupBy("section", "severity").agg(F.count("*").alias("rows"), F.sum("errors").alias("errors")).unionByName(tax.select(F.lit("taxonomy").alias("section"), F.col("measurability").alias("severity"), "rows", F.lit(0).cast("long").alias("errors")))
+    own = analysis(t).groupBy("model_id", "section", "severity").agg(F.count("*").alias("rows"), F.sum("errors").alias("errors"))
+    return own.unionByName(tax.select(F.lit("all").alias("model_id"), F.lit("taxonomy").alias("section"), F.col("measurability").alias("severity"), "rows", F.lit(0).cast("long").alias("errors")))
 
 
 def flat_sql(ids: str, key: str) -> str:
@@ -295,9 +298,11 @@ def _(t):
     return present.select("sample_id", F.array_join(F.array_sort(gone), ",").alias("missing")).where("missing <> ''")
 
 
-@query("u05_covered_classes", f"SELECT r.label, EXISTS (SELECT 1 FROM ({LABEL_PAIRS}) h JOIN orders ON o_orderkey = h.sample_id WHERE h.label = r.label AND o_orderpriority = '1-URGENT') AS covered FROM (VALUES ('A'), ('R'), ('X')) AS r(label)")
+@query("u05_covered_classes", f"""SELECT o.o_orderpriority AS subset, r.label, EXISTS (SELECT 1 FROM ({LABEL_PAIRS}) h JOIN orders i ON i.o_orderkey = h.sample_id WHERE h.label = r.label AND i.o_orderpriority = o.o_orderpriority) AS covered
+ FROM (SELECT DISTINCT o_orderpriority FROM orders) o CROSS JOIN (VALUES ('A'), ('R'), ('X')) AS r(label)""")
 def _(t):
-    chosen = t.orders.where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("l_orderkey"))
-    seen = t.lineitem.join(chosen, "l_orderkey", "left_semi").select(F.col("l_returnflag").alias("label")).distinct().withColumn("covered", F.lit(True))
-    need = t.spark.createDataFrame([("A",), ("R",), ("X",)], "label string")
-    return need.join(seen, "label", "left").withColumn("covered", F.coalesce("covered", F.lit(False)))
+    """The orders of each priority as a subset."""
+    chosen = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderpriority").alias("subset"))
+    seen = t.lineitem.select("l_orderkey", F.col("l_returnflag").alias("label")).join(chosen, "l_orderkey").select("subset", "label").distinct().withColumn("covered", F.lit(True))
+    need = chosen.select("subset").distinct().crossJoin(F.broadcast(t.spark.createDataFrame([("A",), ("R",), ("X",)], "label string")))
+    return need.join(seen, ["subset", "label"], "left").withColumn("covered", F.coalesce("covered", F.lit(False)))

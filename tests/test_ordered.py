@@ -19,7 +19,7 @@ def test_positions_of_ids_that_begin_alike(spark):
     order = R.canonical_order()
     most = O.arranged(ids, order, parts).groupBy("_part").count().agg(F.max("count")).first()[0]
     assert most <= n // 100
-    ranked = R.rank_samples(ids, parts)
+    ranked = R.rank_samples(ids, partitions=parts)
     assert ranked.where(F.col("rank") != F.substring("sample_id", 15, 9).cast("int") + 1).count() == 0 and ranked.count() == n
 
 
@@ -32,6 +32,16 @@ def test_positions_split_equal_rows(spark):
     assert O.with_positions(df.limit(0), [F.col("x")]).count() == 0
 
 
+def test_positions_of_each_key(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice([None, "a", "b", "b", "b"]), rng.randint(0, 30), i) for i in range(2000)]
+    got = O.with_positions(spark.createDataFrame(rows, "k string, x int, i int"), [F.col("x").desc(), F.col("i")], partitions=9, by=["k"])
+    want, seen = {}, {}
+    for k, x, i in sorted(rows, key=lambda r: (-r[1], r[2])):
+        want[i] = seen[k] = seen.get(k, 0) + 1
+    assert {r.i: r["rank"] for r in got.collect()} == want
+
+
 @pytest.mark.parametrize("parts", [1, 7])
 def test_prefix_sums_equal_a_loop(spark, parts):
     rng = random.Random(3)
