@@ -51,6 +51,16 @@ def normalize(x: Column, mode: str, stats: dict[str, Column] | None = None, fill
     return F.coalesce(out, F.lit(fill))
 
 
+def ndsi(green: Column, swir: Column) -> Column:
+    """The normalised difference snow index; null where either is missing or both sum to zero."""
+    return F.try_divide(finite(green) - finite(swir), finite(green) + finite(swir))
+
+
+def cirrus(band: Column, threshold: float = 0.01) -> Column:
+    """Whether the cirrus band tells of thin cloud; null where it is missing."""
+    return finite(band) >= threshold
+
+
 def window_origin(transform: Column, row: Column, col: Column) -> Column:
     """The affine transform (a, b, c, d, e, f) of a window at a row and column of its parent."""
     t = [F.element_at(transform, i) for i in range(1, 7)]

@@ -150,6 +150,12 @@ def _(t):
     return t.pixels.join(q, "scene").select("sample_id", "row_px", "col_px", *[X.r6(color(b)).alias(c) for c, b in _RGB.items()])
 
 
+@query("p34_spectral_indices", "SELECT sample_id, row_px, col_px, round((b0 - b1 / 1000) / nullif(b0 + b1 / 1000, 0), 6) AS ndsi, b2 >= 0.05 AS cirrus FROM pixels")
+def _(t):
+    b = t.pixels
+    return b.select("sample_id", "row_px", "col_px", X.r6(X.ndsi(F.col("b0"), F.col("b1") / 1000)).alias("ndsi"), X.cirrus(F.col("b2"), 0.05).alias("cirrus"))
+
+
 @query("p10_band_select", "SELECT sample_id, row_px, col_px, b2 AS red, b1 AS green, b0 AS blue, b3 AS nir FROM pixels")
 def _(t):
     bands = F.array(*BANDS)

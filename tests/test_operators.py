@@ -282,3 +282,10 @@ def test_required_present_turns_pending_into_failure(spark):
 
 def test_class_dimension(spark):
     assert classes(spark).count() == 4
+
+
+def test_spectral_indices(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(3.0, 1.0, 0.02), (0.0, 0.0, 0.0), (1.0, None, None), (nan, 1.0, nan), (-2.0, 2.0, 0.01)], "g double, s double, c double")
+    got = [tuple(r) for r in df.select(X.ndsi(F.col("g"), F.col("s")), X.cirrus(F.col("c"))).collect()]
+    assert got == [(0.5, True), (None, False), (None, None), (None, None), (None, True)]
