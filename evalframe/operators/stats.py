@@ -33,15 +33,17 @@ def _with(rows: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(named, on).drop(*[f"_r_{k}" for k in keys])
 
 
-def order_key(x: Column) -> Column:
-    """A whole number for each finite double, in the same order: its bits, with those of negative numbers negated."""
-    size = F.abs(x)
-    near = F.greatest(F.floor(F.log2(size)), F.lit(-1022)).cast("long")
-    # the logarithm may be off by one next to a power of two; dividing by a power of two is exact
-    e = F.greatest(F.when(size < F.pow(F.lit(2.0), near), near - 1).when(size / F.pow(F.lit(2.0), near) >= 2, near + 1).otherwise(near), F.lit(-1022))
-    m = size / F.pow(F.lit(2.0), e)  # under 1 for the smallest numbers alone
-    bits = F.when(m >= 1, (e + 1023) * F.lit(1 << 52) + ((m - 1) * F.lit(2.0**52)).cast("long")).otherwise((m * F.lit(2.0**52)).cast("long"))
-    return F.when(x == 0, F.lit(0).cast("long")).when(x < 0, -bits).otherwise(bits)
+def with_order_key(rows: DataFrame, x: str, name: str) -> DataFrame:
+    """Adds a whole number for each finite double, in the same order: its bits, those of negative numbers negated."""
+    size, e, p = F.abs(x), F.col("_e"), F.lit(2.0)
+    # the logarithm may be off by one next to a power of two; dividing by a power of two is exact. Each step is a column, so
+    # that none is computed twice
+    rows = rows.withColumn("_e", F.least(F.greatest(F.floor(F.log2(size)), F.lit(-1022)), F.lit(1023))).withColumn("_m", size / F.pow(p, e))
+    under, over = (F.col("_m") < 1) & (e > -1022), F.col("_m") >= 2
+    rows = rows.withColumns({"_e": F.when(under, e - 1).when(over, e + 1).otherwise(e), "_m": F.when(under, F.col("_m") * 2).when(over, F.col("_m") / 2).otherwise(F.col("_m"))})
+    # the smallest numbers alone are under 1 here
+    rows = rows.withColumn("_e", F.when(F.col("_m") >= 1, (e + 1023) * F.lit(1 << 52) + ((F.col("_m") - 1) * F.lit(2.0**52)).cast("long")).otherwise((F.col("_m") * F.lit(2.0**52)).cast("long")))
+    return rows.withColumn(name, F.when(F.col(x) == 0, F.lit(0).cast("long")).when(F.col(x) < 0, -e).otherwise(e)).drop("_e", "_m")
 
 
 def _descend(rows: DataFrame, wanted: DataFrame, keys: list[str], shift: int) -> DataFrame:
@@ -63,7 +65,7 @@ def exact_percentiles(rows: DataFrame, keys: list[str], column: str, points: lis
     they are spread, no task holds more of a group than 2**13 counts or the values of these cells.
     """
     x = finite(F.col(column).cast("double"))
-    known = rows.select(*keys, x.alias("_x")).where("_x is not null").withColumn("_k", order_key(F.col("_x")))
+    known = with_order_key(rows.select(*keys, x.alias("_x")).where("_x is not null"), "_x", "_k")
     counts = checkpointed(known.groupBy(*keys, F.shiftright("_k", SHIFTS[0]).alias("_cell")).agg(F.count("*").alias("_n")))
     group = [F.col(k) for k in keys] or [F.lit(0)]
     before = Window.partitionBy(*group).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)  # at most 2**12 cells

@@ -26,7 +26,7 @@ def test_keys_are_the_bits(spark):
     xs += [struct.unpack("<d", struct.pack("<q", rng.getrandbits(62)))[0] for _ in range(3000)]
     xs = [x for x in xs if np.isfinite(x)]
     xs += [-x for x in xs]
-    got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", S.order_key(F.col("x")).alias("k")).collect()
+    got = S.with_order_key(spark.createDataFrame([(x,) for x in xs], "x double"), "x", "k").collect()
     assert [r.k for r in got] == [bits(r.x) for r in got]
 
 
@@ -38,7 +38,7 @@ def test_heavy_tails_keep_cells_small(spark):
     got = S.exact_percentiles(df, ["k"], "x", points, direct=500).first().q
     assert np.allclose(got, np.quantile(own, points), rtol=1e-12)
     # the cells that are looked into one by one hold few values, though all but one lie in 1e-9 of the range
-    known = df.select("k", F.col("x").alias("_x"), S.order_key(F.col("x")).alias("_k"))
+    known = S.with_order_key(df.select("k", F.col("x").alias("_x")), "_x", "_k")
     exponent = known.groupBy("k", F.shiftright("_k", 52).alias("_cell")).agg(F.count("*").alias("_n")).orderBy(F.desc("_n")).limit(1).withColumns({"_i": F.lit(0), "_rank": F.lit(1000).cast("long")})
     finer = S._descend(known.withColumn("_cell", F.shiftright("_k", 52)), exponent, ["k"], 39).first()
     assert exponent.first()._n > 400_000 and finer._n < 500
