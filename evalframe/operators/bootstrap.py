@@ -52,12 +52,18 @@ def replicated_confusion(rows: DataFrame, keys: list[str], sample: str = "sample
     return drawn.groupBy(*keys, "replicate", "true_class", "pred_class").agg(F.sum(F.col("n") * F.col("weight")).alias("n"))
 
 
+def _mean(column: str) -> Column:
+    """The mean over classes of what is not null, added up in the order of classes, so that its last digit is always the same."""
+    values = F.filter(F.transform(F.array_sort(F.collect_list(F.struct("class_index", column))), lambda s: s[column]), lambda v: v.isNotNull())
+    return F.try_divide(F.aggregate(values, F.lit(0.0), lambda a, v: a + v), F.size(values))
+
+
 def _long(table: DataFrame, keys: list[str], classes: DataFrame) -> DataFrame:
     """(*keys, class_name, metric, value) of all class metrics, and accuracy and macro means as those of class ``__all__``."""
     m = C.class_metrics(C.class_counts(table, keys, classes))
     pairs = lambda names: F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in names])).alias("m")
     each = m.select(*keys, "class_name", pairs(C.METRICS)).select(*keys, "class_name", "m.*")
-    macro = m.groupBy(*keys).agg(*[F.avg(c).alias(c) for c in C.METRICS]).join(C.pixel_accuracy(table, keys), keys)
+    macro = m.groupBy(*keys).agg(*[_mean(c).alias(c) for c in C.METRICS]).join(C.pixel_accuracy(table, keys), keys)
     whole = macro.select(*keys, F.lit("__all__").alias("class_name"), pairs([*C.METRICS, "accuracy"])).select(*keys, "class_name", "m.*")
     return each.unionByName(whole)
 

@@ -124,6 +124,18 @@ def hard_examples(failures: DataFrame, k: int, focus: str, multiclass: bool = Tr
     return reduce(lambda a, b: a.unionByName(b), lists)
 
 
-def measurability(spark, only: str | None = None) -> DataFrame:
-    table = spark.createDataFrame(list(TAXONOMY), "category string, measurability string")
+def measurability(spark, only: str | None = None, masks: bool = False, probabilities: bool = False) -> DataFrame:
+    """The categories and whether they can be measured: by class maps alone, with ``masks`` (pixels that have places), with ``probabilities``."""
+    known = {"deferred": masks, "not_measurable": probabilities}
+    table = spark.createDataFrame([(c, "measurable" if known.get(m) else m) for c, m in TAXONOMY], "category string, measurability string")
     return table if only is None else table.where(F.col("measurability") == only)
+
+
+def measured_counts(samples: DataFrame, spatial: DataFrame, confidence: DataFrame) -> DataFrame:
+    """(category, cases) of all categories: failing samples of ``sample_failures``, images of ``spatial_failures``, rows of ``confidence_errors``."""
+    by = lambda rows: rows.select(F.explode("categories").alias("category")).groupBy("category").agg(F.count("*").alias("cases"))
+    kinds = ("high_confidence_error", "low_confidence_error")
+    sums = confidence.select(F.explode(F.array(*[F.struct(F.lit(k).alias("category"), F.col(k).alias("cases")) for k in kinds])).alias("k")).groupBy("k.category").agg(F.sum("k.cases").alias("cases"))
+    found = by(samples).unionByName(by(spatial)).unionByName(sums)
+    every = measurability(samples.sparkSession, "measurable", masks=True, probabilities=True)
+    return every.join(F.broadcast(found), "category", "left").select("category", F.coalesce("cases", F.lit(0)).alias("cases"))  # a row for each category

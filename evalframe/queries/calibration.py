@@ -6,7 +6,12 @@ from pyspark.sql import functions as F
 
 from evalframe.functions.exprs import r6
 from evalframe.operators import calibration as K
+from evalframe.functions.vocab import TAXONOMY, values_sql
+from evalframe.operators import failures as E
+from evalframe.operators import objects as O
+from evalframe.queries.failures import CATEGORIES, FAIL, fails
 from evalframe.queries.fixtures import query
+from evalframe.queries.objects import OBJECTS, SPATIAL, objects
 
 #: The temperature at which the given vectors, taken as logits, give confidences over all bins.
 T, HIGH, LOW = 0.1, 0.7, 0.3
@@ -57,3 +62,11 @@ def _(t):
 @query("p33_confidence_errors", f"SELECT label, count(*) AS n, count(CASE WHEN NOT correct THEN 1 END) AS errors, count(CASE WHEN NOT correct AND confidence >= {HIGH} THEN 1 END) AS high_confidence_error, count(CASE WHEN NOT correct AND confidence < {LOW} THEN 1 END) AS low_confidence_error FROM ({CONFIDENT}) GROUP BY ALL")
 def _(t):
     return K.confidence_errors(confident(t), ["label"], HIGH, LOW)
+
+
+@query("p35_measured_taxonomy", f"""WITH RECURSIVE {OBJECTS}, {SPATIAL}, found AS (SELECT unnest(string_split({CATEGORIES}, ',')) AS category, 1 AS n FROM ({FAIL})
+ UNION ALL SELECT 'edge_error', 1 FROM sums WHERE edge_errors > 0 UNION ALL SELECT 'small_object_failure', 1 FROM sums WHERE small_failures > 0
+ UNION ALL SELECT 'high_confidence_error', 1 FROM ({CONFIDENT}) WHERE NOT correct AND confidence >= {HIGH} UNION ALL SELECT 'low_confidence_error', 1 FROM ({CONFIDENT}) WHERE NOT correct AND confidence < {LOW})
+ SELECT v.category, count(f.n) AS cases FROM {values_sql(TAXONOMY, 'category, measurability')} LEFT JOIN found f ON f.category = v.category GROUP BY ALL""")
+def _(t):
+    return E.measured_counts(fails(t, None), O.spatial_failures(objects(t)), K.confidence_errors(confident(t), [], HIGH, LOW))

@@ -32,8 +32,11 @@ def _(t):
     return objects(t)
 
 
-@query("p32_spatial_failures", f"""WITH RECURSIVE {OBJECTS}, sums AS (SELECT image_id, CAST(sum(wrong_pixels) AS BIGINT) AS errors, CAST(sum(edge_errors) AS BIGINT) AS edge_errors, count(CASE WHEN small THEN 1 END) AS small_objects,
- count(CASE WHEN small AND wrong_pixels >= 0.5 * pixels THEN 1 END) AS small_failures FROM (SELECT *, class_index <> 0 AND pixels <= {O.SMALL_PIXELS} AS small FROM objects) GROUP BY ALL)
+SPATIAL = f"""sums AS (SELECT image_id, CAST(sum(wrong_pixels) AS BIGINT) AS errors, CAST(sum(edge_errors) AS BIGINT) AS edge_errors, count(CASE WHEN small THEN 1 END) AS small_objects,
+ count(CASE WHEN small AND wrong_pixels >= 0.5 * pixels THEN 1 END) AS small_failures FROM (SELECT *, class_index <> 0 AND pixels <= {O.SMALL_PIXELS} AS small FROM objects) GROUP BY ALL)"""
+
+
+@query("p32_spatial_failures", f"""WITH RECURSIVE {OBJECTS}, {SPATIAL}
  SELECT *, concat_ws(',', CASE WHEN edge_errors > 0 THEN 'edge_error' END, CASE WHEN small_failures > 0 THEN 'small_object_failure' END) AS categories FROM sums""")
 def _(t):
     return O.spatial_failures(objects(t)).withColumn("categories", F.array_join("categories", ","))

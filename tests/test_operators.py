@@ -12,6 +12,7 @@ from evalframe.functions.vocab import classes
 from evalframe.operators import augment as A
 from evalframe.operators import compare as M
 from evalframe.operators import confusion as C
+from evalframe.operators import failures as E
 from evalframe.operators import quality as Q
 from evalframe.operators import ranking as R
 from evalframe.operators import stats as S
@@ -289,3 +290,14 @@ def test_spectral_indices(spark):
     df = spark.createDataFrame([(3.0, 1.0, 0.02), (0.0, 0.0, 0.0), (1.0, None, None), (nan, 1.0, nan), (-2.0, 2.0, 0.01)], "g double, s double, c double")
     got = [tuple(r) for r in df.select(X.ndsi(F.col("g"), F.col("s")), X.cirrus(F.col("c"))).collect()]
     assert got == [(0.5, True), (None, False), (None, None), (None, None), (None, True)]
+
+
+def test_all_categories_can_be_measured(spark):
+    kinds = {r.category: r.measurability for r in E.measurability(spark).collect()}
+    assert kinds["edge_error"] == "deferred" and kinds["low_confidence_error"] == "not_measurable"
+    assert E.measurability(spark, "measurable", masks=True).count() == 9 and E.measurability(spark, "measurable", probabilities=True).count() == 9
+    a = spark.createDataFrame([(["false_positive", "thin_cloud_failure"],), (["false_positive"],), ([],)], "categories array<string>")
+    b = spark.createDataFrame([(["edge_error"],)], "categories array<string>")
+    c = spark.createDataFrame([(3, 0), (1, 0)], "high_confidence_error long, low_confidence_error long")
+    got = {r.category: r.cases for r in E.measured_counts(a, b, c).collect()}
+    assert len(got) == 11 and {k: v for k, v in got.items() if v} == {"false_positive": 2, "thin_cloud_failure": 1, "edge_error": 1, "high_confidence_error": 4}

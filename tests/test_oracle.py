@@ -17,7 +17,7 @@ def con():
 
 def test_all_have_sql():
     assert sorted(FOUND) == sorted(SQL)
-    assert len(FOUND) == 182
+    assert len(FOUND) == 183
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
