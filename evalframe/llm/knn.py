@@ -8,7 +8,8 @@ far. Only then a query is sent to other groups, to those whose bound reaches
 its threshold, and there only vectors far enough from the pivot are scored:
 q.p + |q| * |x - p| must reach it too. Groups are cut into blocks by hash, and the
 queries of a group into chunks, so that one that a third of all vectors share is
-spread over many tasks. Each block answers with its own best k for each query, and
+spread over many tasks. Chunks are of all queries that search a group, whatever their own: a vector is
+shuffled once for each 2,048 of these. Each block answers with its own best k for each query, and
 the best k of these are the result: a limit in groups, which Spark applies before
 it shuffles answers.
 """
@@ -134,6 +135,12 @@ def _search(k: int, pivots: dict[int, np.ndarray]):
     return run
 
 
+def _sizes(sent: DataFrame, summary: DataFrame, chunk_rows: int) -> DataFrame:
+    """(dim, cell, blocks, chunks) of the cells that queries are sent to: each of a cell's vectors is shuffled ``chunks`` times."""
+    chunks = sent.groupBy("dim", "cell").agg(F.ceil(F.count("*") / chunk_rows).cast("long").alias("chunks"))
+    return summary.select("dim", "cell", "blocks").join(chunks, ["dim", "cell"])
+
+
 def _best(found: DataFrame, k: int) -> DataFrame:
     """The best k answers of each query with their ranks."""
     w = Window.partitionBy("q_key").orderBy(F.col("score").desc(), "vec_id")
@@ -157,19 +164,18 @@ def top_k(table: DataFrame, k: int = 10, every: int = 100, pivots: int = PIVOTS,
     summary = cut(summary.withColumn("blocks", F.ceil(F.col("n") / block_rows).cast("long")))
     blocked = data.join(summary.select("dim", "cell", "blocks"), ["dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("vec_id", "v", "copy"), F.col("blocks"))).drop("blocks")
     queries = data.where(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("q_id"), F.col("v").alias("q"), F.col("copy").alias("q_copy"), "dim", F.col("cell").alias("home"))
-    queries = queries.withColumn("q_key", F.concat_ws("/", "q_id", "q_copy", F.sha2(F.to_json("q"), 256)))
-    # queries of one group go together, in chunks
-    chunks = queries.groupBy("dim", "home").agg(F.ceil(F.count("*") / chunk_rows).cast("long").alias("chunks"))
-    queries = cut(queries.join(chunks, ["dim", "home"]).withColumn("chunk", F.concat_ws("/", "home", F.pmod(F.xxhash64("q_key"), F.col("chunks")))).drop("chunks"))
+    queries = cut(queries.withColumn("q_key", F.concat_ws("/", "q_id", "q_copy", F.sha2(F.to_json("q"), 256))))
     answer = _search(k, centres)
     schema = "q_id long, q_key string, vec_id long, score long"
 
     def search(sent: DataFrame) -> DataFrame:
-        """Queries with their cell go to all blocks of it, and a block to all chunks with a query for it."""
-        to = sent.join(summary.select("dim", "cell", "blocks"), ["dim", "cell"]).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        """Queries with their cell go to all blocks of it. Those of one cell go together, in chunks, and a block once to each chunk."""
+        sizes = cut(_sizes(sent, summary, chunk_rows))
+        upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        to = sent.join(sizes, ["dim", "cell"]).withColumn("chunk", F.pmod(F.xxhash64("q_key"), F.col("chunks"))).withColumn("block", upto("blocks"))
         keys = ["dim", "cell", "block", "chunk"]
         left = to.select(*[F.col(c).alias(f"to_{c}") for c in keys], "q_id", "q_copy", "q_key", "q", "least")
-        right = blocked.join(sent.select("dim", "cell", "chunk").distinct(), ["dim", "cell"]).select(*keys, "vec_id", "copy", "v", "far")
+        right = blocked.join(sizes.select("dim", "cell", "chunks"), ["dim", "cell"]).withColumn("chunk", upto("chunks")).select(*keys, "vec_id", "copy", "v", "far")
         return left.groupBy(*[f"to_{c}" for c in keys]).cogroup(right.groupBy(*keys)).applyInArrow(answer, schema)
 
     home = cut(_best(search(queries.withColumn("cell", F.col("home")).withColumn("least", F.lit(float("-inf")))), k))

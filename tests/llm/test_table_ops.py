@@ -332,3 +332,11 @@ def test_nothing_else_imports_the_subpackage():
     for p in (top / "evalframe").rglob("*.py"):
         if "llm" not in p.parts:
             assert "llm" not in p.read_text()
+
+
+def test_vectors_are_shuffled_once_for_each_chunk_of_queries(spark):
+    # 300 queries of 30 groups are all sent to the cells 0 to 29: three chunks of at most 128 for each cell
+    sent = spark.range(9000).selectExpr("1L AS dim", "id % 30 AS cell", "id DIV 30 AS q")
+    summary = spark.range(40).selectExpr("1L AS dim", "id AS cell", "id + 1 AS blocks", "0.5D AS radius")
+    got = {r.cell: (r.blocks, r.chunks) for r in knn._sizes(sent, summary, 128).collect()}
+    assert got == {c: (c + 1, 3) for c in range(30)}
