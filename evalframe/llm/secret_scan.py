@@ -205,10 +205,31 @@ def compile_rules(rules: tuple[Rule, ...] = RULES) -> Automaton:
 
 
 PIECE = 512
+#: How often a block's pieces are run anew from a state that outlasts a whole piece.
+CARRIED = 8
+
+
+def _rerun(out: np.ndarray, code: np.ndarray, dfa: Automaton, start: np.ndarray, end: np.ndarray, state: np.ndarray) -> np.ndarray:
+    """Runs pieces from other states until each meets the state that is already there; which ones never did."""
+    live, at, state, never = np.arange(len(start)), start.copy(), state.copy(), np.zeros(len(start), bool)
+    while len(live):
+        here = at[live]
+        s = dfa.step[state[live] + code[here]]
+        met = out[here] == s
+        out[here] = state[live] = s
+        at[live] += 1
+        ended = at[live] >= end[live]
+        never[live[ended & ~met]] = True
+        live = live[~met & ~ended]
+    return never
 
 
 def scan_block(b: Block, dfa: Automaton) -> np.ndarray:
-    """The automaton's state after each byte of a block, texts beginning in the first one."""
+    """The automaton's state after each byte of a block, texts beginning in the first one.
+
+    Pieces begin behind bytes that reset every state. Where there is none for long, they are cut anyway, begun in the first
+    state, and their heads run anew from the true state until both agree, which they soon do but in a match that goes on.
+    """
     out = np.zeros(len(b.data), np.int32)
     if not len(b.data):
         return out
@@ -218,16 +239,33 @@ def scan_block(b: Block, dfa: Automaton) -> np.ndarray:
     start = np.unique(np.concatenate([b.start[b.end > b.start], behind[at[at < len(behind)]]]))
     start = start[start < len(b.data)]
     length = np.diff(np.append(start, len(b.data)))
+    cuts = np.maximum(1, length // (2 * PIECE))  # of pieces that are longer than most: parts of two to four pieces' length
+    sure = np.repeat(np.arange(len(start)), cuts)
+    part = np.arange(len(sure)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+    start, known = start[sure] + part * 2 * PIECE, part == 0
+    end = np.append(start[1:], len(b.data))
+    length = end - start
     order = np.argsort(-length, kind="stable")
-    start, length = start[order], length[order]
-    going = np.searchsorted(-length, -np.arange(length[0]), side="left")
-    state = np.zeros(len(start), np.int32)
-    at = start.copy()
+    going = np.searchsorted(-length[order], -np.arange(length.max()), side="left")
+    state, at = np.zeros(len(start), np.int32), start[order]
     for n in going.tolist():
         s = dfa.step[state[:n] + code[at[:n]]]
         state[:n] = s
         out[at[:n]] = s
         at[:n] += 1
+    cut, begun, carried = np.flatnonzero(~known), np.zeros(len(start), np.int32), 0
+    while len(wrong := cut[out[start[cut] - 1] != begun[cut]]):
+        begun[wrong] = out[start[wrong] - 1]
+        lost = wrong[_rerun(out, code, dfa, start[wrong], end[wrong], begun[wrong])]
+        if len(lost) and carried < CARRIED:
+            # such a state may last on: all that follows without a reset is run from it
+            carried += 1
+            lost = lost[np.unique(sure[lost], return_index=True)[1]]
+            until = np.searchsorted(sure, sure[lost], side="right")
+            n = until - lost - 1
+            after = np.repeat(lost + 1, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            begun[after] = np.repeat(out[end[lost] - 1], n)
+            _rerun(out, code, dfa, start[after], end[after], begun[after])
     return out
 
 

@@ -630,3 +630,38 @@ def test_kept_bytes_and_nothing(spark):
     docs = docs_of(spark, ["short", None, "é" * 300])
     assert [bytes(r.kept) for r in sorted(suffix_dedup.remove_repeats(docs, with_text=True).collect())][0] == b"short"
     assert suffix_dedup.remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_unbroken_texts_are_scanned_as_byte_by_byte():
+    """Texts without a byte that resets the automaton, with matches that begin and end anywhere in them."""
+    import pyarrow as pa
+
+    from evalframe.llm.textblocks import blocks
+
+    rng = random.Random(12)
+    pick = lambda a, n: "".join(rng.choices(a, k=n))
+    kinds = [
+        lambda n: pick("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", n), lambda n: pick("abcdefghijklmnopqrstuvwxyz", n), lambda n: pick("0123456789abcdef", n),
+        lambda n: "AKIA" + pick("ABCDEFGHIJ0123456789", n), lambda n: "token=" * (n // 500 + 1), lambda n: 'secret":', lambda n: "-" * n, lambda n: "é" * n,
+    ]
+    texts = [k(9000) for k in kinds] + ["token=" + k(9000) for k in kinds] + ["".join(rng.choice(kinds)(rng.randint(1, 2500)) for _ in range(30)) for _ in range(6)] + ["", "x", "a b"]
+    dfa = secret_scan.compile_rules(secret_scan.RULES)
+    step = dfa.step.tolist()
+    for b in blocks(pa.array(texts), 100_000):
+        code, starts, state, want = dfa.code[b.data].tolist(), set(b.start.tolist()), 0, []
+        for i, c in enumerate(code):
+            state = step[(0 if i in starts else state) + c]
+            want.append(state)
+        assert secret_scan.scan_block(b, dfa).tolist() == want
+
+
+def test_secrets_in_long_unbroken_texts(spark):
+    rng = random.Random(13)
+    blob = lambda n: "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=n))
+    texts = {1: "Token=" + blob(300_000), 2: blob(200_000) + "AKIA" + "Q" * 5000 + "a" + blob(70_000), 3: blob(5000) + ("0f" * 40_000) + "g" + blob(9000), 4: "x" * 2_000_000}
+    rules = {"assign": (r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 1, 8), "access": ("AKIA[A-Z0-9]+", 0, 16), "hex": ("[0-9a-f]+", 0, 32)}
+    got = {r.doc_id: r for r in secret_scan.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    for i, text in texts.items():
+        for kind, (pattern, group, least) in rules.items():
+            assert got[i][f"n_{kind}"] == sum(m.end(group) - m.start(group) >= least for m in re.finditer(pattern, text))
+    assert (got[1].n_assign, got[2].n_access, got[3].n_hex >= 1) == (1, 1, True)
