@@ -49,6 +49,6 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return [mark + n for n in names]
 
 
-def with_few(rows: DataFrame, few: DataFrame, key: str, how: str = "inner", limit: int = 20_000) -> DataFrame:
+def with_few(rows: DataFrame, few: DataFrame, key: str | list[str], how: str = "inner", limit: int = 20_000) -> DataFrame:
     """Joins rows to a written table of one row for each key: broadcast if it has at most ``limit`` rows, else as Spark sees fit."""
     return rows.join(F.broadcast(few) if few.limit(limit + 1).count() <= limit else few, key, how)

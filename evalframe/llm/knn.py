@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalframe.llm.common import cut
+from evalframe.llm.common import cut, with_few
 
 #: Pivots at most; the sample they come from is this many distinct vectors, by hash order.
 PIVOTS = 64
@@ -162,7 +162,6 @@ def top_k(table: DataFrame, k: int = 10, every: int = 100, pivots: int = PIVOTS,
     # at most ``pivots`` groups for each number of dimensions in the sample, and one for each other
     summary = data.groupBy("dim", "cell").agg(F.max("far").alias("radius"), F.count("*").alias("n"))
     summary = cut(summary.withColumn("blocks", F.ceil(F.col("n") / block_rows).cast("long")))
-    blocked = data.join(summary.select("dim", "cell", "blocks"), ["dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("vec_id", "v", "copy"), F.col("blocks"))).drop("blocks")
     queries = data.where(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("q_id"), F.col("v").alias("q"), F.col("copy").alias("q_copy"), "dim", F.col("cell").alias("home"))
     queries = cut(queries.withColumn("q_key", F.concat_ws("/", "q_id", "q_copy", F.sha2(F.to_json("q"), 256))))
     answer = _search(k, centres)
@@ -172,10 +171,11 @@ def top_k(table: DataFrame, k: int = 10, every: int = 100, pivots: int = PIVOTS,
         """Queries with their cell go to all blocks of it. Those of one cell go together, in chunks, and a block once to each chunk."""
         sizes = cut(_sizes(sent, summary, chunk_rows))
         upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-        to = sent.join(sizes, ["dim", "cell"]).withColumn("chunk", F.pmod(F.xxhash64("q_key"), F.col("chunks"))).withColumn("block", upto("blocks"))
+        to = with_few(sent, sizes, ["dim", "cell"]).withColumn("chunk", F.pmod(F.xxhash64("q_key"), F.col("chunks"))).withColumn("block", upto("blocks"))
         keys = ["dim", "cell", "block", "chunk"]
         left = to.select(*[F.col(c).alias(f"to_{c}") for c in keys], "q_id", "q_copy", "q_key", "q", "least")
-        right = blocked.join(sizes.select("dim", "cell", "chunks"), ["dim", "cell"]).withColumn("chunk", upto("chunks")).select(*keys, "vec_id", "copy", "v", "far")
+        own = with_few(data, sizes, ["dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("vec_id", "v", "copy"), F.col("blocks")))
+        right = own.withColumn("chunk", upto("chunks")).select(*keys, "vec_id", "copy", "v", "far")
         return left.groupBy(*[f"to_{c}" for c in keys]).cogroup(right.groupBy(*keys)).applyInArrow(answer, schema)
 
     home = cut(_best(search(queries.withColumn("cell", F.col("home")).withColumn("least", F.lit(float("-inf")))), k))
