@@ -108,3 +108,14 @@ def test_paired_intervals(spark, rows):
         assert np.allclose([got[key].low, got[key].high], np.quantile(values, [0.025, 0.975]), atol=1e-12) and got[key].defined == len(values)
     assert got["__all__", "accuracy"].low < got["__all__", "accuracy"].delta < got["__all__", "accuracy"].high
     assert B.metric_intervals(spark.createDataFrame([], ROWS), ["model_id"], "group_id", classes(spark), replicates=8).count() == 0
+
+
+def test_sums_of_many_replicates_beside_the_rows_as_they_are(spark, rows):
+    replicates = B.PER_ROW * B.PER_DIGEST + 3  # a second wide row, of which not all sums are asked for
+    got = {tuple(r[:-1]): r.n for r in B.replicated_confusion(spark.createDataFrame(rows, ROWS), ["model_id"], replicates=replicates).collect()}
+    want = Counter()
+    for m, _, s, t, p in rows:
+        want[m, -1, t, p] += 1
+        for i in range(replicates):
+            want[m, i, t, p] += weight(s, i)
+    assert got == {k: n for k, n in want.items() if n}
