@@ -92,3 +92,19 @@ def test_auc_equals_all_pairs(spark):
     assert got[7].auc is None and got[9].auc is None and 8 not in got
     df = spark.createDataFrame([(1, [0.1, 0.9], 1), (2, [0.8, 0.2], 0), (3, [0.4, 0.6], 0)], "i int, logits array<double>, label int")
     assert {r.class_index: r.auc for r in K.auc(K.class_scores(df), ["class_index"], "score", "positive").collect()} == {0: 1.0, 1: 1.0}
+
+
+def test_rows_that_share_a_key_stay_spread(spark):
+    off = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "40"}
+    before = {k: spark.conf.get(k) for k in off}
+    try:
+        for k, v in off.items():
+            spark.conf.set(k, v)
+        df = spark.range(4000).select(F.lit("one").alias("k"), F.col("id").alias("x"))
+        got = O.with_positions(df, [F.col("x")], partitions=40, by=["k"])
+        tasks = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(tasks) == 4000 and max(tasks) < 1000  # all 4,000 met in one task when they were joined by key
+        assert got.where("rank <> x + 1").count() == 0
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
