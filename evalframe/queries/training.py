@@ -106,8 +106,9 @@ def _(t):
     return ST.standing_checkpoints(ST.drain(ST.stream_best_checkpoints(log), path))
 
 
-#: A run is five days of one user: it ends when nothing has come for as long; records may be a day late.
+#: A run is five days of one user: it ends when nothing has come for as long; records may be a day late. Runs share calls by shard.
 IDLE_DAYS, DELAY_DAYS = 5, 1
+RUN_SHARDS = 2048
 _DAY = 86_400_000
 
 
@@ -117,7 +118,7 @@ def _(t):
     t.run_log.write.parquet(f"{path}/log")
     log = t.spark.readStream.schema(t.run_log.schema).parquet(f"{path}/log")
     with SF.state_store(t.spark):
-        out = SF.drain_updates(SF.stream_stops(log, PATIENCE, DELTA, f"{DELAY_DAYS} day", IDLE_DAYS * _DAY), path)
+        out = SF.drain_updates(SF.stream_stops(log, PATIENCE, DELTA, f"{DELAY_DAYS} day", IDLE_DAYS * _DAY, RUN_SHARDS), path)
     return SF.last_states(out)
 
 

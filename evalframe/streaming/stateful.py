@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 _PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 RUNS = "run_id long, best double, wait int, stop_epoch int, epochs int, final boolean"
+_FOLD = {"run_id": "long", "best": "double", "wait": "int", "stop": "int", "next": "int", "epochs": "int", "until": "long", "early": "int"}
 
 
 @contextmanager
@@ -35,7 +36,8 @@ class EarlyStopping(StatefulProcessor):
 
     State of a run: the fold so far, and only those epochs that came before one that is still missing. A run ends when
     no record has come for ``idle`` milliseconds of event time: its row is put out as final, with epochs behind a gap
-    folded as they are, and its state is cleared.
+    folded as they are, and its state is cleared. A call costs milliseconds, and so does what is asked of the state, thus
+    a key may stand for many runs: their folds are one list, and one timer waits for the first of them to end.
     """
 
     def __init__(self, patience: int, min_delta: float, idle: int):
@@ -43,63 +45,91 @@ class EarlyStopping(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.fold = handle.getValueState("fold", "best double, wait int, stop int, next int, epochs int, until long")
-        self.early = handle.getMapState("early", "epoch int", "value double")
-
-    def _step(self, state: list, epoch: int, value: float | None) -> None:
-        best, wait, stop = state[:3]
-        if stop < 0:
-            if value is not None and value < best - self.min_delta:
-                state[:2] = value, 0
-            else:
-                state[1] = wait + 1
-                state[2] = epoch if wait + 1 >= self.patience else -1
-        state[3], state[4] = epoch + 1, state[4] + 1
+        self.folds = handle.getListState("fold", ", ".join(f"{c} {kind}" for c, kind in _FOLD.items()))
+        self.early = handle.getMapState("early", "run_id long, epoch int", "value double")
 
-    def _row(self, key: tuple, state: list, final: bool) -> pd.DataFrame:
-        return pd.DataFrame({"run_id": [key[0]], "best": [state[0]], "wait": pd.array([state[1]], "int32"), "stop_epoch": pd.array([state[2]], "int32"), "epochs": pd.array([state[4]], "int32"), "final": [final]})
+    def _step(self, fold: dict, epoch: int, value: float | None) -> None:
+        if fold["stop"] < 0:
+            if value is not None and value < fold["best"] - self.min_delta:
+                fold["best"], fold["wait"] = value, 0
+            else:
+                fold["wait"] += 1
+                fold["stop"] = epoch if fold["wait"] >= self.patience else -1
+        fold["next"], fold["epochs"] = epoch + 1, fold["epochs"] + 1
+
+    def _add(self, fold: dict, epoch: int, value: float | None) -> None:
+        """``early`` counts the run's early epochs, so that the state is asked for them only where there are any."""
+        run = fold["run_id"]
+        if epoch > fold["next"] and not (fold["early"] and self.early.containsKey((run, epoch))):
+            self.early.updateValue((run, epoch), (value,))
+            fold["early"] += 1
+        elif epoch == fold["next"]:
+            self._step(fold, epoch, value)
+            while fold["early"] and self.early.containsKey(at := (run, fold["next"])):
+                self._step(fold, at[1], self.early.getValue(at)[0])
+                self.early.removeKey(at)
+                fold["early"] -= 1
+
+    def _stored(self) -> dict[int, dict]:
+        return {f[0]: dict(zip(_FOLD, f)) for f in self.folds.get()}
+
+    def _store(self, folds: list[dict], timer: int | None) -> None:
+        """Keeps the folds, and a timer for the first of them in place of the given one."""
+        if not folds:
+            self.folds.clear()
+            return
+        self.folds.put([tuple(f.values()) for f in folds])
+        first = min(f["until"] for f in folds)
+        if first != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(first)
+
+    def _rows(self, folds: list[dict], final: bool) -> pd.DataFrame:
+        out = pd.DataFrame(folds, columns=list(_FOLD)).rename(columns={"stop": "stop_epoch"})
+        return out[["run_id", "best", "wait", "stop_epoch", "epochs"]].astype({"wait": "int32", "stop_epoch": "int32", "epochs": "int32"}).assign(final=final)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state = list(self.fold.get()) if self.fold.exists() else [float("inf"), 0, -1, 0, 0, 0]
-        new = pd.concat(list(rows))
-        last = max(state[5], int(new["at"].max()) + self.idle)
-        new = new.dropna(subset=["epoch"]).drop_duplicates("epoch").sort_values("epoch")
-        for epoch, value in zip(new["epoch"].astype(int), new["value"]):
-            value = None if pd.isna(value) else float(value)
-            if epoch > state[3] and not self.early.containsKey((epoch,)):
-                self.early.updateValue((epoch,), (value,))
-            elif epoch == state[3]:
-                self._step(state, epoch, value)
-                while self.early.containsKey(at := (state[3],)):
-                    self._step(state, at[0], self.early.getValue(at)[0])
-                    self.early.removeKey(at)
-        if last != state[5]:
-            if state[5]:
-                self.handle.deleteTimer(state[5])
-            self.handle.registerTimer(last)
-            state[5] = last
-        self.fold.update(tuple(state))
-        yield self._row(key, state, False)
+        folds = self._stored()
+        timer = min((f["until"] for f in folds.values()), default=None)
+        new = pd.concat([r[r["known"]] for r in rows])
+        if new.empty:
+            return
+        last = new.groupby("run_id")["at"].max()
+        for run, at in zip(last.index.tolist(), last.tolist()):
+            fold = folds.setdefault(run, dict(zip(_FOLD, (run, float("inf"), 0, -1, 0, 0, at + self.idle, 0))))
+            fold["until"] = max(fold["until"], at + self.idle)
+        new = new.dropna(subset=["epoch"]).drop_duplicates(["run_id", "epoch"]).sort_values(["run_id", "epoch"])
+        for run, epoch, value in zip(new["run_id"].tolist(), new["epoch"].astype(int).tolist(), new["value"].astype(float).tolist()):
+            self._add(folds[run], epoch, None if value != value else value)
+        self._store(list(folds.values()), timer)
+        yield self._rows([folds[run] for run in last.index.tolist()], False)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        state = list(self.fold.get())
-        for epoch, value in sorted((k[0], v[0]) for k, v in self.early.iterator()):
-            self._step(state, epoch, value)
-        self.early.clear()
-        self.fold.clear()
-        yield self._row(key, state, True)
-
-
-def stream_stops(log: DataFrame, patience: int, min_delta: float = 0.0, delay: str = "1 hour", idle_ms: int = 3_600_000) -> DataFrame:
+        folds, now = self._stored(), timerValues.getCurrentWatermarkInMs()
+        ended = {run: f for run, f in folds.items() if f["until"] <= now}  # as timers expire
+        left = [f for run, f in folds.items() if run not in ended]
+        if any(f["early"] for f in ended.values()):
+            gone = sorted((*k, v[0]) for k, v in self.early.iterator() if k[0] in ended)
+            for run, epoch, value in gone:
+                self._step(ended[run], epoch, value)
+                self.early.removeKey((run, epoch))
+        self._store(left, None)
+        yield self._rows(list(ended.values()), True)
+
+
+def stream_stops(log: DataFrame, patience: int, min_delta: float = 0.0, delay: str = "1 hour", idle_ms: int = 3_600_000, shards: int | None = None) -> DataFrame:
     """(run_id, best, wait, stop_epoch, epochs, final): each run's state after each micro-batch, and once more when it ends.
 
-    ``log``: run_id, epoch (from 0), value, ts (a timestamp; records without one go). Records up to ``delay`` late count as if in time; later ones
+    ``log``: run_id, epoch (from 0), value, ts (a timestamp; records without a time or a run go). Records up to ``delay`` late count as if in time; later ones
     may be dropped. Of a repeated epoch the first value that comes stands; an undefined value improves nothing. Records
-    without an epoch only keep their run alive.
+    without an epoch only keep their run alive. With ``shards`` that many keys hold the runs by hash, else each run is its own: fewer calls where
+    runs are many, but a micro-batch reads and writes the folds of all open runs of a shard, and holds its records in memory.
     """
     ts = F.col("ts").cast("timestamp")
-    timed = log.where("ts is not null").select("run_id", "epoch", "value", ts.alias("ts"), F.unix_millis(ts).alias("at")).withWatermark("ts", delay)
-    return timed.groupBy("run_id").transformWithStateInPandas(EarlyStopping(patience, min_delta, idle_ms), RUNS, "Update", "EventTime")
+    timed = log.where("ts is not null").select(F.coalesce("run_id", F.lit(0)).alias("run_id"), F.col("run_id").isNotNull().alias("known"), "epoch", "value", ts.alias("ts"), F.unix_millis(ts).alias("at")).withWatermark("ts", delay)
+    keyed = timed.groupBy("run_id") if shards is None else timed.withColumn("shard", F.pmod(F.hash("run_id"), F.lit(shards))).groupBy("shard")
+    return keyed.transformWithStateInPandas(EarlyStopping(patience, min_delta, idle_ms), RUNS, "Update", "EventTime")
 
 
 def last_states(rows: DataFrame) -> DataFrame:

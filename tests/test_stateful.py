@@ -9,9 +9,12 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from evalframe import queries
 from evalframe.operators import training_log as L
+from evalframe.queries import training
 from evalframe.streaming import metrics as ST
 from evalframe.streaming import stateful as SF
+from tests.oracle import assert_same, connection
 
 START = datetime(2024, 1, 1)
 LOG = "run_id long, epoch int, value double, ts timestamp"
@@ -73,3 +76,31 @@ def test_windows_close_once(spark, tmp_path):
     closed = max(r[3] for r in rows) - timedelta(hours=1)
     want = sorted((r[0].start, *r[1:]) for r in batch.collect() if r[0].end <= closed)
     assert got == want and len(got) > 15
+
+
+def test_runs_of_a_shard_end_as_they_do_alone(rocks, tmp_path):
+    rng = random.Random(7)
+    rows = [(r, e, rng.choice([None, float(rng.randint(0, 30))]), START + timedelta(minutes=e, seconds=r // 2)) for r in range(40) for e in range(12) if (r * 5 + e) % 17]  # with gaps
+    rows += [(r, e, 0.0, START + timedelta(minutes=e)) for r in range(0, 40, 3) for e in (4, 4)] + [(50, None, 1.0, START), (None, 0, 1.0, START)]
+    rng.shuffle(rows)
+    # by the watermark some runs are to end just then, some a second before or after it
+    waves = [[(60, 0, 1.0, START + timedelta(minutes=11 + 30 + 60, seconds=s))] for s in (0, 7, 8, 19)]
+    batches = [rows[0::3], rows[1::3], rows[2::3], *waves, [(61, 0, 2.0, START + timedelta(hours=5))], [(61, 1, 3.0, START + timedelta(hours=5))]]
+    got = {}
+    for shards in (None, 3):
+        path = str(tmp_path / f"{shards}")
+        out = SF.drain_updates(SF.stream_stops(stream_of(rocks, batches, path), 3, 1.0, "30 minutes", 3_600_000, **({"shards": shards} if shards else {})), path)
+        got[shards] = sorted(map(repr, out.join(rocks.read.parquet(f"{path}/out").select("run_id", "final", "epochs", "batch").distinct(), ["run_id", "final", "epochs"]).collect()))
+        fold = rocks.read.format("statestore").option("stateVarName", "fold").load(f"{path}/state")
+        assert fold.count() == 1  # that of run 61
+        assert rocks.read.format("statestore").option("stateVarName", "early").load(f"{path}/state").count() == 0
+        assert {r.run_id for r in out.select("run_id").distinct().collect()} == {*range(40), 50, 60, 61}
+    assert got[3] == got[None] and sum("final=True" in r for r in got[3]) >= 42
+
+
+def test_the_runs_of_the_query_share_calls(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(training, "scratch", lambda spark, name: str(tmp_path / name))
+    monkeypatch.setattr(training, "RUN_SHARDS", 4, raising=False)
+    assert_same(spark, connection(), queries.all_queries()["st05_stream_run_ends"], queries.all_sql()["st05_stream_run_ends"])
+    fold = spark.read.format("statestore").option("stateVarName", "fold").load(str(tmp_path / "st05/state"))
+    assert fold.count() == 26 and fold.select("key").distinct().count() <= 4  # 26 keys for as many open runs, and a call for each, before
